@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .token_files import op1_token_files
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup}
+QUERIES = {"op1_token_files": op1_token_files, "op8_exact_dedup": op8_exact_dedup}
 SQL = {"op8_exact_dedup": OP8_SQL}
