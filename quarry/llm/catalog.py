@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
+from .bpe import op5_bpe
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .language import op7_language
+from .quality import op2_quality
+from .token_counts import op10_token_counts
 from .token_files import op1_token_files
 
-QUERIES = {"op1_token_files": op1_token_files, "op8_exact_dedup": op8_exact_dedup}
+QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op2_quality": op2_quality,
+    "op5_bpe": op5_bpe,
+    "op7_language": op7_language,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op10_token_counts": op10_token_counts,
+}
 SQL = {"op8_exact_dedup": OP8_SQL}

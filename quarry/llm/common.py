@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 U64 = np.uint64
 MULT = U64(0x9E3779B97F4A7C15)
@@ -129,3 +131,15 @@ def list_array(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
 def buckets(spark: SparkSession, n_bytes: int, each: int) -> int:
     """Partitions so that each holds about `each` bytes; no fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each))
+
+
+def bounded_sample(rows: DataFrame, id_col: str, class_col: str, most: int) -> DataFrame:
+    """At most `most` rows of each class, chosen by a hash of the identifier, without ever holding a class in one task.
+
+    Classes are counted first; rows are thinned by the hash to about twice the bound, and only those are ranked.
+    """
+    counts = rows.groupBy(class_col).agg(F.count("*").alias("_n"))
+    place = F.xxhash64(F.col(id_col).cast("string")).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
+    thin = rows.join(F.broadcast(counts), class_col).withColumn("_place", place).filter(F.col("_place") * F.col("_n") < F.lit(2.0 * most + 50))
+    rank = F.row_number().over(Window.partitionBy(class_col).orderBy("_place", id_col))
+    return thin.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_n", "_place", "_rank")
