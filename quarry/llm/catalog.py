@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .decontaminate import op3_decontaminate
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .language import op7_language
 from .quality import op2_quality
@@ -12,6 +13,7 @@ from .token_files import op1_token_files
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_quality": op2_quality,
+    "op3_decontaminate": op3_decontaminate,
     "op5_bpe": op5_bpe,
     "op7_language": op7_language,
     "op8_exact_dedup": op8_exact_dedup,
