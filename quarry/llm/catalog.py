@@ -7,6 +7,8 @@ from .decontaminate import op3_decontaminate
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .language import op7_language
 from .quality import op2_quality
+from .substring_dedup import op4_substring_dedup
+from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op10_token_counts
 from .token_files import op1_token_files
 
@@ -14,9 +16,11 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_quality": op2_quality,
     "op3_decontaminate": op3_decontaminate,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_bpe": op5_bpe,
     "op7_language": op7_language,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
 }
 SQL = {"op8_exact_dedup": OP8_SQL}
