@@ -8,13 +8,14 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import list_array, only, slices, utf8
-from .tokenize import Pieces, blank_pieces, vocabulary_path
+from .tokenize import Memo, blank_pieces, vocabulary_path
 
 _NEVER = 1 << 62
 _PLACE = (1 << 32) - 1
@@ -102,7 +103,7 @@ class Bpe:
         self.find_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
         self.tokens = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
-        self.words, self.pieces = Pieces(lambda words: [self.word(w) for w in words]), Pieces(self._pieces)
+        self.words, self.pieces = Memo(self.word, 150_000), Memo(self.piece, 400_000)
 
     def word(self, word: str) -> list[int]:
         data = word.encode("utf-8", "replace")
@@ -115,23 +116,21 @@ class Bpe:
         text = unicodedata.normalize("NFC", text)
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()  # no final sigma: each character by itself
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        split = [[part for part in self.find_added.split(p) if part] if "<|" in p else [p] for p in pieces]
-        words = self.words.values([[w for part in parts if part not in self.added for w in self.split.findall(self.normalise(part))] for parts in split])
-        out = []
-        for parts, found in zip(split, words, strict=True):
-            if not any(p in self.added for p in parts):
-                out.append(np.array([i for w in found for i in w], "<i4").tobytes())
-                continue
-            ids: list[int] = []
-            for part in parts:
-                ids += [self.added[part]] if part in self.added else [i for w in self.split.findall(self.normalise(part)) for i in self.word(w)]
-            out.append(np.array(ids, "<i4").tobytes())
-        return out
+    def piece(self, piece: str) -> bytes:
+        """Ids of text between blanks: added tokens are found first, and what is between them is normalised and split."""
+        ids: list[int] = []
+        for part in self.find_added.split(piece) if any(a in piece for a in self.added) else [piece]:
+            if part in self.added:
+                ids.append(self.added[part])
+            else:
+                for word in self.split.findall(self.normalise(part)):
+                    ids += self.words[word]
+        return np.array(ids, "<i4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        return [b"".join(v) for v in self.pieces.values([blank_pieces(t) for t in texts])]
+        value = self.pieces.__getitem__
+        return [b"".join(map(value, blank_pieces(t))) for t in texts]
 
     def decode(self, ids: list[int]) -> str:
         """As a tokenizer without a decoder does: the tokens joined by one space, special tokens too."""
@@ -147,38 +146,38 @@ def bpe(path: str) -> Bpe:
     return _BPE[path]
 
 
-def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (array of int) of every row: the whole text, null as empty; rows repeat as they do in docs, and further columns are ignored."""
+def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+    """doc_id and ids (array of int) of every row, and with decode the text that those ids decode to, in one pass.
+
+    Whole texts; null counts as empty. Rows repeat as they do in docs, and further columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe(tokenizer)
+        coder = bpe(tokenizer)
         for batch in batches:
             _, offsets = utf8(batch.column(1))
-            for i, j in slices(offsets, 4 << 20):
-                data = encoder.encode([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])
-                values = pa.array(np.frombuffer(b"".join(data), "<i4"))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), list_array(np.array([len(d) // 4 for d in data], np.int64), values)], ["doc_id", "ids"])
+            for i, j in slices(offsets, 2 << 20):
+                data = coder.encode([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])
+                ids = list_array(np.array([len(d) // 4 for d in data], np.int64), pa.array(np.frombuffer(b"".join(data), "<i4")))
+                decoded = [pa.array([coder.decode(np.frombuffer(d, "<i4").tolist()) for d in data], pa.string())] if decode else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), ids, *decoded], ["doc_id", "ids", "decoded"][: 2 + decode])
 
     docs = only(docs, id_col, text_col)
-    return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, ids array<int>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, ids array<int>" + ", decoded string" * decode)
 
 
 def bpe_decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:
-    """rows with a column decoded; null ids decode to the empty text, and ids that the vocabulary lacks are left out. No other column is touched."""
+    """rows with a column decoded, from stored ids; null ids decode to the empty text, and ids that the vocabulary lacks are left out."""
 
     @F.pandas_udf("string")
-    def decode(column):
-        import pandas as pd
-
-        decoder = bpe(tokenizer)
-        known = len(decoder.tokens)
-        lists = [[] if x is None else x[(x >= 0) & (x < known)].tolist() for x in column]
-        return pd.Series([decoder.decode(x) for x in lists], dtype=object)
+    def decode(column: pd.Series) -> pd.Series:
+        coder = bpe(tokenizer)
+        known = len(coder.tokens)
+        return pd.Series([coder.decode([] if x is None else x[(x >= 0) & (x < known)].tolist()) for x in column], dtype=object)
 
     return rows.withColumn("decoded", decode(F.col(ids_col)))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary_path("word_bpe_49k.json")
-    rows = bpe_decode(bpe_encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
+    rows = bpe_encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_path("word_bpe_49k.json"), decode=True)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op5_bpe
 from .decontaminate import op3_decontaminate
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .jaccard_join import op6_jaccard_join
 from .language import op7_language
 from .quality import op2_quality
 from .substring_dedup import op4_substring_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_bpe": op5_bpe,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_language": op7_language,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,

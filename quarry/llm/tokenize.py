@@ -7,14 +7,14 @@ therefore the concatenation of its pieces, and pieces repeat: each Python worker
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import numpy as np
 
 #: Characters that str.split() takes for blanks and the tokenizers' patterns do not.
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
-#: Pieces that a worker keeps, and the longest that it keeps; neither changes a result.
-MOST_KEPT, LONGEST_KEPT = 300_000, 64
+#: Pieces in each of a worker's two generations, and the longest piece that it keeps; neither changes a result.
+MOST_KEPT, LONGEST_KEPT = 600_000, 64
 
 _LOADED: dict[str, object] = {}
 
@@ -39,28 +39,23 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Pieces:
-    """Values of pieces by `make`, which gets a list of pieces and returns a value for each."""
+class Memo(dict):
+    """Values by piece: `make` is asked for a piece that is in neither generation; when the young one is full it becomes the old."""
 
-    def __init__(self, make: Callable[[list[str]], Sequence]):
-        self.make, self.kept = make, {}
+    def __init__(self, make: Callable[[str], object], most: int = MOST_KEPT):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
 
-    def values(self, texts: list[list[str]]) -> list[list]:
-        """For each list of pieces the list of their values."""
-        kept = self.kept
-        if len(kept) > MOST_KEPT:
-            kept.clear()
-        missing = set()
-        for pieces in texts:
-            missing.update(p for p in set(pieces) if p not in kept)
-        long = {}
-        if missing:
-            pieces = list(missing)
-            for piece, value in zip(pieces, self.make(pieces), strict=True):
-                (kept if len(piece) <= LONGEST_KEPT else long)[piece] = value
-        if long:
-            return [[kept[p] if p in kept else long[p] for p in pieces] for pieces in texts]
-        return [list(map(kept.__getitem__, pieces)) for pieces in texts]
+    def __missing__(self, piece: str):
+        value = self.old.get(piece)
+        if value is None:
+            value = self.make(piece)
+        if len(piece) <= LONGEST_KEPT:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = value
+        return value
 
 
 def blank_pieces(text: str) -> list[str]:
@@ -70,21 +65,34 @@ def blank_pieces(text: str) -> list[str]:
     return text.split()
 
 
+#: Marks that the pattern splits from letters before them when nothing follows.
+TAILS = ".,;:!?"
+
+
 class IdEncoder:
-    """Token ids of whole texts as bytes, for the vocabulary with word ends (blanks dropped)."""
+    """Token ids of whole texts as bytes, for the vocabulary with word ends (lower case, blanks dropped)."""
 
     def __init__(self, path: str, dtype: str):
         self.tokenizer, self.dtype = load(path), np.dtype(dtype)
-        self.pieces = Pieces(self._encode)
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(pieces), 20_000):
-            out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(pieces[i : i + 20_000], add_special_tokens=False)]
-        return out
+        self.tails = {c: self._encode(c) for c in TAILS}
+        self.memo = Memo(self._make)
+
+    def _encode(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _make(self, piece: str) -> bytes:
+        last = piece[-1]
+        before = piece[-2:-1]
+        if last in self.tails and "" < before < "\u0250" and before.lower()[-1].isalpha():
+            return self.memo[piece[:-1]] + self.tails[last]
+        low = piece.lower()
+        if low != piece and piece.isalpha() and len(low) == len(piece) and max(piece) < "\u0250":
+            return self.memo[low]
+        return self._encode(piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(v) for v in self.pieces.values([blank_pieces(t) for t in texts])]
+        value = self.memo.__getitem__
+        return [b"".join(map(value, blank_pieces(t))) for t in texts]
 
 
 def spaced_pieces(text: str) -> list[str] | None:
@@ -105,27 +113,24 @@ class SpanEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.pieces = Pieces(self._encode)
-
-    def _encode(self, pieces: list[str]) -> list[tuple[int, int, bytes] | None]:
-        out = []
-        for i in range(0, len(pieces), 20_000):
-            part = pieces[i : i + 20_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                whole = apart(piece) if piece[:1] == " " else not piece[-1:].isspace()
-                out.append((len(piece), len(e.offsets), np.array(e.offsets, np.int32).tobytes()) if whole else None)
-        return out
+        self.memo = Memo(self._make)
+
+    def _make(self, piece: str) -> tuple[int, int, bytes] | bool:
+        if not (apart(piece) if piece[:1] == " " else not piece[-1:].isspace()):
+            return False
+        offsets = self.tokenizer.encode(piece, add_special_tokens=False).offsets
+        return len(piece), len(offsets), np.array(offsets, np.int32).tobytes()
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
 
     def spans(self, texts: list[str]) -> list[np.ndarray]:
         """For each text an (n, 2) array of token starts and ends, in characters."""
-        split = [spaced_pieces(t) for t in texts]
-        found = self.pieces.values([s or [] for s in split])
-        out = []
-        for text, pieces, values in zip(texts, split, found, strict=True):
-            if pieces is None or None in values:
+        out, value = [], self.memo.__getitem__
+        for text in texts:
+            pieces = spaced_pieces(text)
+            values = list(map(value, pieces)) if pieces is not None else [False]
+            if False in values:
                 out.append(self.whole(text))
                 continue
             lengths, counts, data = zip(*values, strict=True)
