@@ -10,6 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_sample, only, slices, utf8
 
@@ -77,7 +78,7 @@ def compare_sizes(docs: DataFrame, model: CompressionModel, id_col: str = "doc_i
             parts = [savings(flat[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], packers) for i, j in slices(offsets, 4 << 20)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0)), pa.array(np.diff(offsets).astype(float))], ["id", "saved", "n_bytes"])
 
-    return docs.mapInArrow(run, f"`{id_col}` {docs.schema[0].dataType.simpleString()}, saved double, n_bytes double")
+    return docs.mapInArrow(run, T.StructType([docs.schema[0], T.StructField("saved", T.DoubleType()), T.StructField("n_bytes", T.DoubleType())]))
 
 
 def sample_pieces(rows: DataFrame, most: int) -> DataFrame:
