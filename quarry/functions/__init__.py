@@ -1,0 +1 @@
+"""Column expressions; none of them leaves the JVM."""

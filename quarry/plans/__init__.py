@@ -1,4 +1,4 @@
 """Registered queries over the driver tables and their SQL."""
 
-QUERIES = {}
-SQL = {}
+from . import usage
+from .registry import QUERIES, SQL
