@@ -1,5 +1,5 @@
 """Registered queries over the driver tables and their SQL."""
 
-from . import records, retrieval, texts, usage
+from . import coverage, records, retrieval, texts, usage
 from .registry import QUERIES, SQL
 from .retrieval import retrieve
