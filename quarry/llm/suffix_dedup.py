@@ -15,59 +15,77 @@ from pyspark.sql import DataFrame, SparkSession
 from .repeats import LAST_ID, Windows, digests, remove_repeats
 
 #: Text that is transformed at once, unless stretches with one minimizer are longer.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 END, BETWEEN, FIRST_BYTE = 0, 1, 2
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes in ascending order, by doubling the sorted depth; the last symbol must occur once and be the least."""
+def suffix_order(text: np.ndarray, least: int) -> np.ndarray:
+    """Starts of all suffixes, ascending by their first `least` symbols or more, by doubling the sorted depth.
+
+    Suffixes that are still equal at that depth stand together, in any order: so do they without their first symbol, and no
+    common prefix below `least` depends on it. The last symbol must occur once and be the least.
+    """
     n = len(text)
     padded = np.concatenate((text, np.zeros(7, text.dtype))).astype(np.int64)
     key = np.zeros(n, np.int64)
     for j in range(7):
-        key = (key << 9) | padded[j : j + n]
+        key <<= 9
+        key |= padded[j : j + n]
     order = np.argsort(key, kind="stable")
-    new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-    starts = np.flatnonzero(new)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))
-    tied = order[np.repeat(np.diff(np.append(starts, n)) > 1, np.diff(np.append(starts, n)))]
+    key = key[order]
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sizes = np.diff(np.append(starts, n))
+    rank = np.empty(n, np.int32)
+    rank[order] = np.repeat(starts, sizes)
+    tied = order[np.repeat(sizes > 1, sizes)]
     depth = 7
-    while len(tied):
-        key = rank[tied] * (n + 1) + np.where(tied + depth < n, rank[np.minimum(tied + depth, n - 1)] + 1, 0)
-        order = np.argsort(key, kind="stable")
-        tied, key = tied[order], key[order]
-        old = rank[tied]
-        place = np.arange(len(tied))
+    while len(tied) and depth <= least:
+        following = tied + depth
+        key = rank[tied].astype(np.int64) << 32
+        key |= np.where(following < n, rank[np.minimum(following, n - 1)] + 1, 0)
+        by = np.argsort(key, kind="stable")
+        tied, key = tied[by], key[by]
+        old = (key >> 32).astype(np.int32)
+        place = np.arange(len(tied), dtype=np.int32)
         group = np.maximum.accumulate(np.where(np.concatenate(([True], old[1:] != old[:-1])), place, 0))
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(starts, len(tied)))
         rank[tied] = old + np.repeat(starts, sizes) - group
         tied = tied[np.repeat(sizes > 1, sizes)]
         depth *= 2
-    order = np.empty(n, np.int64)
-    order[rank] = np.arange(n)
+    if len(tied):
+        same = rank[tied]
+        place = np.arange(len(tied), dtype=np.int32)
+        rank[tied] += place - np.maximum.accumulate(np.where(np.concatenate(([True], same[1:] != same[:-1])), place, 0))
+    order = np.empty(n, np.int32)
+    order[rank] = np.arange(n, dtype=np.int32)
     return order
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     """For each suffix, in order, the symbols it shares with the one before; `least` stands for that many or more."""
     bwt = text[order - 1]
-    step = np.argsort(bwt, kind="stable")  # where the suffix without its first symbol stands: the inverse of the last-to-first map
+    step = np.argsort(bwt, kind="stable").astype(np.int32)  # where the suffix without its first symbol stands: the inverse of the last-to-first map
     first = bwt[step]
-    shared = np.full(len(text), least)
+    shared = np.full(len(text), least, np.int8 if least < 128 else np.int32)
     border = np.concatenate(([True], first[1:] != first[:-1]))
     shared[border] = 0
     open_ = np.flatnonzero(~border)
+    low, high = step[open_ - 1], step[open_]
+    before = np.zeros(len(open_), bool)
     for level in range(1, least):
-        interval = np.cumsum(border)
-        parts = interval[step[open_]] != interval[step[open_ - 1]]
-        if not parts.any():
+        interval = np.cumsum(border, dtype=np.int32)
+        apart = interval[low] != interval[high]
+        found = open_[apart > before]
+        if not len(found):
             break
-        found = open_[parts]
         shared[found] = level
         border[found] = True
-        open_ = open_[~parts]
+        before = apart
+        if np.count_nonzero(apart) > len(open_) // 8:
+            rest = ~apart
+            open_, low, high = open_[rest], low[rest], high[rest]
+            before = np.zeros(len(open_), bool)
     return shared
 
 
@@ -80,7 +98,7 @@ def first_documents(strings: np.ndarray, counts: np.ndarray, ids: np.ndarray, le
     wide[np.arange(len(strings)), sizes] = BETWEEN
     used = column <= sizes[:, None]
     text = np.append(wide[used], np.uint16(END))
-    order = suffix_order(text)
+    order = suffix_order(text, length)
     starts = np.flatnonzero(common_prefixes(text, order, length) < length)
     windows = np.arange(strings.shape[1] - length + 1) < counts[:, None]
     holder = np.full(wide.shape, LAST_ID)
