@@ -64,7 +64,7 @@ def savings(flat: np.ndarray, offsets: np.ndarray, packers) -> np.ndarray:
             sizes = np.zeros(0, np.int64)
         out.append(np.bincount(owner, sizes, len(lengths)))
     good, bad = out
-    return bad - good
+    return (bad - good).astype(float)
 
 
 def compare_sizes(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
