@@ -143,3 +143,20 @@ def bounded_sample(rows: DataFrame, id_col: str, class_col: str, most: int) -> D
     thin = rows.join(F.broadcast(counts), class_col).withColumn("_place", place).filter(F.col("_place") * F.col("_n") < F.lit(2.0 * most + 50))
     rank = F.row_number().over(Window.partitionBy(class_col).orderBy("_place", id_col))
     return thin.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_n", "_place", "_rank")
+
+
+#: A key with more than one row in so many is joined by broadcast; there are fewer such keys than this number.
+SHARES = 10_000
+
+
+def join_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], n_rows: int, weight: str) -> DataFrame:
+    """Inner join of rows with a table of one row per key, however many rows a key has.
+
+    weight is the column of per_key with the key's number of rows, n_rows the number of all rows. Keys that hold more than
+    1/SHARES of all rows are fewer than SHARES, whatever the data: they are broadcast, and their rows stay where they are.
+    All other rows are shuffled by the keys.
+    """
+    limit = n_rows // SHARES
+    hot, cold = per_key.filter(F.col(weight) > limit), per_key.filter(F.col(weight) <= limit)
+    split = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(split.join(cold, keys))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, scratch, stage
+from .common import join_by_key, only, scratch, stage
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -71,14 +71,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     clash = clashes(docs, seen.filter("seen > 1").select("digest"), id_col, text_col, digest_of)
-    plain = log.join(seen, "digest")
+    plain = join_by_key(log, seen, ["digest"], log.count(), "seen")
     if clash is not None:
         plain = plain.join(clash, "digest", "left_anti")
     plain = plain.select("doc_id", "keep_id", F.col("seen").alias("group_size"), (F.col("locator") == F.col("keep_locator")).alias("kept"), "text_sha256")
     return plain if clash is None else plain.unionByName(by_bytes(docs, clash, id_col, text_col, digest_of))
 
 
-#: Digests of hits that are broadcast at most (some 100 bytes each); beyond it they are joined by a shuffle.
+#: Digests of hits that are broadcast at most (some 100 bytes each); beyond it texts of all digests are compared.
 MOST_BROADCAST = 200_000
 
 
@@ -92,8 +92,9 @@ def clashes(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str, digest
 
     Rows of one digest are compared within each task before the shuffle, so that a large group of copies moves as one text a task.
     """
-    hits = F.broadcast(hits) if hits.count() <= MOST_BROADCAST else hits
-    rows = bodies(docs, id_col, text_col, digest_of).join(hits, "digest", "left_semi")
+    rows = bodies(docs, id_col, text_col, digest_of)
+    if hits.count() <= MOST_BROADCAST:
+        rows = rows.join(F.broadcast(hits), "digest", "left_semi")
     found = rows.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).filter("low != high").select("digest")
     found = stage(found, "dedup-clash")
     return None if found.isEmpty() else found

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, LOWER, U64, mix, only, slices, stage, utf8, word_hashes, words
+from .common import ALNUM_WORD, LOWER, U64, join_by_key, mix, only, slices, stage, utf8, word_hashes, words
 from .components import components
 from .repeats import LAST_ID, gram_hashes
 
@@ -206,13 +206,14 @@ def jaccard_join(docs: DataFrame, n: int = N_GRAM, threshold: float = THRESHOLD,
     signed = stage(signatures(docs, n, bands, rows), "signatures")
     sets = signed.filter("n_grams > 0").groupBy("set_low", "set_high", "n_grams").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("bands").alias("bands"))
     sets = stage(sets, "sets")
+    n_sets = sets.count()
     banded = sets.select("rep", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least != most").select("band", "least")
-    edges = banded.join(buckets, "band").filter("rep != least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
-    clusters = components(edges)
-    sizes = clusters.groupBy("label").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
+    buckets = banded.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("size")).filter("least != most").select("band", "least", "size")
+    edges = join_by_key(banded, buckets, ["band"], n_sets * bands, "size").filter("rep != least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
+    clusters = stage(components(edges), "clusters")
+    sizes = clusters.groupBy("label").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"), F.count("*").alias("size"))
     part = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
-    assigned = clusters.join(sizes, "label").join(sets.select(F.col("rep").alias("node"), "copies", "set_low", "set_high"), "node")
+    assigned = join_by_key(clusters, sizes, ["label"], clusters.count(), "size").join(sets.select(F.col("rep").alias("node"), "copies", "set_low", "set_high"), "node")
     assigned = stage(assigned.select(F.col("node").alias("doc_id"), F.col("label").alias("cluster"), "parts", part.alias("part"), "copies").dropDuplicates(["doc_id"]), "clusters")
     some = F.broadcast(assigned) if assigned.count() <= MOST_BROADCAST else assigned
     grams = gram_rows(docs.join(some, "doc_id"), n).filter("octet_length(grams) > 0")
@@ -222,8 +223,10 @@ def jaccard_join(docs: DataFrame, n: int = N_GRAM, threshold: float = THRESHOLD,
     found = stage(paired.mapInArrow(verify(threshold), "rep long, links long, least long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("rep").alias("u"), F.col("least").alias("v"))).select(F.col("node").alias("rep"), "label")
-    known = sets.select("set_low", "set_high", "n_grams", "rep", "copies").join(links, "rep", "left").join(classes, "rep", "left")
-    out = signed.drop("bands").join(known, ["set_low", "set_high", "n_grams"], "left")
+    known = stage(sets.select("set_low", "set_high", "n_grams", "rep", "copies").join(links, "rep", "left").join(classes, "rep", "left"), "known")
+    signed = signed.drop("bands")
+    out = join_by_key(signed.filter("n_grams > 0"), known, ["set_low", "set_high", "n_grams"], signed.count(), "copies")
+    out = out.unionByName(signed.filter("n_grams = 0"), allowMissingColumns=True)
     back = lambda c: F.when(c != LAST_ID, c)
     return out.select(
         back(F.col("doc_id")).alias("doc_id"), back(F.coalesce("label", "rep", "doc_id")).alias("class_id"),
