@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
@@ -86,6 +87,11 @@ def merge(symbols: list[int], ranks: dict[int, int], results: list[int]) -> list
     return out
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian 32-bit integers."""
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
 class Bpe:
     """Encoder and decoder from a tokenizer file: NFC, blanks, lower case, a split pattern, byte-level BPE with word ends, no decoder."""
 
@@ -103,11 +109,11 @@ class Bpe:
         self.find_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
         self.tokens = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
-        self.words, self.pieces = Memo(self.word, 150_000), Memo(self.piece, 400_000)
+        self.words, self.pieces = Memo(self.word, 50_000), Memo(self.piece, 50_000)
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
         data = word.encode("utf-8", "replace")
-        return merge([self.inner[b] for b in data[:-1]] + [self.last[data[-1]]], self.ranks, self.results)
+        return packed(merge([self.inner[b] for b in data[:-1]] + [self.last[data[-1]]], self.ranks, self.results))
 
     @staticmethod
     def normalise(text: str) -> str:
@@ -118,14 +124,13 @@ class Bpe:
 
     def piece(self, piece: str) -> bytes:
         """Ids of text between blanks: added tokens are found first, and what is between them is normalised and split."""
-        ids: list[int] = []
+        ids: list[bytes] = []
         for part in self.find_added.split(piece) if any(a in piece for a in self.added) else [piece]:
             if part in self.added:
-                ids.append(self.added[part])
+                ids.append(packed([self.added[part]]))
             else:
-                for word in self.split.findall(self.normalise(part)):
-                    ids += self.words[word]
-        return np.array(ids, "<i4").tobytes()
+                ids += [self.words[word] for word in self.split.findall(self.normalise(part))]
+        return b"".join(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
@@ -156,7 +161,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         coder = bpe(tokenizer)
         for batch in batches:
             _, offsets = utf8(batch.column(1))
-            for i, j in slices(offsets, 2 << 20):
+            for i, j in slices(offsets, 1 << 20):
                 data = coder.encode([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])
                 ids = list_array(np.array([len(d) // 4 for d in data], np.int64), pa.array(np.frombuffer(b"".join(data), "<i4")))
                 decoded = [pa.array([coder.decode(np.frombuffer(d, "<i4").tolist()) for d in data], pa.string())] if decode else []
