@@ -14,7 +14,7 @@ import numpy as np
 #: Characters that str.split() takes for blanks and the tokenizers' patterns do not.
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 #: Pieces in each of a worker's two generations, and the longest piece that it keeps; neither changes a result.
-MOST_KEPT, LONGEST_KEPT = 600_000, 64
+MOST_KEPT, LONGEST_KEPT = 500_000, 64
 
 _LOADED: dict[str, object] = {}
 
@@ -50,12 +50,15 @@ class Memo(dict):
         value = self.old.get(piece)
         if value is None:
             value = self.make(piece)
+        self.keep(piece, value)
+        return value
+
+    def keep(self, piece: str, value: object) -> None:
         if len(piece) <= LONGEST_KEPT:
             if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[piece] = value
-        return value
 
 
 def blank_pieces(text: str) -> list[str]:
@@ -76,23 +79,45 @@ class IdEncoder:
         self.tokenizer, self.dtype = load(path), np.dtype(dtype)
         self.tails = {c: self._encode(c) for c in TAILS}
         self.memo = Memo(self._make)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _encode(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _make(self, piece: str) -> bytes:
-        last = piece[-1]
-        before = piece[-2:-1]
-        if last in self.tails and "" < before < "\u0250" and before.lower()[-1].isalpha():
-            return self.memo[piece[:-1]] + self.tails[last]
+    def _tail(self, piece: str) -> bool:
+        return piece[-1] in self.tails and "" < piece[-2:-1] < "\u0250" and piece[-2].lower()[-1].isalpha()
+
+    def _lower(self, piece: str) -> str:
+        """The lower-case word that has the same ids, or the piece itself where that is not certain."""
         low = piece.lower()
-        if low != piece and piece.isalpha() and len(low) == len(piece) and max(piece) < "\u0250":
-            return self.memo[low]
-        return self._encode(piece)
+        return low if low != piece and piece.isalpha() and len(low) == len(piece) and max(piece) < "\u0250" else piece
+
+    def _make(self, piece: str) -> bytes:
+        if self._tail(piece):
+            return self.memo[piece[:-1]] + self.tails[piece[-1]]
+        low = self._lower(piece)
+        return self._encode(piece) if low == piece else self.memo[low]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode the words of letters among new pieces as one text: each word ends with the one id of a word's end."""
+        words = {self._lower(p[:-1] if self._tail(p) else p) for p in pieces}
+        words = sorted(w for w in words.difference(self.memo, self.memo.old) if w.isalpha())
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                data, places = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
+                for word, a, b in zip(part, [0, *places[:-1]], places, strict=True):
+                    self.memo.keep(word, data[a:b])
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        pieces = [blank_pieces(t) for t in texts]
+        self._learn(set().union(*pieces).difference(self.memo, self.memo.old))
         value = self.memo.__getitem__
-        return [b"".join(map(value, blank_pieces(t))) for t in texts]
+        return [b"".join(map(value, p)) for p in pieces]
 
 
 def spaced_pieces(text: str) -> list[str] | None:
