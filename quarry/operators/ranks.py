@@ -13,7 +13,8 @@ def nearest_rank(rows: DataFrame, keys: list[str], value: str, share: float) ->
     """keys and the value at the zero-based place int(share * (n - 1)) of each key's ascending values; nulls come first.
 
     A key is never sorted whole. Approximate quantiles cut its values into stretches; counts by stretch tell where the place
-    lies; only the values of that stretch are counted one by one and ordered. Keys may be empty: the whole table is one key.
+    lies; only the values of that stretch are counted one by one and ordered. Keys may be empty: the whole table is one key,
+    and an empty table gives one null.
     """
     rows = rows.select(*keys, F.col(value).alias("v"))
     marks = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("v", [i / STRETCHES for i in range(1, STRETCHES)], 1000).alias("marks"))
