@@ -88,7 +88,11 @@ CLICHES = " + ".join(f"len(regexp_extract_all(t, '{c}'))" for c in text.CLICHES)
 SELECT doc_id, len(regexp_extract_all(t, '{text.PLACEHOLDER}')) AS placeholders, len(regexp_extract_all(t, '{text.VERIFY_MARK}')) AS to_verify, {CLICHES} AS cliches,
   CAST(contains(t, '大概') AS INT) + CAST(contains(t, '可能') AS INT) AS weak, replace(replace(t, '众所周知，', ''), '众所周知', '') AS polished FROM m""")
 def marks(spark, sf_dir):
-    t = F.translate(F.concat(F.lit("前言【工期：待核实】"), F.substring(text.text_of(F.col("text")), 1, 40), F.lit("众所周知，大概【待填写："), F.coalesce("source", F.lit("")), F.lit("】可能")), "\n", " ")
+    return counted_marks(spark, sf_dir, F.substring(text.text_of(F.col("text")), 1, 40))
+
+
+def counted_marks(spark, sf_dir, body):
+    t = F.translate(F.concat(F.lit("前言【工期：待核实】"), body, F.lit("众所周知，大概【待填写："), F.coalesce("source", F.lit("")), F.lit("】可能")), "\n", " ")
     rows = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
     return rows.select(
         "doc_id", F.size(text.placeholders(F.col("t"))).alias("placeholders"), F.regexp_count("t", F.lit(text.VERIFY_MARK)).alias("to_verify"),
@@ -96,6 +100,16 @@ def marks(spark, sf_dir):
     )
 
 
+MARKED_WHOLE = "concat('前言【工期：待核实】', coalesce(text, ''), '众所周知，大概【待填写：', source, '】可能')"
+
+
+@query(f"""WITH m AS (SELECT doc_id, replace({MARKED_WHOLE}, chr(10), ' ') AS t FROM documents)
+SELECT doc_id, len(regexp_extract_all(t, '{text.PLACEHOLDER}')) AS placeholders, len(regexp_extract_all(t, '{text.VERIFY_MARK}')) AS to_verify, {CLICHES} AS cliches,
+  CAST(contains(t, '大概') AS INT) + CAST(contains(t, '可能') AS INT) AS weak, replace(replace(t, '众所周知，', ''), '众所周知', '') AS polished FROM m""")
+def marks_whole(spark, sf_dir):
+    return counted_marks(spark, sf_dir, text.text_of(F.col("text")))
+
+
 @query("SELECT p_partkey, p_name AS name, CAST(p_size AS DOUBLE) AS points, p_brand AS category, CAST(p_size AS DOUBLE) AS weight FROM part")
 def points_cells(spark, sf_dir):
     cells = table(spark, sf_dir, "part").select("p_partkey", numbers.points_cell(F.concat("p_name", F.lit(" （"), "p_size", F.lit("分）"))).alias("c"), numbers.category_weight(F.concat("p_brand", F.lit(" "), "p_size", F.lit("%"))).alias("w"))

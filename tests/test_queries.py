@@ -127,3 +127,10 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     assert key(got) == key(want)
     single = windows.run_to_end(windows.once(stream, "event_id", late="100 days"), "once_test", str(tmp_path / "cp2"), "append")
     assert single.count() == events.count()
+
+
+def test_marks_beyond_the_head(spark, tmp_path):
+    said = "x" * 5000 + "【待填写：甲】【工期：待核实】众所周知，大概"
+    spark.createDataFrame([(1, said, "web")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    row, head = (plans.QUERIES[name](spark, str(tmp_path)).first() for name in ("marks_whole", "marks"))
+    assert (row.placeholders - head.placeholders, row.to_verify - head.to_verify, row.cliches - head.cliches) == (2, 1, 1) and "x" * 5000 in row.polished
