@@ -26,7 +26,7 @@ SEGMENT_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
 
 INDEX_SCHEMA = "segment long, doc_ids array<long>, begins array<int>, n_words array<int>, terms binary, starts binary, postings binary"
-HITS_SCHEMA = "doc_id long, n_words long, spans array<struct<item_id:bigint,start:int,end:int>>"
+HITS_SCHEMA = "segment long, place int, doc_id long, n_words long, spans array<struct<item_id:bigint,start:int,end:int>>"
 
 
 def term_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +145,7 @@ def find(terms: np.ndarray, starts: np.ndarray, postings: np.ndarray, phrases: P
 def look_up(index: DataFrame, phrases: Phrases, totals: dict[int, int], window: int, slop: int = 0) -> DataFrame:
     """For every document of the index: n_words and the spans of its words (first, after last) inside phrases, by item.
 
-    Spans of one item that touch or overlap are one span. The phrases are a bounded block and are broadcast.
+    A row is known by its segment and its place there, whatever its doc_id. Spans of one item that touch or overlap are one span. The phrases are a bounded block and are broadcast.
     """
     counts = np.array([totals.get(int(t), 0) for t in phrases.terms], np.int64)
     lengths = (phrases.rows >= 0).sum(axis=1)
@@ -173,9 +173,10 @@ def look_up(index: DataFrame, phrases: Phrases, totals: dict[int, int], window:
                         else:
                             spans[d].append({"item_id": int(item[k]), "start": a, "end": b})
                 kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(sizes), pa.array(spans, kind)], ["doc_id", "n_words", "spans"])
+                own = pa.array(np.full(len(sizes), row["segment"])), pa.array(np.arange(len(sizes), dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([*own, pa.array(row["doc_ids"], pa.int64()), pa.array(sizes), pa.array(spans, kind)], ["segment", "place", "doc_id", "n_words", "spans"])
 
-    return index.drop("segment").mapInArrow(run, HITS_SCHEMA)
+    return index.mapInArrow(run, HITS_SCHEMA)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -203,11 +204,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     totals = term_counts(index, vocabulary)
     hits = [look_up(index, b, totals, window, slop) for b in blocks]
     if n_blocks == 1:
-        return hits[0]
+        return hits[0].drop("segment", "place")
     merged = hits[0]
     for more in hits[1:]:
-        merged = merged.unionByName(more)
-    return merged.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
+        merged = merged.unionByName(more.filter(F.size("spans") > 0))
+    rows = merged.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
+    return rows.drop("segment", "place")
 
 
 def contamination(hits: DataFrame) -> DataFrame:

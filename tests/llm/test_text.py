@@ -111,6 +111,17 @@ def test_decontaminate(spark, odd_docs, odd_texts, no_docs, sf_dir):
     assert got == brute.contamination(docs, items)
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 10])
+def test_decontaminate_keeps_rows(spark, block):
+    """Rows with null and repeated doc_ids stay rows of their own, with one block of the benchmark and with several."""
+    docs = [(None, "red fox runs"), (None, "a blue bird"), (None, None), (7, "red fox"), (7, "no match in these words"), (7, "red fox and blue bird"), (7, "red fox"), (8, "")]
+    items = spark.createDataFrame([(1, "red fox"), (2, "blue bird"), (3, "green frog"), (4, "old grey owl")], "item_id long, text string")
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = decontaminate.contamination(decontaminate.decontaminate(table, items, block_bytes=block)).collect()
+    wanted = [(None, 3, 2, 1), (None, 3, 2, 1), (None, 0, 0, 0), (7, 2, 2, 1), (7, 5, 0, 0), (7, 5, 4, 2), (7, 2, 2, 1), (8, 0, 0, 0)]
+    assert sorted(map(str, ((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in rows))) == sorted(map(str, wanted))
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red big fox"), (2, "red fox"), (3, "red one two fox")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "red fox")], "item_id long, text string")
