@@ -34,6 +34,8 @@ BUCKET_BYTES = 16 << 20
 #: Null identifiers come after all others.
 LAST_ID = (1 << 63) - 1
 PLACE = U64((1 << 23) - 1)
+#: Windows of a run at most: which of them repeat is one mask.
+MASK_BITS = 64
 
 
 @dataclass(frozen=True)
@@ -45,9 +47,18 @@ class Windows:
     words: bool
     strict: bool
 
+    def __post_init__(self):
+        if self.most > MASK_BITS:
+            raise ValueError(f"{self.most} windows of a run do not fit in {MASK_BITS} bits: grams of {self.gram} are too short for windows of {self.length}")
+
+    @staticmethod
+    def of(length: int, gram: int, words: bool, strict: bool) -> Windows:
+        """Grams of so many units, or of more where windows are so long that a run would not fit in its mask."""
+        return Windows(length, max(1, min(gram, length // 2), length - MASK_BITS + 1), words, strict)
+
     @property
     def most(self) -> int:
-        """Windows of a run at most; they fit in 64 bits."""
+        """Windows of a run at most."""
         return self.length - self.gram + 1
 
     @property

@@ -79,7 +79,7 @@ def substring_dedup(docs: DataFrame, length: int = 20, id_col: str = "doc_id", t
     starts earlier: in a document with a smaller identifier or before it in the same one. Nulls, empty texts, ties and
     repeated rows are treated as in `remove_repeats`.
     """
-    plan = Windows(length, max(1, min(5, length // 2)), words=True, strict=False)
+    plan = Windows.of(length, 5, words=True, strict=False)
     rows = remove_repeats(docs, plan, word_resolver(plan), id_col, text_col)
     return rows.withColumn("kept", F.col("kept").cast("string"))
 

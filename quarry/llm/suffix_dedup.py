@@ -136,7 +136,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     A byte is removed if a string of `length` bytes over it also starts in a document with a smaller identifier. Nulls,
     empty texts, ties and repeated rows are treated as in `remove_repeats`.
     """
-    plan = Windows(length, max(1, min(16, length // 2)), words=False, strict=True)
+    plan = Windows.of(length, 16, words=False, strict=True)
     return remove_repeats(docs, plan, byte_resolver(plan), id_col, text_col)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import components, exact_dedup, jaccard_join, substring_dedup, suffix_dedup
 from quarry.llm.common import join_by_key
-from quarry.llm.repeats import digests
+from quarry.llm.repeats import Windows, digests
 from tests.harness import differences
 
 from . import brute
@@ -82,6 +82,16 @@ def test_suffix_dedup(odd_docs, odd_texts, length):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == brute.byte_repeats(odd_texts, length)
 
 
+def test_long_windows(odd_docs, odd_texts):
+    """Windows of more units than a mask has bits, with short grams."""
+    rows = digests(substring_dedup.substring_dedup(odd_docs, 100), "words").collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == brute.spaced_repeats(odd_texts, 100)
+    rows = digests(suffix_dedup.suffix_dedup(odd_docs, 100), "bytes").collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == brute.byte_repeats(odd_texts, 100)
+    with pytest.raises(ValueError, match="64 bits"):
+        Windows(100, 5, words=True, strict=False)
+
+
 def test_repeats_on_documents(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.op4_substring_dedup(spark, sf_dir).collect()} == brute.spaced_repeats(docs)
