@@ -2,10 +2,9 @@
 
 A window of k words is an edge from its first to its last k - 1 words. Edges are brought together by their minimizers (see
 `repeats`), so an edge meets all its occurrences, and paths through a minimizer meet in one bucket. There, nonbranching paths
-are compacted: an edge whose only successor has it as its only predecessor is joined to it, and a path's edges are known by
-the head's source coordinate and their distance from it. Coordinates verify a path: where an edge's own first occurrence is
-not at the expected place the path is cut. Joined back to the documents by block, paths that follow one another there make
-up the long repeated spans.
+are compacted: an edge whose only successor has it as its only predecessor is joined to it. A first occurrence is looked for
+once for each path, at its head; every other edge has its own at its distance from that. Paths are not joined across buckets:
+the windows of each are joined back to the documents by block, where those that follow one another make up the long spans.
 """
 
 from __future__ import annotations
@@ -39,29 +38,38 @@ def only_neighbour(edge: np.ndarray, other: np.ndarray, n: int) -> np.ndarray:
     return np.where((low == high) & (low >= 0) & (low != np.arange(n)), low, -1)
 
 
-def first_places(strings: np.ndarray, counts: np.ndarray, ids: np.ndarray, places: np.ndarray, length: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    row, offset, edge = edge_numbers(strings, counts, length, most)
+def paths(offset: np.ndarray, edge: np.ndarray, inner: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every edge: the head of its nonbranching path and the distance from it.
+
+    The windows of a string stand one after another; inner tells which of them has another behind it. An edge is joined to
+    the one before it if each occurrence of either is beside one of the other, so all occurrences of a path are whole, and
+    none is a cycle, for it would never begin.
+    """
     n = int(edge.max()) + 1 if len(edge) else 0
-    # The source of an edge: its least coordinate (identifier, place).
-    order = np.lexsort((places[row] + offset, ids[row], edge))
-    starts = order[np.flatnonzero(np.concatenate(([True], edge[order][1:] != edge[order][:-1])))] if n else order
-    source_id, source_place = ids[row[starts]], places[row[starts]] + offset[starts]
-    # Nonbranching links; the windows of a string stand one after another in row and offset.
-    inner = offset + 1 < counts[row]
     following = np.where(inner, np.append(edge[1:], -1), -1)
     preceding = np.where(offset > 0, np.concatenate(([-1], edge[:-1])), -1)
     after, before = only_neighbour(edge, following, n), only_neighbour(edge, preceding, n)
     head, distance = np.arange(n), np.zeros(n, np.int64)
     linked = np.flatnonzero(before >= 0)
     linked = linked[after[before[linked]] == linked]
-    linked = linked[(source_id[before[linked]] == source_id[linked]) & (source_place[before[linked]] + 1 == source_place[linked])]  # verified by coordinates
     head[linked], distance[linked] = before[linked], 1
-    for _ in range(max(1, most.bit_length())):  # a path has `most` edges at most: those around one minimizer
+    for _ in range(max(1, most.bit_length())):  # a path has `most` edges at most: those of one string
         distance = distance + distance[head]
         head = head[head]
-    path_id, path_place = source_id[head], source_place[head] + distance
+    return head, distance
+
+
+def first_places(strings: np.ndarray, counts: np.ndarray, ids: np.ndarray, places: np.ndarray, length: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    row, offset, edge = edge_numbers(strings, counts, length, most)
+    head, distance = paths(offset, edge, offset + 1 < counts[row], most)
+    # The source of a path: the least coordinate (identifier, place) of its head; those of its other edges follow from it.
+    heads = np.flatnonzero(head[edge] == edge)
+    order = heads[np.lexsort((places[row[heads]] + offset[heads], ids[row[heads]], edge[heads]))]
+    starts = order[np.flatnonzero(np.concatenate(([True], edge[order][1:] != edge[order][:-1])))] if len(order) else order
+    source_id, source_place = np.full(len(head), LAST_ID), np.zeros(len(head), np.int64)
+    source_id[edge[starts]], source_place[edge[starts]] = ids[row[starts]], places[row[starts]] + offset[starts]
     out_id, out_place = np.full((len(strings), most), LAST_ID), np.zeros((len(strings), most), np.int64)
-    out_id[row, offset], out_place[row, offset] = path_id[edge], path_place[edge]
+    out_id[row, offset], out_place[row, offset] = source_id[head[edge]], source_place[head[edge]] + distance[edge]
     return out_id, out_place
 
 

@@ -1,5 +1,6 @@
 """Exact, near, substring and suffix deduplication against plain versions."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,23 @@ def test_join_by_key_splits_hot_keys(spark):
     assert joined.count() == 30_000 and joined.filter("k = 0 AND n = 20000").count() == 20_000
 
 
+def test_paths_carry_first_places():
+    """Only heads of paths are looked up; the other windows have the places that each of them has by itself."""
+    rng, length, most = np.random.default_rng(3), 3, 6
+    for letters in (2, 3, 9, 50):
+        counts = rng.integers(1, most + 1, 40)
+        strings = rng.integers(1, letters + 1, (40, length + most - 1)).astype(np.uint64)
+        strings[np.arange(strings.shape[1]) >= (counts + length - 1)[:, None]] = 0
+        ids, places = rng.integers(0, 9, 40), rng.integers(0, 1000, 40)
+        row, offset, edge = substring_dedup.edge_numbers(strings, counts, length, most)
+        head, distance = substring_dedup.paths(offset, edge, offset + 1 < counts[row], most)
+        least = {e: min((ids[r], places[r] + o) for r, o, x in zip(row, offset, edge, strict=True) if x == e) for e in set(edge)}
+        assert all(least[e] == (least[head[e]][0], least[head[e]][1] + distance[e]) for e in least)
+        got_id, got_place = substring_dedup.first_places(strings, counts, ids, places, length, most)
+        assert all((got_id[r, o], got_place[r, o]) == least[e] for r, o, e in zip(row, offset, edge, strict=True))
+        assert letters < 9 or len(set(head)) < len(head)
+
+
 @pytest.mark.parametrize("length", [20, 5])
 def test_substring_dedup(odd_docs, odd_texts, length):
     rows = digests(substring_dedup.substring_dedup(odd_docs, length), "words").collect()
