@@ -119,8 +119,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on a bounded sample of labelled rows: at most most_docs documents of each label for the dictionaries and others,
     at most most_calibration, for the curve.
 
-    Labels other than 0 and 1, null labels and documents with both labels are left out. Without both labels the score is the
-    share of label 1 (0.5 without any).
+    Labels other than 0 and 1, null labels and documents with both labels are left out. However few pieces a label has, they
+    are its dictionary; if all its documents are among those for the curve, their pieces are taken. Without both labels, or
+    where no text of one has a byte, the score is the share of label 1 (0.5 without any).
     """
     ids = only(labels, id_col, label_col).filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     ids = ids.groupBy(id_col).agg(F.min(label_col).alias("label"), F.max(label_col).alias("other")).filter("label = other").select(id_col, "label")
@@ -128,10 +129,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     fold = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("fold")), F.lit(most_docs + most_calibration)) < most_docs
     sampled = sampled.withColumn("train", fold)
     rows = only(docs, id_col, text_col).withColumnRenamed(text_col, "text").join(F.broadcast(sampled), id_col)
-    pieces = sample_pieces(rows.filter("train"), MOST_PIECES).orderBy("label", "piece").toPandas()
-    samples = {k: [p for p in pieces["piece"][pieces["label"] == k] if len(p) >= 8] for k in (0, 1)}
     counts = {r["label"]: r["count"] for r in ids.groupBy("label").count().collect()}
-    if not counts or min(counts.get(0, 0), counts.get(1, 0)) == 0 or min(map(len, samples.values())) < 20:
+    samples = usable_pieces(rows.filter("train"))
+    if not all(samples.values()) and min(counts.get(0, 0), counts.get(1, 0)):
+        spare = usable_pieces(rows)
+        samples = {k: s or spare[k] for k, s in samples.items()}
+    if not all(samples.values()):
         share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
         return CompressionModel(b"", b"", 0.0, float(np.log(share / (1 - share))))
     trained = {k: dictionary(s) for k, s in samples.items()}
@@ -150,6 +153,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
+def usable_pieces(rows: DataFrame) -> dict[int, list[bytes]]:
+    """The sampled pieces of each label: those of 8 bytes or more, or shorter ones where it has no others."""
+    pieces = sample_pieces(rows, MOST_PIECES).orderBy("label", "piece").toPandas()
+    found = {k: pieces["piece"][pieces["label"] == k].tolist() for k in (0, 1)}
+    return {k: [p for p in s if len(p) >= 8] or s for k, s in found.items()}
+
+
 def dictionary(samples: list[bytes]) -> bytes:
     """A trained dictionary; the samples themselves where they are too few or too much alike to train on."""
     try:

@@ -15,6 +15,7 @@ from quarry.llm.common import scratch
 from quarry.llm.tokenize import vocabulary_path
 
 from . import brute
+from .conftest import prose
 
 WORD_BPE, BYTE_BPE = vocabulary_path("word_bpe_49k.json"), vocabulary_path("byte_bpe_50k.json")
 
@@ -144,6 +145,17 @@ def test_quality_edges(spark, odd_docs, no_docs, nameless):
     assert quality.classify(odd_docs, quality.fit(odd_docs, some)).count() == 21 and quality.classify(no_docs, model).count() == 0
 
 
+@pytest.mark.parametrize(("n_bad", "words"), [(12, 30), (1, 30), (2, 1)])
+def test_quality_learns_from_few(spark, n_bad, words):
+    """Fewer than 20 pieces of a label still tell the labels apart, also where their texts are short."""
+    bad = lambda seed, n: " ".join(f"{(seed * 7 + k) % 10}#{(seed + k * 3) % 10}" for k in range(n))
+    rows = [(k, prose(k, 30), 1) for k in range(40)] + [(100 + k, bad(k, words), 0) for k in range(n_bad)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    new = spark.createDataFrame([(1, prose(900, 30)), (2, bad(77, 30))], "doc_id long, text string")
+    good, poor = [r.score for r in quality.classify(new, quality.fit(docs, labels)).orderBy("doc_id").collect()]
+    assert good > poor
+
+
 def test_language_held_out(spark):
     sf_dir = "/root/testdata/sf0.01"
     truth = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
