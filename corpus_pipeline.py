@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, decontaminate, exact_dedup, jaccard_join, quality
-from quarry.llm.common import stage
+from quarry.llm.common import clear, stage
 from quarry.llm.tokenize import vocabulary_path
 
 #: Two stages are built on binary formats and trained models, which SQL cannot express.
@@ -21,8 +21,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels.filter(~quality.held_out()))
-    rows = quality.classify(docs.select(F.struct("*").alias("row"), docs["text"].alias("text")), model, id_col="row")
-    return rows.filter(F.col("predicted") == 1).select("row.*")
+    return quality.keep_predicted(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,15 +42,19 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn(sha, F.sha2(exact_dedup.normalised(F.col("text")), 256)).dropDuplicates(["doc_id", sha]).drop(sha)
 
 
+def known_by(docs: DataFrame):
+    """doc_id, or where it is null a number made from the text: rows without doc_id are known by their texts."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(1 << 62) + F.xxhash64(docs["text"]).bitwiseAND(F.lit((1 << 62) - 1)))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: that with the smallest doc_id.
+    """One document of each class of near duplicates: that with the smallest doc_id, one without doc_id only if no other is there.
 
-    Rows without doc_id cannot be named as members of a class; they are not compared and stay.
+    Rows without doc_id are known by their texts; rows that repeat a doc_id stay or go together.
     """
-    known = docs.filter(docs["doc_id"].isNotNull())
-    classes = stage(jaccard_join.jaccard_join(known), "classes")
-    gone = classes.filter("doc_id != class_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    classes = jaccard_join.jaccard_join(docs.select(known_by(docs).alias("doc_id"), docs["text"].alias("text")))
+    gone = stage(classes.filter("doc_id != class_id").select(F.col("doc_id").alias("gone_id")).distinct(), "near-copies")
+    return docs.join(gone, known_by(docs) == gone["gone_id"], "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +62,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Rows that share a doc_id are judged as one document; rows without doc_id are known by a hash of their text.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), -1 - F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)))
+    key = known_by(docs)
     hits = decontaminate.decontaminate(docs.select(key.alias("doc_id"), docs["text"].alias("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = stage(decontaminate.contamination(hits).filter("contaminated").select(F.col("doc_id").alias("gone_id")).distinct(), "contaminated")
     return docs.join(gone, key == gone["gone_id"], "left_anti")
@@ -88,4 +91,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, apply in STAGES:
         docs = stage(apply(spark, docs, sf_dir), name)
+        clear(spark, keep=docs)
     return docs

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,20 +32,55 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+#: Rows that Spark hands to a Python worker at once hold about so many bytes, unless the session sets another bound.
+BATCH_BYTES, BATCH_CONF, BATCH_DEFAULT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+_PATHS: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint directory set on the context.
+
+    Where neither is set, a session in one process (as in tests) gets a temporary folder; on a cluster that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        base = context.getCheckpointDir()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the batches of Python workers by bytes where the session does not: a worker's memory follows their size."""
+    if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new, unused path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    bound_batches(spark)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
+    return path
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of the shared folder that nothing will read again."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        if path in _PATHS:
+            _PATHS.remove(path)
+
+
+def clear(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete all tables that operators have written in the shared folder, but for those that `keep` reads.
+
+    Results are lazy and read their stages: call it when they have been written.
+    """
+    kept = keep.inputFiles() if keep is not None else []
+    remove(spark, *[p for p in _PATHS if not any(p.rpartition("/")[2] in f for f in kept)])
 
 
 def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -91,7 +128,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_POWERS = np.cumprod(np.full(1 << 16, MULT, U64))
+#: Words longer than this are hashed one by one.
+LONG_WORD = 1024
+_POWERS = np.cumprod(np.full(LONG_WORD, MULT, U64))
+_VALUES = mix(np.arange(1, 257, dtype=U64) * MIX_B)
 
 
 def words(flat: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,19 +148,21 @@ def words(flat: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
 
 
 def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+    """A 64-bit hash of each word's bytes, whatever its length."""
     if not len(starts):
         return np.zeros(0, U64)
-    lengths = ends - starts
-    begin = np.zeros(len(flat), np.int64)
+    begin = np.zeros(len(flat), np.int32)
     begin[starts] = starts
     np.maximum.accumulate(begin, out=begin)
-    np.subtract(np.arange(len(flat)), begin, out=begin)
-    begin &= len(_POWERS) - 1
+    np.subtract(np.arange(len(flat), dtype=np.int32), begin, out=begin)
+    np.minimum(begin, LONG_WORD - 1, out=begin)
     terms = _POWERS[begin]
-    terms *= flat.astype(U64) + U64(1)
+    terms *= _VALUES[flat]
     terms *= table[flat]
-    return mix(np.add.reduceat(terms, starts) + lengths.astype(U64) * MIX_B)
+    out = mix(np.add.reduceat(terms, starts) + (ends - starts).astype(U64) * MIX_B)
+    for k in np.flatnonzero(ends - starts > LONG_WORD):
+        out[k] = xxhash.xxh3_64_intdigest(flat[starts[k] : ends[k]].tobytes())
+    return out
 
 
 def list_array(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
@@ -134,7 +176,7 @@ def buckets(spark: SparkSession, n_bytes: int, each: int) -> int:
 
 
 def bounded_sample(rows: DataFrame, id_col: str, class_col: str, most: int) -> DataFrame:
-    """At most `most` rows of each class, chosen by a hash of the identifier, without ever holding a class in one task.
+    """At most `most` rows of each class, chosen by a hash of the identifier; no task holds more than about twice that.
 
     Classes are counted first; rows are thinned by the hash to about twice the bound, and only those are ranked.
     """

@@ -12,18 +12,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, LOWER, U64, only, scratch, slices, utf8, word_hashes, words
+from .common import ALNUM_WORD, LOWER, U64, bound_batches, only, scratch, slices, stage, utf8, word_hashes, words
 
 WINDOW = 13
-SEGMENT_BYTES = 4 << 20
-#: Bytes of benchmark text whose windows are looked up at once; a larger benchmark takes several passes over the index.
-BLOCK_BYTES = 8 << 20
+SEGMENT_BYTES = 1 << 20
+#: Bytes of benchmark text whose windows are looked up at once, which bounds what the driver holds and broadcasts; a larger
+#: benchmark takes several passes over the index.
+BLOCK_BYTES = 1 << 20
+#: Which terms the benchmark has is a bitmap of fixed size; a term that only shares its bit gets postings that nothing asks for.
+VOCABULARY_BITS = 24
 
 INDEX_SCHEMA = "segment long, doc_ids array<long>, begins array<int>, n_words array<int>, terms binary, starts binary, postings binary"
 HITS_SCHEMA = "segment long, place int, doc_id long, n_words long, spans array<struct<item_id:bigint,start:int,end:int>>"
@@ -36,12 +38,21 @@ def term_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return word_hashes(low, starts, ends, ALNUM_WORD), owner
 
 
+def add_terms(bitmap: np.ndarray, terms: np.ndarray) -> None:
+    np.bitwise_or.at(bitmap, terms >> U64(64 - VOCABULARY_BITS + 3), np.uint8(1) << (terms >> U64(64 - VOCABULARY_BITS) & U64(7)).astype(np.uint8))
+
+
+def has_terms(bitmap: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    return bitmap[terms >> U64(64 - VOCABULARY_BITS + 3)] >> (terms >> U64(64 - VOCABULARY_BITS) & U64(7)).astype(np.uint8) & np.uint8(1) == 1
+
+
 def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Segments of the positional index over whole texts; nothing is shuffled.
 
-    With a vocabulary (sorted 64-bit term hashes) only its terms get posting lists. Null texts have no words but are listed.
+    With a vocabulary (a bitmap of terms) only its terms get posting lists. Null texts have no words but are listed.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, number = shared.value, TaskContext.get().partitionId() << 32
@@ -53,8 +64,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, id_col: s
                 begins = np.cumsum(counts + 1) - counts - 1
                 places = (np.arange(len(hashes)) + owner).astype(np.uint32)
                 if vocabulary is not None:
-                    at = np.minimum(np.searchsorted(vocabulary, hashes), max(len(vocabulary) - 1, 0))
-                    known = vocabulary[at] == hashes if len(vocabulary) else np.zeros(len(hashes), bool)
+                    known = has_terms(vocabulary, hashes)
                     hashes, places = hashes[known], places[known]
                 order = np.argsort(hashes, kind="stable")
                 hashes, places = hashes[order], places[order]
@@ -69,12 +79,14 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, id_col: s
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, INDEX_SCHEMA)
 
 
-def term_counts(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
-    """Occurrences over all segments of the given terms (a bounded set), added up by Spark."""
-    shared = index.sparkSession.sparkContext.broadcast(np.sort(terms))
+def term_counts(index: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """Occurrences over all segments of each of the given ascending terms (those of a block of the benchmark), added up by Spark."""
+    shared = index.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
+        if not len(wanted):
+            return
         totals = np.zeros(len(wanted), np.int64)
         for batch in batches:
             for own, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -86,7 +98,11 @@ def term_counts(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(wanted[found].view(np.int64)), pa.array(totals[found])], ["term", "n"])
 
     rows = index.select("terms", "starts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return {r["term"] & ((1 << 64) - 1): r["n"] for r in rows.collect()} if len(terms) else {}
+    found = rows.toPandas()
+    totals = np.zeros(len(terms), np.int64)
+    totals[np.searchsorted(terms, found["term"].to_numpy(np.int64).view(U64))] = found["n"].to_numpy(np.int64)
+    shared.unpersist()
+    return totals
 
 
 @dataclass
@@ -117,62 +133,68 @@ class Phrases:
         return Phrases(terms, both[:, :-1], both[:, -1])
 
 
-def find(terms: np.ndarray, starts: np.ndarray, postings: np.ndarray, phrases: Phrases, totals: np.ndarray, slop: int = 0) -> Iterator[tuple[int, np.ndarray]]:
-    """(phrase number, positions of its first word) for the phrases that occur in one segment.
+def find(terms: np.ndarray, starts: np.ndarray, postings: np.ndarray, phrases: Phrases, order: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Phrase numbers and positions of their first words, for all phrases that occur in one segment.
 
-    slop 0 asks for the exact phrase; otherwise each further word may stand up to slop places from where the phrase has it.
+    order has the offsets of each phrase's words, those of the rarest terms first. The shifted list of the rarest term gives
+    the candidates of a phrase, and each further list is intersected with what is left of all candidates at once. slop 0 asks
+    for the exact phrase; otherwise each further word may stand up to slop places from where the phrase has it.
     """
-    at = np.searchsorted(terms, phrases.terms)
-    here = (at < len(terms)) & (terms[np.minimum(at, max(len(terms) - 1, 0))] == phrases.terms) if len(terms) else np.zeros(len(phrases.terms), bool)
-    whole = (here[phrases.rows] | (phrases.rows < 0)).all(axis=1)
-    for k in np.flatnonzero(whole):
-        row = phrases.rows[k][phrases.rows[k] >= 0]
-        places = None
-        for o in np.argsort(totals[row], kind="stable"):  # the rarest term first
-            t = at[row[o]]
-            own = postings[starts[t] : starts[t + 1]]
-            if places is None:
-                places = own[own >= o] - o
-            else:
-                low = np.searchsorted(own, places + o - slop)
-                places = places[(low < len(own)) & (own[np.minimum(low, len(own) - 1)] <= places + o + slop)]
-            if not len(places):
-                break
-        if len(places):
-            yield k, places
-
-
-def look_up(index: DataFrame, phrases: Phrases, totals: dict[int, int], window: int, slop: int = 0) -> DataFrame:
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if not len(terms) or not len(phrases.rows):
+        return none
+    at = np.minimum(np.searchsorted(terms, phrases.terms), len(terms) - 1)
+    here = terms[at] == phrases.terms
+    phrase = np.flatnonzero((here[phrases.rows] | (phrases.rows < 0)).all(axis=1))
+    if not len(phrase):
+        return none
+    lengths = (phrases.rows[phrase] >= 0).sum(axis=1)
+    offset = order[phrase, 0]
+    term = at[phrases.rows[phrase, offset]]
+    counts = starts[term + 1] - starts[term]
+    within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    place = postings[np.repeat(starts[term], counts) + within] - np.repeat(offset, counts)
+    phrase, lengths = np.repeat(phrase, counts), np.repeat(lengths, counts)
+    keys = np.repeat(np.arange(len(terms)), np.diff(starts)) << 32 | postings  # ascending: lists of ascending positions
+    left = place >= 0
+    for k in range(1, phrases.rows.shape[1]):
+        phrase, place, lengths = phrase[left], place[left], lengths[left]
+        offset = order[phrase, k]
+        wanted = (at[phrases.rows[phrase, offset]] << 32) + place + offset
+        low = np.searchsorted(keys, wanted - slop)
+        left = (k >= lengths) | (keys[np.minimum(low, len(keys) - 1)] - wanted <= slop) & (low < len(keys))
+    return phrase[left], place[left]
+
+
+def look_up(index: DataFrame, phrases: Phrases, totals: np.ndarray, slop: int = 0) -> DataFrame:
     """For every document of the index: n_words and the spans of its words (first, after last) inside phrases, by item.
 
     A row is known by its segment and its place there, whatever its doc_id. Spans of one item that touch or overlap are one span. The phrases are a bounded block and are broadcast.
     """
-    counts = np.array([totals.get(int(t), 0) for t in phrases.terms], np.int64)
     lengths = (phrases.rows >= 0).sum(axis=1)
-    shared = index.sparkSession.sparkContext.broadcast((phrases, counts, lengths))
+    order = np.argsort(np.where(phrases.rows >= 0, totals[phrases.rows] if len(totals) else 0, 1 << 62), axis=1, kind="stable").astype(np.int16)
+    shared = index.sparkSession.sparkContext.broadcast((phrases, order, lengths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases, counts, lengths = shared.value
+        phrases, order, lengths = shared.value
+        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             for row in batch.to_pylist():
                 begins, sizes = np.array(row["begins"], np.int64), np.array(row["n_words"], np.int64)
-                terms, starts, postings = np.frombuffer(row["terms"], U64), np.frombuffer(row["starts"], np.uint32), np.frombuffer(row["postings"], np.uint32).astype(np.int64)
-                found = [(phrases.items[k], places, lengths[k]) for k, places in find(terms, starts, postings, phrases, counts, slop)]
+                terms, starts, postings = np.frombuffer(row["terms"], U64), np.frombuffer(row["starts"], np.uint32).astype(np.int64), np.frombuffer(row["postings"], np.uint32).astype(np.int64)
                 spans: list[list] = [[] for _ in begins]
-                if found:
-                    item = np.concatenate([np.full(len(p), i) for i, p, _ in found])
-                    place = np.concatenate([p for _, p, _ in found])
-                    length = np.concatenate([np.full(len(p), n) for _, p, n in found])
-                    doc = np.searchsorted(begins, place, side="right") - 1
-                    for k in np.lexsort((place, item, doc)):
-                        d, a = doc[k], int(place[k] - begins[doc[k]])
-                        b = min(int(a + length[k] + slop * (slop > 0)), int(sizes[d]))
+                phrase, place = find(terms, starts, postings, phrases, order, slop)
+                if len(phrase):
+                    item, doc = phrases.items[phrase], np.searchsorted(begins, place, side="right") - 1
+                    by = np.lexsort((place, item, doc))
+                    first = (place - begins[doc])[by]
+                    after = np.minimum(first + lengths[phrase[by]] + slop, sizes[doc[by]])
+                    for d, i, a, b in zip(doc[by].tolist(), item[by].tolist(), first.tolist(), after.tolist(), strict=True):
                         last = spans[d][-1] if spans[d] else None
-                        if last and last["item_id"] == item[k] and a <= last["end"]:
+                        if last and last["item_id"] == i and a <= last["end"]:
                             last["end"] = max(last["end"], b)
                         else:
-                            spans[d].append({"item_id": int(item[k]), "start": a, "end": b})
-                kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+                            spans[d].append({"item_id": i, "start": a, "end": b})
                 own = pa.array(np.full(len(sizes), row["segment"])), pa.array(np.arange(len(sizes), dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([*own, pa.array(row["doc_ids"], pa.int64()), pa.array(sizes), pa.array(spans, kind)], ["segment", "place", "doc_id", "n_words", "spans"])
 
@@ -185,51 +207,55 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     Words are runs of 0-9, a-z and all characters beyond ASCII, after A-Z are lower-cased. A window is `window` consecutive
     words of an item; an item of fewer, but not none, is one window. Null texts have no words; items without identifier are
     left out; rows repeat as they do in docs; further columns are ignored. Only terms of the benchmark get posting lists.
-    The benchmark is taken in blocks of whole items of about block_bytes, each looked up in the same stored index.
+    The benchmark is taken in blocks of whole items of about block_bytes, one after another: each is looked up in the same
+    stored index, its hits are written, and only then the next block comes to the driver.
     """
     spark = docs.sparkSession
     items = only(benchmark, item_col, text_col).filter(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
     items = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)))
-    blocks = []
-    for k in range(n_blocks):
+
+    def block(k: int) -> Phrases:
         part = items.filter(F.col("block") == k).select("item_id", "text").toPandas().sort_values(["item_id", "text"])
         flat, offsets = utf8(pa.array(part["text"].tolist(), pa.large_string()))
-        blocks.append(Phrases.windows(*term_hashes(flat, offsets), part["item_id"].to_numpy(np.int64), window))
-    vocabulary = np.unique(np.concatenate([b.terms for b in blocks]))
+        return Phrases.windows(*term_hashes(flat, offsets), part["item_id"].to_numpy(np.int64), window)
+
+    bitmap = np.zeros(1 << (VOCABULARY_BITS - 3), np.uint8)
+    for k in range(n_blocks):
+        phrases = block(k)
+        add_terms(bitmap, phrases.terms)
     path = scratch(spark, "postings")
-    build_index(docs, vocabulary, id_col, text_col).write.option("compression", "lz4").parquet(path)
+    build_index(docs, bitmap, id_col, text_col).write.option("compression", "lz4").parquet(path)
     index = spark.read.parquet(path)
-    totals = term_counts(index, vocabulary)
-    hits = [look_up(index, b, totals, window, slop) for b in blocks]
     if n_blocks == 1:
-        return hits[0].drop("segment", "place")
-    merged = hits[0]
-    for more in hits[1:]:
-        merged = merged.unionByName(more.filter(F.size("spans") > 0))
+        return look_up(index, phrases, term_counts(index, phrases.terms), slop).drop("segment", "place")
+    merged = look_up(index, Phrases(np.zeros(0, U64), np.zeros((0, window), np.int64), np.zeros(0, np.int64)), np.zeros(0, np.int64))
+    for k in range(n_blocks):
+        phrases = block(k)
+        hits = look_up(index, phrases, term_counts(index, phrases.terms), slop).filter(F.size("spans") > 0)
+        merged = merged.unionByName(stage(hits, "hits"))
     rows = merged.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
     return rows.drop("segment", "place")
 
 
+def covered(spans: Column) -> Column:
+    """Words inside any of the spans (start, end), which may overlap."""
+    ends = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    begin = F.struct(F.lit(0).alias("n"), F.lit(0).alias("last"))
+    step = lambda x, s: F.struct((x["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], x["last"]))).alias("n"), F.greatest(x["last"], s["end"]).alias("last"))
+    return F.aggregate(ends, begin, step, lambda x: x["n"].cast("long"))
+
+
 def contamination(hits: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit (words in any span), n_items, items_sha256 and contaminated, from spans."""
-
-    @F.pandas_udf("long")
-    def covered(spans: pd.Series) -> pd.Series:
-        out = []
-        for row in spans:
-            n, last = 0, 0
-            for a, b in sorted((s["start"], s["end"]) for s in row):
-                n += max(0, b - max(a, last))
-                last = max(last, b)
-            out.append(n)
-        return pd.Series(out, dtype="int64")
-
-    some = hits.withColumn("n_hit", F.when(F.size("spans") > 0, covered("spans")).otherwise(F.lit(0)))
+    """doc_id, n_words, n_hit (words in any span), n_items, items_sha256 and contaminated, from rows with spans.
+
+    A row without spans, of a null or empty text too, has no hits and the digest of an empty list; doc_id stays as it is, null too.
+    """
+    some = hits.withColumn("n_hit", F.when(F.size("spans") > 0, covered(F.col("spans"))).otherwise(F.lit(0).cast("long")))
     items = F.array_sort(F.transform(F.array_distinct(F.col("spans.item_id")), lambda i: i.cast("string")))
     return some.select(
-        "doc_id", "n_words", F.col("n_hit").cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        "doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
 

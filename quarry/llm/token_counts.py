@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, slices, utf8
+from .common import bound_batches, only, slices, utf8
 from .tokenize import SpanEncoder, vocabulary_path
 
 
@@ -49,6 +49,7 @@ def token_counts(docs: DataFrame, tokenizer: str, sections: DataFrame | None = N
     row with no tokens. Rows repeat as they do in docs; null bounds or sections are ignored; further columns are ignored.
     """
     docs = only(docs, id_col, text_col)
+    bound_batches(docs.sparkSession)
     if sections is not None:
         key = docs.columns[0]
         spans = only(sections, id_col, "section", "start", "end").filter("section IS NOT NULL AND start IS NOT NULL AND `end` IS NOT NULL")
