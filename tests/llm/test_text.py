@@ -72,6 +72,29 @@ def test_bpe(odd_docs, odd_texts, no_docs, nameless):
     assert again.filter("before != decoded").count() == 0
 
 
+def test_bpe_on_documents(spark, sf_dir):
+    tokenizer = library(WORD_BPE)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in bpe.bpe_encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), WORD_BPE, decode=True).collect():
+        ids = tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.ids == ids and r.decoded == tokenizer.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_batched_merges_equal_single_ones():
+    """Many words at once, of every length around a tree's sizes, beside one word at a time; a small cache changes nothing."""
+    coder = bpe.bpe(WORD_BPE)
+    words = [w.encode() for n in (1, 2, 3, 4, 5, 8, 9, 16, 17, 33, 64, 65, 66, 200) for w in ("ab" * n, "theinganer" * n, "é" * n, "zq" * n)]
+    ids, counts = coder.words(words)
+    for word, own in zip(words, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        symbols = coder.inner[np.frombuffer(word, np.uint8)].tolist()
+        symbols[-1] = int(coder.last[word[-1]])
+        assert own.tolist() == bpe.merge(symbols, coder.ranks, coder.results)
+    small = bpe.Bpe(WORD_BPE)
+    small.KEPT = 1
+    for text in ("one two three", "two  four", "one <|endoftext|>two", ""):
+        assert small.encode([text]) == coder.encode([text])
+
+
 def test_bpe_merges_leftmost_lowest():
     ranks = {1 << 20 | 1: 0, 2 << 20 | 1: 1, 3 << 20 | 2: 2}
     assert bpe.merge([1, 1, 1], dict(ranks), [2, 3, 4]) == [3]
@@ -84,9 +107,16 @@ def test_token_counts(spark, odd_docs, odd_texts, no_docs):
     short = [(i, t) for i, t in odd_texts if len(t or "") < 5000]
     got = {}
     for r in token_counts.token_counts(odd_docs, BYTE_BPE).collect():
-        got.setdefault(r.doc_id, {})[r.section] = r.n_tokens
+        got.setdefault(r.doc_id, {})[r.section] = (r.start, r.end, r.n_tokens)
     for doc_id, text in odd_texts:
-        assert sum(got[doc_id].values()) == len(tokenizer.encode(text or "", add_special_tokens=False).ids)
+        assert sum(n for _, _, n in got[doc_id].values()) == len(tokenizer.encode(text or "", add_special_tokens=False).ids)
+        ends = np.cumsum([len(line) + 1 for line in (text or "").split("\n")])
+        lines = [(int(a), min(int(b), len(text or ""))) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        lines = [x for k, x in enumerate(lines) if x[0] < x[1] or k == 0]
+        assert [x[:2] for _, x in sorted(got[doc_id].items())] == lines
+        if (doc_id, text) in short:
+            wanted = brute.attribute(tokenizer.encode(text or "", add_special_tokens=False).offsets, lines)
+            assert {k: x[2] for k, x in got[doc_id].items() if x[2]} == dict(wanted), doc_id
     sections = [(i, k, a, b) for i, _ in short for k, (a, b) in enumerate([(0, 7), (5, 30), (40, 41), (60, 900)])] + [(1, None, 3, 4), (2, 9, None, 4)]
     table = spark.createDataFrame(sections, "doc_id long, section int, start long, end long")
     got = {}
@@ -163,6 +193,22 @@ def test_language_held_out(spark):
     assert sum(r.lang_pred == r.lang for r in rows) / len(rows) > 0.97
 
 
+def test_language_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scores = []
+    for parts in (1, 7):
+        rows = language.identify(docs, language.fit(docs.repartition(parts, "text"), most_docs=60)).collect()
+        scores.append({r.doc_id: (r.lang_pred, r.score) for r in rows})
+    assert scores[0] == scores[1]
+
+
+def test_quality_does_not_depend_on_partitions(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    models = [quality.fit(docs.repartition(parts, "text"), labels, most_pieces=500) for parts in (1, 7)]
+    assert models[0] == models[1]
+
+
 def test_language_edges(spark, odd_docs, no_docs):
     model = language.fit(no_docs)
     assert {r.lang_pred for r in language.identify(odd_docs, model).collect()} == {"und"} and language.identify(no_docs, model).count() == 0
