@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ BUCKET_BYTES = 16 << 20
 #: Null identifiers come after all others.
 LAST_ID = (1 << 63) - 1
 PLACE = U64((1 << 23) - 1)
+#: A minimizer in more blocks than this is split by its windows.
+HOT_BLOCKS = 64
 #: Windows of a run at most: which of them repeat is one mask.
 MASK_BITS = 64
 
@@ -97,10 +100,13 @@ class Block:
         self.flat = np.frombuffer(self.text, np.uint8)
         if self.plan.words:
             self.starts, self.stops, owner = words(self.flat, self.ends, SPACED_WORD)
-            self.units = word_hashes(self.flat, self.starts, self.stops, SPACED_WORD)
             self.offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(self.doc_ids)))))
         else:
-            self.units, self.offsets = self.flat, self.ends
+            self.offsets = self.ends
+
+    @cached_property
+    def units(self) -> np.ndarray:
+        return word_hashes(self.flat, self.starts, self.stops, SPACED_WORD) if self.plan.words else self.flat
 
     @staticmethod
     def of(row: dict, plan: Windows) -> Block:
@@ -138,6 +144,16 @@ class Block:
         first, count, hashes = (np.concatenate(x) for x in zip(*out, strict=True))
         return first, count, hashes, np.searchsorted(self.offsets, first, side="right") - 1
 
+    def window_hashes(self, first: np.ndarray) -> np.ndarray:
+        """A hash of all units of each of the given windows, taken in stretches."""
+        out, length = np.empty(len(first), U64), self.plan.length
+        order = np.argsort(first, kind="stable")
+        for a in range(0, len(first), 1 << 16):
+            part = order[a : a + (1 << 16)]
+            low = int(first[part[0]])
+            out[part] = gram_hashes(self.units[low : int(first[part[-1]]) + length], length)[first[part] - low]
+        return out
+
     def strings(self, first: np.ndarray, count: np.ndarray) -> np.ndarray:
         """The units of runs as rows, with zeros beyond the end."""
         at = first[:, None].astype(np.int32) + np.arange(self.plan.reach, dtype=np.int32)
@@ -222,6 +238,7 @@ def digest_bucket(digests: np.ndarray, n: int) -> np.ndarray:
 
 
 MARK_SCHEMA = "bucket int, block long, hashes binary, again binary, digests binary, least binary"
+REPLY_SCHEMA = "bucket int, block long, marks binary, hot binary, least binary"
 
 
 def send_minimizers(plan: Windows, n_buckets: int):
@@ -251,26 +268,34 @@ def table(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
 
 
-def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For the entries of each block, in their order: which hashes occur in another entry, and the least identifier of each digest."""
-    for _, rows in by_bucket(batches):
-        sizes = [len(r["hashes"]) // 5 for r in rows]
-        wide = np.zeros((sum(sizes), 8), np.uint8)
-        wide[:, :5] = np.frombuffer(b"".join(r["hashes"] for r in rows), np.uint8).reshape(-1, 5)
-        hashes = wide.view(U64).ravel()
-        order = np.argsort(hashes, kind="stable")
-        same = hashes[order][1:] == hashes[order][:-1]
-        marked = np.zeros(len(hashes), bool)
-        marked[order[1:]] |= same
-        marked[order[:-1]] |= same
-        digests = np.frombuffer(b"".join(r["digests"] for r in rows), np.dtype("V16"))
-        _, least, number = minimal_ids(digests, np.frombuffer(b"".join(r["least"] for r in rows), np.int64))
-        a = d = 0
-        for r, n in zip(rows, sizes, strict=True):
-            m = len(r["digests"]) // 16
-            own = marked[a : a + n] | np.unpackbits(np.frombuffer(r["again"], np.uint8), count=n).astype(bool)
-            yield table([(r["bucket"], r["block"], np.packbits(own).tobytes(), least[number[d : d + m]].tobytes())], "bucket int, block long, marks binary, least binary")
-            a, d = a + n, d + m
+def mark(hot_blocks: int):
+    """For the entries of each block, in their order: which hashes occur in another entry, which in more than hot_blocks, and the least identifier of each digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_bucket(batches):
+            sizes = [len(r["hashes"]) // 5 for r in rows]
+            wide = np.zeros((sum(sizes), 8), np.uint8)
+            wide[:, :5] = np.frombuffer(b"".join(r["hashes"] for r in rows), np.uint8).reshape(-1, 5)
+            hashes = wide.view(U64).ravel()
+            order = np.argsort(hashes, kind="stable")
+            same = hashes[order][1:] == hashes[order][:-1]
+            marked = np.zeros(len(hashes), bool)
+            marked[order[1:]] |= same
+            marked[order[:-1]] |= same
+            starts = np.flatnonzero(np.concatenate(([True], ~same))) if len(hashes) else np.zeros(0, np.int64)
+            counts = np.diff(np.append(starts, len(hashes)))
+            hot = np.zeros(len(hashes), bool)
+            hot[order] = np.repeat(counts > hot_blocks, counts)
+            digests = np.frombuffer(b"".join(r["digests"] for r in rows), np.dtype("V16"))
+            _, least, number = minimal_ids(digests, np.frombuffer(b"".join(r["least"] for r in rows), np.int64))
+            a = d = 0
+            for r, n in zip(rows, sizes, strict=True):
+                m = len(r["digests"]) // 16
+                own = marked[a : a + n] | np.unpackbits(np.frombuffer(r["again"], np.uint8), count=n).astype(bool)
+                yield table([(r["bucket"], r["block"], np.packbits(own).tobytes(), np.packbits(hot[a : a + n]).tobytes(), least[number[d : d + m]].tobytes())], REPLY_SCHEMA)
+                a, d = a + n, d + m
+
+    return run
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -290,23 +315,42 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dic
 STRING_SCHEMA = "bucket int, block long, hashes binary, counts binary, strings binary, number binary, ids binary, place binary, first binary, settled binary"
 
 
+def chosen_runs(block: Block, replies: list[dict], n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows, hash and document of the runs to send, and the windows of copies of earlier documents (first, number).
+
+    Runs are those with a marked minimizer, in documents that are no copies. Runs of a minimizer that is met in very many
+    blocks are cut into single windows, each under its own hash, so that no bucket holds all contexts of a frequent gram.
+    """
+    plan = block.plan
+    first, count, hashes, doc = block.runs()
+    by_bucket = {r["bucket"]: r for r in replies}
+    copy = copies(block, by_bucket, n_buckets)
+    known, _ = distinct(hashes, block.doc_ids[doc], plan.strict) if len(hashes) else (hashes, None)
+    marks, hot = np.zeros(len(known), bool), np.zeros(len(known), bool)
+    for k, s in cuts(bucket_of(known, n_buckets)):
+        for bits, name in ((marks, "marks"), (hot, "hot")):
+            bits[s] = np.unpackbits(np.frombuffer(by_bucket[k][name], np.uint8), count=s.stop - s.start)
+    at = np.searchsorted(known, hashes)
+    chosen = marks[at] & ~copy[doc] if len(known) else np.zeros(0, bool)
+    first, count, hashes, doc, split = first[chosen], count[chosen], hashes[chosen], doc[chosen], hot[at][chosen] if len(known) else chosen
+    if split.any():
+        n = np.where(split, count, 1)
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        first, doc, split = np.repeat(first, n) + within, np.repeat(doc, n), np.repeat(split, n)
+        count, hashes = np.where(split, 1, np.repeat(count, n)), np.repeat(hashes, n)
+        hashes[split] = mix(block.window_hashes(first[split]))
+    copied = np.column_stack((block.offsets[:-1][copy], np.diff(block.offsets)[copy] - plan.length + 1))
+    return first, count, hashes, doc, copied[copied[:, 1] > 0]
+
+
 def send_strings(plan: Windows, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block.of(row, plan)
-                first, count, hashes, doc = block.runs()
-                replies = {r["bucket"]: r for r in row["replies"] or []}
-                copy = copies(block, replies, n_buckets)
-                known, _ = distinct(hashes, block.doc_ids[doc], plan.strict) if len(hashes) else (hashes, None)
-                marks = np.zeros(len(known), bool)
-                for k, s in cuts(bucket_of(known, n_buckets)):
-                    marks[s] = np.unpackbits(np.frombuffer(replies[k]["marks"], np.uint8), count=s.stop - s.start)
-                chosen = marks[np.searchsorted(known, hashes)] & ~copy[doc] if len(known) else np.zeros(0, bool)
-                first, count, hashes, doc = first[chosen], count[chosen], hashes[chosen], doc[chosen]
-                settled = [np.column_stack((block.offsets[:-1][copy], np.diff(block.offsets)[copy] - plan.length + 1))]
-                settled[0] = settled[0][settled[0][:, 1] > 0]
+                first, count, hashes, doc, copied = chosen_runs(block, row["replies"] or [], n_buckets)
+                settled = [copied]
                 rows = []
                 if len(first):
                     ids, place = block.doc_ids[doc], first - block.offsets[doc]
@@ -414,28 +458,32 @@ def kept_text(block: Block, gone: np.ndarray, k: int) -> bytes:
     return b" ".join([block.text[x:y] for x, y in zip(block.starts[a:b][left].tolist(), block.stops[a:b][left].tolist(), strict=True)])
 
 
+def results(block: Block, gone: np.ndarray) -> pa.RecordBatch:
+    """doc_id, n_units, spans and kept of the documents of a block."""
+    owner = np.repeat(np.arange(len(block.doc_ids)), np.diff(block.offsets))
+    if len(gone):
+        begin = gone & np.concatenate(([True], ~gone[:-1] | (owner[1:] != owner[:-1])))
+        end = gone & np.concatenate((~gone[1:] | (owner[1:] != owner[:-1]), [True]))
+        a, b = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    else:
+        a = b = np.zeros(0, np.int64)
+    of = owner[a] if len(a) else np.zeros(0, np.int64)
+    spans = pa.ListArray.from_arrays(
+        pa.array(np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(block.doc_ids))))).astype(np.int32)),
+        pa.StructArray.from_arrays([pa.array(a - block.offsets[of]), pa.array(b - block.offsets[of])], ["start", "end"]),
+    )
+    return pa.RecordBatch.from_arrays([
+        pa.array(block.doc_ids, mask=block.doc_ids == LAST_ID), pa.array(np.diff(block.offsets).astype(np.int64)), spans,
+        pa.array([kept_text(block, gone, k) for k in range(len(block.doc_ids))], pa.binary()),
+    ], ["doc_id", "n_units", "spans", "kept"])
+
+
 def finish(plan: Windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block.of(row, plan)
-                gone = removed_units(block, row["replies"] or [])
-                owner = np.repeat(np.arange(len(block.doc_ids)), np.diff(block.offsets))
-                if len(gone):
-                    begin = gone & np.concatenate(([True], ~gone[:-1] | (owner[1:] != owner[:-1])))
-                    end = gone & np.concatenate((~gone[1:] | (owner[1:] != owner[:-1]), [True]))
-                    a, b = np.flatnonzero(begin), np.flatnonzero(end) + 1
-                else:
-                    a = b = np.zeros(0, np.int64)
-                of = owner[a] if len(a) else np.zeros(0, np.int64)
-                spans = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(block.doc_ids))))).astype(np.int32)),
-                    pa.StructArray.from_arrays([pa.array(a - block.offsets[of]), pa.array(b - block.offsets[of])], ["start", "end"]),
-                )
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(block.doc_ids, mask=block.doc_ids == LAST_ID), pa.array(np.diff(block.offsets).astype(np.int64)), spans,
-                    pa.array([kept_text(block, gone, k) for k in range(len(block.doc_ids))], pa.binary()),
-                ], ["doc_id", "n_units", "spans", "kept"])
+                yield results(block, removed_units(block, row["replies"] or []))
 
     return run
 
@@ -445,28 +493,47 @@ def remove_repeats(docs: DataFrame, plan: Windows, resolver: Callable, id_col: s
 
     A unit is removed if a window over it occurs earlier: in a document with a smaller identifier or, unless plan.strict,
     at a smaller place of the same document. Windows are judged on the input. Null texts have no units; null identifiers
-    come after all others; rows that repeat an identifier are not earlier than each other. Further columns are ignored.
+    come after all others; rows that share one, null too, are compared by the places of their windows, so copies of equal
+    identifiers stay. Further columns are ignored.
     """
-    spark = docs.sparkSession
-    path = scratch(spark, "blocks")
-    to_blocks(docs, id_col, text_col).write.option("compression", "none").parquet(path)
-    blocks = spark.read.parquet(path)
-    size = blocks.agg(F.sum(F.expr("cast(octet_length(text) as bigint)"))).first()[0] or 0
-    n = buckets(spark, 3 * size, BUCKET_BYTES)
-
-    def exchange(rows: DataFrame) -> DataFrame:
-        return rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "block")
-
-    def collected(replies: DataFrame, *columns: str) -> DataFrame:
-        """Replies by block: as many rows as buckets at most, with bits and places of the block's own entries."""
-        return replies.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias("replies"))
-
-    columns = ["block", "doc_ids", "ends", "text"]
-    marks = exchange(blocks.select(columns).mapInArrow(send_minimizers(plan, n), MARK_SCHEMA)).mapInArrow(mark, "bucket int, block long, marks binary, least binary")
-    marked = blocks.join(collected(marks, "bucket", "marks", "least"), "block", "left").select(*columns, "replies")
-    strings = exchange(marked.mapInArrow(send_strings(plan, n), STRING_SCHEMA)).mapInArrow(resolve_strings(plan, resolver), "block long, first binary, masks binary, settled binary")
-    final = blocks.join(collected(strings, "first", "masks", "settled"), "block", "left").select(*columns, "replies")
-    return final.mapInArrow(finish(plan), "doc_id long, n_units long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    spread = Spread.of(docs, plan, id_col, text_col)
+    strings = spread.exchange(spread.marked().mapInArrow(send_strings(plan, spread.n), STRING_SCHEMA))
+    found = strings.mapInArrow(resolve_strings(plan, resolver), "block long, first binary, masks binary, settled binary")
+    return spread.with_replies(found, "first", "masks", "settled").mapInArrow(finish(plan), RESULT_SCHEMA)
+
+
+RESULT_SCHEMA = "doc_id long, n_units long, spans array<struct<start:bigint,end:bigint>>, kept binary"
+
+
+@dataclass
+class Spread:
+    """Stored blocks of documents and the number of buckets for their exchanges."""
+
+    blocks: DataFrame
+    plan: Windows
+    n: int
+
+    @staticmethod
+    def of(docs: DataFrame, plan: Windows, id_col: str, text_col: str) -> Spread:
+        spark = docs.sparkSession
+        path = scratch(spark, "blocks")
+        to_blocks(docs, id_col, text_col).write.option("compression", "none").parquet(path)
+        blocks = spark.read.parquet(path)
+        size = blocks.agg(F.sum(F.expr("cast(octet_length(text) as bigint)"))).first()[0] or 0
+        return Spread(blocks.select("block", "doc_ids", "ends", "text"), plan, buckets(spark, 3 * size, BUCKET_BYTES))
+
+    def exchange(self, rows: DataFrame) -> DataFrame:
+        return rows.repartitionById(self.n, F.col("bucket")).sortWithinPartitions("bucket", "block")
+
+    def with_replies(self, replies: DataFrame, *columns: str) -> DataFrame:
+        """Blocks with the replies to them: as many as buckets at most, with bits and places of the block's own entries."""
+        found = replies.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias("replies"))
+        return self.blocks.join(found, "block", "left").select(*self.blocks.columns, "replies")
+
+    def marked(self) -> DataFrame:
+        """Blocks with the marks of their minimizers."""
+        marks = self.exchange(self.blocks.mapInArrow(send_minimizers(self.plan, self.n), MARK_SCHEMA)).mapInArrow(mark(HOT_BLOCKS), REPLY_SCHEMA)
+        return self.with_replies(marks, "bucket", "marks", "hot", "least")
 
 
 def digests(rows: DataFrame, unit: str, text: Column | None = None) -> DataFrame:

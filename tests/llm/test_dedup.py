@@ -1,10 +1,12 @@
 """Exact, near, substring and suffix deduplication against plain versions."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from quarry.llm import components, decontaminate, exact_dedup, jaccard_join, substring_dedup, suffix_dedup
+from quarry.llm import components, decontaminate, exact_dedup, jaccard_join, repeats, substring_dedup, suffix_dedup
 from quarry.llm.common import join_by_key, scratch
 from quarry.llm.repeats import Windows, digests
 from tests.harness import differences
@@ -131,21 +133,64 @@ def test_join_by_key_splits_hot_keys(spark):
     assert joined.count() == 30_000 and joined.filter("k = 0 AND n = 20000").count() == 20_000
 
 
-def test_paths_carry_first_places():
-    """Only heads of paths are looked up; the other windows have the places that each of them has by itself."""
-    rng, length, most = np.random.default_rng(3), 3, 6
-    for letters in (2, 3, 9, 50):
-        counts = rng.integers(1, most + 1, 40)
-        strings = rng.integers(1, letters + 1, (40, length + most - 1)).astype(np.uint64)
-        strings[np.arange(strings.shape[1]) >= (counts + length - 1)[:, None]] = 0
-        ids, places = rng.integers(0, 9, 40), rng.integers(0, 1000, 40)
-        row, offset, edge = substring_dedup.edge_numbers(strings, counts, length, most)
-        head, distance = substring_dedup.paths(offset, edge, offset + 1 < counts[row], most)
-        least = {e: min((ids[r], places[r] + o) for r, o, x in zip(row, offset, edge, strict=True) if x == e) for e in set(edge)}
-        assert all(least[e] == (least[head[e]][0], least[head[e]][1] + distance[e]) for e in least)
-        got_id, got_place = substring_dedup.first_places(strings, counts, ids, places, length, most)
-        assert all((got_id[r, o], got_place[r, o]) == least[e] for r, o, e in zip(row, offset, edge, strict=True))
-        assert letters < 9 or len(set(head)) < len(head)
+def windows_of(texts, length):
+    """Of every word window its places (document, place) in order."""
+    found = {}
+    for doc_id, text in texts:
+        words = brute.SPACED.findall(text)
+        for i in range(len(words) - length + 1):
+            found.setdefault(tuple(words[i : i + length]), []).append((doc_id, i))
+    return found
+
+
+def test_paths_are_glued_across_buckets(spark, monkeypatch):
+    """Windows of a long passage lie in many buckets; they make one path with one source, and without the glue they make many."""
+    passage, length = prose(70, 400), 20
+    texts = [(1, prose(71, 50) + " " + passage + " " + prose(72, 30)), (2, prose(73, 40) + " " + passage), (3, passage + " " + prose(74, 20))]
+    docs, plan = spark.createDataFrame(texts, "doc_id long, text string").repartition(3), Windows.of(length, 5, words=True, strict=False)
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 200)
+    spread = repeats.Spread.of(docs, plan, "doc_id", "text")
+    edges = spread.exchange(spread.marked().mapInArrow(substring_dedup.send_edges(plan, spread.n), substring_dedup.EDGE_SCHEMA))
+    paths = edges.mapInArrow(substring_dedup.resolve_edges(plan), substring_dedup.GRAPH_SCHEMA).filter("kind = 0")
+    rows, whole = paths.collect(), substring_dedup.glued(paths).collect()
+    wanted = windows_of(texts, length)
+    assert len(rows) > 5 and len(whole) == len(rows) and sum(r.length for r in rows) == sum(len(p) > 1 for p in wanted.values())
+    assert {(r.source_id, r.source_place - r.source_unit) for r in whole} == {(1, 0)}
+    spans = digests(substring_dedup.substring_dedup(docs, length), "words").collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in spans} == brute.spaced_repeats(texts, length) and {r.n_spans for r in spans} == {0, 1}
+
+
+def test_compaction_stops_at_branches():
+    """Edges 1-2-3 follow one another always; 4 and 5 both follow 3, and 4 ends a document."""
+    own = np.array([1, 2, 3, 4, 5], np.uint64)
+    head, distance = substring_dedup.compacted(own, np.array([0, 1, 2, 3, 3], np.uint64), np.array([2, 3, 0, 0, 0], np.uint64))
+    assert head.tolist() == [0, 0, 0, 3, 4] and distance.tolist() == [0, 1, 2, 0, 0]
+    assert substring_dedup.compacted(own[:0], own[:0], own[:0])[0].tolist() == []
+
+
+def test_spans_are_verified_on_words(spark, monkeypatch):
+    """Where hashes take different words for equal ones, the words at the source tell them apart."""
+    real = repeats.word_hashes
+    monkeypatch.setattr(repeats, "word_hashes", lambda *a: real(*a) >> np.uint64(63) | np.uint64(1))
+    plan = Windows.of(20, 5, words=True, strict=False)
+    rows = [{"block": 1, "doc_ids": np.array([1, 2]).tobytes(), "ends": np.array([0, len(t), 2 * len(t)]).tobytes(), "text": zstandard.compress(t + u)} for t, u in [(prose(75, 40).encode(), prose(75, 40).encode())]]
+    block = repeats.Block.of(rows[0], plan)
+    good, bad = substring_dedup.words_digest(block, 0, 40), substring_dedup.words_digest(block, 1, 40)
+    spans = np.array([[40, 21, 0], [41, 20, 0]], np.uint32)
+    row = rows[0] | {"replies": [{"block": 5, "spans": spans.tobytes(), "digests": good + bad}]}
+    out = list(substring_dedup.differing(plan)([pa.RecordBatch.from_pylist([row])]))
+    assert [b.to_pylist() for b in out] == [[{"block": 5, "first": 41}]]
+
+
+@pytest.mark.parametrize("hot", [0, 1])
+def test_hot_minimizers_are_split(spark, monkeypatch, odd_docs, odd_texts, hot):
+    """Minimizers met in more than so many blocks are sent window by window; nothing changes."""
+    monkeypatch.setattr(repeats, "HOT_BLOCKS", hot)
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 1000)
+    plan_rows = digests(substring_dedup.substring_dedup(odd_docs), "words").collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in plan_rows} == brute.spaced_repeats(odd_texts)
+    rows = digests(suffix_dedup.suffix_dedup(odd_docs), "bytes").collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == brute.byte_repeats(odd_texts)
 
 
 @pytest.mark.parametrize("length", [20, 5])
