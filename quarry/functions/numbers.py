@@ -17,20 +17,35 @@ NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
 APPROXIMATE_DAYS = 6
 
 
+# The number of a cell with what may stand around it, a list of steps after it, and a weight.
+CELL = rf"^(.*?)[{BLANKS}（(]*{NUMBER}[{BLANKS}]*分?[{BLANKS}]*[）)]?$"
+STEPS = rf"[{BLANKS}]*[（(][0-9.,，、{BLANKS}\-—~～]+[）)][{BLANKS}]*$"
+WEIGHT = rf"{NUMBER}[{BLANKS}]*[%％]"
+IDEOGRAPH = r"[\x{4e00}-\x{9fff}]"
+
+
+def cell_text(text: Column) -> Column:
+    """A cell without blanks around it and without those that line breaks have left between ideographs."""
+    return F.regexp_replace(stripped(text_of(text)), rf"(?<={IDEOGRAPH})[{BLANKS}]+(?={IDEOGRAPH})", "")
+
+
 def points_cell(text: Column) -> Column:
-    """Name and points of a cell such as "name (50 points)"; a cell without a number is all name."""
-    t = stripped(text_of(text))
-    form = rf"^(.*?)[{BLANKS}（(]*{NUMBER}[{BLANKS}]*分?[{BLANKS}]*[）)]?$"
-    found = t.rlike(form)
-    name = F.regexp_replace(F.regexp_extract(t, form, 1), r"^[ ：:（(]+|[ ：:（(]+$", "")
-    return F.struct(F.when(found, name).otherwise(t).alias("name"), F.when(found, F.regexp_extract(t, form, 2).cast("double")).alias("points"))
+    """Name and points of a cell such as "name (50 points)"; a cell without a number is all name.
+
+    A cell that begins with its number may end in the steps of an award, such as "10 (10, 5, 0)"; they do not count.
+    """
+    whole = cell_text(text)
+    t = F.when(whole.rlike(f"^{NUMBER}"), F.regexp_replace(whole, STEPS, "")).otherwise(whole)
+    found = t.rlike(CELL)
+    name = F.regexp_replace(F.regexp_extract(t, CELL, 1), r"^[ ：:（(]+|[ ：:（(]+$", "")
+    return F.struct(F.when(found, name).otherwise(t).alias("name"), F.when(found, F.regexp_extract(t, CELL, 2).cast("double")).alias("points"))
 
 
 def category_weight(text: Column) -> Column:
     """Name and weight of a cell such as "technical part 60%"."""
-    t = stripped(text_of(text))
-    weight = F.regexp_extract(t, rf"{NUMBER}[{BLANKS}]*[%％]", 1)
-    name = stripped(F.regexp_replace(t, rf"[（(]?[{BLANKS}]*{NUMBER}[{BLANKS}]*[%％][{BLANKS}]*[）)]?", ""))
+    t = cell_text(text)
+    weight = F.regexp_extract(t, WEIGHT, 1)
+    name = stripped(F.regexp_replace(t, rf"[（(]?[{BLANKS}]*{WEIGHT}[{BLANKS}]*[）)]?", ""))
     return F.struct(name.alias("name"), F.when(weight != "", weight.cast("double")).alias("weight"))
 
 

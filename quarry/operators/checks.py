@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import bands, parse_date
+from ..functions.numbers import bands, parse_date, same_value
 from ..functions.text import BLANKS, text_of
+from .matching import containing
 
 # Codes of material problems, the status that each leads to, and statuses from the worst on.
 PROBLEM_STATUS = {
@@ -63,41 +64,56 @@ def quality_dimensions(sections: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("total", total).withColumn("rating", bands(F.col("total")))
 
 
-def keyword_scan(requirements: DataFrame, texts: DataFrame, req_id: str, text_id: str) -> DataFrame:
-    """(text_id, req_id, hits, covered): requirements whose terms stand in a text; covered by two terms, or one of five characters.
+# What a clause is scanned for, marks that are no part of it, and words that say nothing.
+SCAN_TERM, CLAUSE_MARKS = "[\\x{4e00}-\\x{9fa5}A-Za-z0-9]{3,}", "[★▲]"
+SCAN_STOP = ("投标人", "所投系统", "必须", "应当", "本项目")
+WRITTEN_CHARS = 20
 
-    requirements: req_id, terms (array of words). Terms are joined to the words of texts; nothing else is compared.
+
+def keyword_scan(clauses: DataFrame, texts: DataFrame, clause_id: str, group: str) -> DataFrame:
+    """(group, clause_id, hits, covered): terms of each clause that the group's texts contain; covered by two, or one of five characters.
+
+    clauses: group, clause_id, clause. texts: group, text_id, text; texts of at most 20 characters do not count. Terms are runs
+    of three or more letters, digits and ideographs; a term that a clause repeats counts as often.
     """
-    from .retrieval import tokens
+    terms = F.filter(F.regexp_extract_all(F.regexp_replace(F.coalesce("clause", F.lit("")), CLAUSE_MARKS, ""), F.lit(SCAN_TERM), F.lit(0)), lambda t: ~t.isin(*SCAN_STOP))
+    each = clauses.select(group, clause_id, terms.alias("terms"))
+    asked = each.select(group, clause_id, F.explode("terms").alias("term"))
+    written = texts.filter(F.length(F.trim(F.coalesce("text", F.lit("")))) > WRITTEN_CHARS)
+    found = containing(asked.select("term").distinct(), written.select("text_id", "text"), "text_id", ["text"])
+    held = found.select("text_id", F.explode("found.term").alias("term")).join(written.select("text_id", group), "text_id").select(group, "term").distinct()
+    hits = asked.join(held, [group, "term"]).groupBy(group, clause_id).agg(F.count("*").alias("hits"), F.max(F.length("term")).alias("longest"))
+    rows = clauses.select(group, clause_id).join(hits, [group, clause_id], "left")
+    return rows.select(group, clause_id, F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce((F.col("hits") >= 2) | (F.col("longest") >= 5), F.lit(False)).alias("covered"))
+
 
-    terms = requirements.select(req_id, F.explode(F.array_distinct(F.transform("terms", lambda t: F.lower(t)))).alias("term"))
-    words = texts.select(text_id, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    found = words.join(terms, "term").groupBy(text_id, req_id).agg(F.count("*").alias("hits"), F.max(F.length("term")).alias("longest"))
-    return found.select(text_id, req_id, "hits", ((F.col("hits") >= 2) | (F.col("longest") >= 5)).alias("covered"))
+LARGER_IS_BETTER = ("warranty", "staff", "inspection", "window")
 
 
 def commitment_relations(claims: DataFrame, facts: DataFrame) -> DataFrame:
-    """claims (claim_id, topic, scope, dimension, number, approx, comparator) with relation to the facts of their topic.
+    """claims with relation to the facts of their topic (of all topics where it is null) and scope.
 
-    backed: an equal fact in the same scope; stronger: at least as good as one; incomparable: other dimensions only;
-    conflict: worse, or opposite bounds; scope_unknown: facts of the topic in other scopes only; unbacked: no fact.
-    Facts are summed up by topic and scope through flags of the joined rows, so a claim never becomes more than one row.
+    Both have topic, scope, dimension, number, value, approx and comparator; scope stands for grade, place and subject together.
+    scope_unknown: facts, but none in this scope; conflict: opposite bounds; backed: an equal fact; unbacked: no fact, or no
+    topic; stronger: at least as good as one; incomparable: one of another dimension; else conflict. The distinct facts of a
+    topic and scope are one row, so a claim never becomes more than one.
     """
-    topics = facts.select("topic").distinct().withColumn("_known", F.lit(True))
-    own = facts.select("topic", "scope", *[F.col(c).alias(f"_{c}") for c in ("dimension", "number", "approx", "comparator")])
-    both = claims.join(topics, "topic", "left").join(own, ["topic", "scope"], "left")
-    slack = F.when(F.col("dimension") == "minute", 8640.0).otherwise(6.0)
-    same = (F.col("_dimension") == F.col("dimension")) & F.when(F.col("approx") | F.col("_approx"), F.abs(F.col("number") - F.col("_number")) <= slack).otherwise(F.col("number") == F.col("_number"))
-    opposite = F.col("comparator").isin("le", "ge") & F.col("_comparator").isin("le", "ge") & (F.col("comparator") != F.col("_comparator"))
-    better = F.when(F.col("topic").isin("warranty", "staff", "inspection"), F.col("number") >= F.col("_number")).otherwise(F.col("number") <= F.col("_number"))
-    better = F.when(F.col("_dimension") == F.col("dimension"), better)
-    flags = both.groupBy(*claims.columns).agg(
-        F.bool_or("_known").alias("known"), F.count("_dimension").alias("candidates"), F.bool_or(opposite).alias("opposite"), F.bool_or(same).alias("same"),
-        F.bool_or(better).alias("better"), F.bool_or(F.when(F.col("_dimension").isNotNull(), better.isNull())).alias("incomparable"),
+    fact = F.struct("topic", "dimension", "number", "value", "approx", "comparator")
+    each = facts.select("scope", fact.alias("fact"), F.explode(F.array(F.coalesce("topic", F.lit("")), F.lit(""))).alias("_topic"))
+    own = each.groupBy("_topic", "scope").agg(F.collect_set("fact").alias("_facts"))
+    known = own.select("_topic").distinct().withColumn("_known", F.lit(True))
+    rows = claims.withColumn("_topic", F.coalesce("topic", F.lit(""))).join(known, "_topic", "left").join(own, ["_topic", "scope"], "left")
+    some = lambda test: F.coalesce(F.exists("_facts", test), F.lit(False))
+    comparable = lambda f: f["dimension"] == F.col("dimension")
+    better = lambda f: F.when(f["topic"].isin(*LARGER_IS_BETTER), F.col("number") >= f["number"]).otherwise(F.col("number") <= f["number"])
+    bound = lambda c: c.isin("le", "ge")
+    opposite = some(lambda f: bound(F.col("comparator")) & bound(f["comparator"]) & (F.col("comparator") != f["comparator"]))
+    mine = F.struct("dimension", "number", "value", "approx")
+    relation = (
+        F.when(F.col("_known") & F.col("_facts").isNull(), "scope_unknown").when(opposite, "conflict").when(some(lambda f: same_value(mine, f)), "backed")
+        .when(F.col("_facts").isNull() | (F.col("_topic") == ""), "unbacked").when(some(lambda f: comparable(f) & better(f)), "stronger").when(some(lambda f: ~comparable(f)), "incomparable").otherwise("conflict")
     )
-    relation = F.when(F.col("known") & (F.col("candidates") == 0), "scope_unknown").when(F.col("opposite"), "conflict").when(F.col("same"), "backed").when(F.col("candidates") == 0, "unbacked")
-    relation = relation.when(F.col("better"), "stronger").when(F.col("incomparable"), "incomparable").otherwise("conflict")
-    return flags.select(*claims.columns, relation.alias("relation"))
+    return rows.select(*claims.columns, relation.alias("relation"))
 
 
 def preflight(checks: dict[str, DataFrame], most_details: int = 50) -> DataFrame:

@@ -15,6 +15,16 @@ def without_noise(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_place", place).filter((F.length("_bare") > SHORT_LINE) | (F.col("_place") <= REPEATS_KEPT)).drop("_bare", "_place")
 
 
+def kept_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id and kept, the lines (pos, line) of each document by the rule of `without_noise`, in order; nothing is shuffled."""
+    cut = F.transform(lines(F.col(text)), lambda line, i: F.struct(without_blanks(line).alias("bare"), i.alias("pos"), line.alias("line")))
+    clean = F.array_sort(F.filter(cut, lambda x: ~noise_line(x["line"])))
+    # Equal lines stand together: the fourth of them has the first one three places before it.
+    few = lambda s: F.filter(s, lambda x, i: (F.length(x["bare"]) > SHORT_LINE) | F.coalesce(F.get(s, i - REPEATS_KEPT)["bare"] != x["bare"], F.lit(True)))
+    kept = F.element_at(F.transform(F.array(clean), few), 1)
+    return docs.select("doc_id", F.array_sort(F.transform(kept, lambda x: F.struct(x["pos"].alias("pos"), x["line"].alias("line")))).alias("kept"))
+
+
 def repeated(rows: DataFrame) -> DataFrame:
     """Lines that stand more than once in a document, blank ones aside."""
     return rows.filter(without_blanks(F.col("line")) != "").groupBy("doc_id", "line").agg(F.count("*").alias("n")).filter("n > 1")

@@ -1,15 +1,18 @@
 """Matching of phrases and texts by pairs of characters: overlap of points, entity matches and assignments.
 
-Candidates are found by an equi-join on character pairs (an inverted index), never by comparing everything with everything:
-a score above zero needs a shared pair. Phrases are the small side of the index.
+Texts that contain a term are found by an equi-join on character pairs (an inverted index). Phrases that are scored against
+whole texts are a stated query set, compared in blocks with texts that stay where they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import BLANKS, text_of, without_blanks
 from .ranks import first_rows
@@ -89,6 +92,11 @@ def mentioned(points: Column, text: Column) -> Column:
     return let(forms(text), lambda t: F.filter(points, lambda p: let(forms(p), lambda own: overlap(own, t)) >= MENTIONED))
 
 
+def mentioned_in(points: Column, text: Column) -> Column:
+    """Those of an array of points that a text, given by its forms, mentions."""
+    return F.filter(points, lambda p: let(forms(p), lambda own: overlap(own, text)) >= MENTIONED)
+
+
 def phrase_ratio(phrase: Column, text: Column) -> Column:
     def ratio(own: Column, other: Column) -> Column:
         return F.when(F.length(own) < 2, 0.0).when(F.contains(other, own), 1.0).otherwise(let(pairs(own), lambda grams: share_in(grams, other)))
@@ -102,20 +110,63 @@ def code_ok(phrase: Column, text: Column) -> Column:
     return (F.size(own) == 0) | F.arrays_overlap(own, codes(text))
 
 
-def ratios(phrases: DataFrame, texts: DataFrame, phrase_id: str, text_id: str, least: float) -> DataFrame:
+#: Phrases that are held at once as a stated query set, and texts that are compared with them by one product.
+PHRASES, TEXTS = 5_000, 256
+
+
+def ratios(phrases: DataFrame, texts: DataFrame, phrase_id: str, text_id: str, least: float, per_phrase: int | None = None, per_text: int | None = None) -> DataFrame:
     """(phrase_id, text_id, ratio): share of each phrase's core pairs that stand in a text, where it reaches `least` (above 0).
 
-    Texts are reduced to their distinct pairs and cut to those that any phrase has before they are shuffled. Codes of a
-    phrase must meet those of the text.
+    Phrases are a stated query set, taken in blocks; texts stay where they are and are compared with a block by presence
+    vectors of its pairs. Codes of a phrase must meet those of the text. With per_phrase only the best so many texts of a
+    phrase are handed on by a batch, with per_text only the best phrases of a text; ties by identifier. What is handed on holds
+    the best rows of all, which `best_matches` and `assigned` cut.
     """
-    own = phrases.select(phrase_id, F.col("text").alias("_phrase"), pairs(phrase_core(F.col("text"))).alias("_pairs"), codes(F.col("text")).alias("_codes"))
-    own = own.filter(F.size("_pairs") > 0).withColumn("_n", F.size("_pairs"))
-    asked = own.select(phrase_id, "_n", F.explode("_pairs").alias("_pair"))
-    each = texts.select(text_id, F.explode(pairs(compact(F.col("text")))).alias("_pair")).join(asked.select("_pair").distinct(), "_pair", "left_semi")
-    counted = each.join(asked, "_pair").groupBy(phrase_id, "_n", text_id).agg(F.count("*").alias("_shared"))
-    found = counted.select(phrase_id, text_id, (F.col("_shared") / F.col("_n")).alias("ratio")).filter(F.col("ratio") >= least)
-    told = found.join(own.select(phrase_id, "_codes"), phrase_id).join(texts.select(text_id, codes(F.col("text")).alias("_own")), text_id)
-    return told.filter((F.size("_codes") == 0) | F.arrays_overlap("_codes", "_own")).select(phrase_id, text_id, "ratio")
+    asked = phrases.select(phrase_id, pairs(phrase_core(F.col("text"))).alias("pairs"), codes(F.col("text")).alias("codes")).filter(F.size("pairs") > 0)
+    rows = texts.select(text_id, compact(F.col("text")).alias("text"), codes(F.col("text")).alias("codes"))
+    schema = StructType([asked.schema[phrase_id], rows.schema[text_id], StructField("ratio", DoubleType())])
+    n_blocks = max(1, -(-asked.count() // PHRASES))
+    asked = asked.withColumn("_block", F.pmod(F.xxhash64(phrase_id), F.lit(n_blocks)))
+    found = None
+    for k in range(n_blocks):
+        part = asked.filter(F.col("_block") == k).drop("_block").toPandas().sort_values(phrase_id, ignore_index=True)
+        more = rows.mapInArrow(presence_ratios(part, phrase_id, text_id, least, per_phrase, per_text), schema)
+        found = more if found is None else found.unionByName(more)
+    return found
+
+
+def presence_ratios(part, phrase_id: str, text_id: str, least: float, per_phrase: int | None, per_text: int | None):
+    """A function over Arrow batches (text_id, text, codes) for one block of phrases."""
+    vocabulary = {p: i for i, p in enumerate(sorted({p for own in part["pairs"] for p in own}))}
+    sizes = np.array([len(own) for own in part["pairs"]], np.int64)
+    columns = np.array([vocabulary[p] for own in part["pairs"] for p in own], np.int64)
+    begins, ids = np.cumsum(sizes) - sizes, part[phrase_id].tolist()
+    coded = {k: set(own) for k, own in enumerate(part["codes"]) if len(own)}
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows if ids else 0, TEXTS):
+                own = batch.slice(a, TEXTS)
+                keys, texts, marks = own.column(0).to_pylist(), own.column(1).to_pylist(), own.column(2).to_pylist()
+                present = np.zeros((len(texts), len(vocabulary)), np.uint8)
+                for i, text in enumerate(texts):
+                    present[i, [vocabulary[p] for p in set(map("".join, zip(text, text[1:], strict=False))) if p in vocabulary]] = 1
+                share = np.add.reduceat(present[:, columns], begins, axis=1, dtype=np.int32) / sizes
+                for k, wanted in coded.items():
+                    share[[wanted.isdisjoint(m) for m in marks], k] = 0
+                share[share < least] = 0
+                order = np.array(sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i])), np.int64)
+                share = share[order]
+                if per_phrase is not None and per_phrase < len(keys):
+                    worse = np.argsort(-share, axis=0, kind="stable")[per_phrase:]
+                    np.put_along_axis(share, worse, 0, axis=0)
+                if per_text is not None and per_text < len(ids):
+                    worse = np.argsort(-share, axis=1, kind="stable")[:, per_text:]
+                    np.put_along_axis(share, worse, 0, axis=1)
+                i, k = np.nonzero(share)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in k]), own.column(0).take(pa.array(order[i])), pa.array(share[i, k])], [phrase_id, text_id, "ratio"])
+
+    return run
 
 
 def best_matches(found: DataFrame, key: str, other: str, most: int = 8) -> DataFrame:
@@ -128,14 +179,52 @@ def assigned(found: DataFrame, point_id: str, leaf_id: str, least: float = 0.5)
     return first_rows(found.filter(F.col("ratio") >= least), [point_id], [F.desc("ratio"), F.asc(leaf_id)], 1).drop("rank")
 
 
+def closest_leaf(points: DataFrame, leaves: DataFrame, least: float = 0.5) -> DataFrame:
+    """(owner, point_id, leaf_id, overlap): each point with the leaf of its owner that it overlaps most, by `point_overlap`.
+
+    points: owner, point_id, point. leaves: owner, leaf_id, pos, text. Leaves of an owner (a chapter) are few; a point of
+    less than `least` everywhere has no row, and the first leaf wins a tie.
+    """
+    own = leaves.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("pos", "leaf_id", forms(F.col("text")).alias("form")))).alias("leaves"))  # the leaves of one chapter
+    both = points.join(own, "owner").withColumn("form", forms(F.col("point")))
+    scored = F.transform("leaves", lambda x: F.struct(overlap(F.col("form"), x["form"]).alias("overlap"), (-x["pos"]).alias("place"), x["leaf_id"].alias("leaf_id")))
+    best = both.select("owner", "point_id", F.array_max(scored).alias("best"))
+    return best.filter(F.col("best.overlap") >= least).select("owner", "point_id", F.col("best.leaf_id").alias("leaf_id"), F.round("best.overlap", 6).alias("overlap"))
+
+
+def containing(terms: DataFrame, texts: DataFrame, text_id: str, parts: list[str]) -> DataFrame:
+    """(text_id, found): for each text with any, the terms that one of its columns `parts` contains, with flags in their order.
+
+    terms has distinct strings `term` of two characters or more. A text that contains a term contains all its pairs of
+    characters, so candidates come from an index of the texts' pairs, cut to the pair of each term that the fewest texts have;
+    each text is then tested once against its candidates.
+    """
+    own = F.array_distinct(F.flatten(F.array(*[pairs(text_of(F.col(p))) for p in parts])))
+    asked = terms.filter(F.length("term") >= 2).select("term").distinct()
+    each = texts.select(text_id, F.explode(own).alias("pair"))
+    wanted = asked.select("term", F.explode(pairs(F.col("term"))).alias("pair"))
+    held = each.join(wanted.select("pair").distinct(), "pair", "left_semi")
+    counts = held.groupBy("pair").agg(F.count("*").alias("n"))
+    anchors = wanted.join(counts, "pair").groupBy("term").agg(F.min_by("pair", F.struct("n", "pair")).alias("pair"), F.count("*").alias("known"), F.first(F.size(pairs(F.col("term")))).alias("all"))
+    candidates = held.join(anchors.filter("known = all").select("term", "pair"), "pair").groupBy(text_id).agg(F.collect_set("term").alias("terms"))
+    both = texts.join(candidates, text_id)
+    flags = lambda t: [F.contains(text_of(F.col(p)), t).alias(p) for p in parts]
+    found = F.filter(F.transform("terms", lambda t: F.struct(t.alias("term"), *flags(t))), lambda x: F.exists(F.array(*[x[p] for p in parts]), lambda f: f))
+    return both.select(text_id, found.alias("found")).filter(F.size("found") > 0)
+
+
 def keyword_hits(keywords: DataFrame, sections: DataFrame, section_id: str) -> DataFrame:
-    """(keyword, section_id, score): sections whose title (3 points) or body (1 point, at most twice) holds a keyword as words.
+    """(section_id, score, hits): sections that contain keywords, 3 points in the title and 1 in the body, doubled for primary keywords.
 
-    keywords (keyword) are single words; title and body are matched by words, so that the join is on words.
+    keywords: keyword (two characters or more), primary. sections: section_id, title, body. hits are the keywords, sorted.
     """
-    from .retrieval import tokens
+    asked = keywords.groupBy("keyword").agg(F.bool_or("primary").alias("primary"))
+    found = containing(asked.select(F.col("keyword").alias("term")), sections, section_id, ["title", "body"])
+    rows = found.select(section_id, F.explode("found").alias("f")).select(section_id, F.col("f.term").alias("keyword"), (3 * F.col("f.title").cast("int") + F.col("f.body").cast("int")).alias("points"))
+    rows = rows.join(asked, "keyword").withColumn("points", F.col("points") * F.when(F.col("primary"), 2).otherwise(1))
+    return rows.groupBy(section_id).agg(F.sum("points").alias("score"), F.array_sort(F.collect_list("keyword")).alias("hits"))
+
 
-    words = sections.select(section_id, F.explode(F.array(F.struct(F.lit(3).alias("w"), tokens(F.col("title")).alias("t")), F.struct(F.lit(1).alias("w"), tokens(F.col("body")).alias("t")))).alias("s"))
-    each = words.select(section_id, F.col("s.w").alias("w"), F.explode("s.t").alias("keyword")).join(keywords.select(F.lower("keyword").alias("keyword")).distinct(), "keyword", "left_semi")
-    counted = each.groupBy("keyword", section_id, "w").agg(F.least(F.count("*"), F.lit(2)).alias("n"))
-    return counted.groupBy("keyword", section_id).agg(F.sum(F.when(F.col("w") == 3, F.lit(3)).otherwise(F.col("n"))).alias("score"))
+def related_sections(keywords: DataFrame, sections: DataFrame, section_id: str, most: int = 8) -> DataFrame:
+    """The sections with the highest scores of `keyword_hits`; ties by identifier."""
+    return keyword_hits(keywords, sections, section_id).orderBy(F.desc("score"), section_id).limit(most)

@@ -13,9 +13,12 @@ from ..functions.numbers import dot, norm, usable_vector
 from ..functions.text import text_of
 from .links import fused
 from .ranks import first_rows
+from .trees import cut
 
 #: Rows of queries (their terms, or vectors) that are broadcast at most.
 MOST_BROADCAST = 100_000
+#: Query vectors that are compared with all vectors at once.
+QUERY_BLOCK = 2_000
 # Constants of the ranking functions.
 K1, B, NEGATIVE_SHARE = 1.5, 0.75, 0.25
 FUSION_K, QUERY_CHARS, PINNED_SCORE = 60, 512, 10.0
@@ -42,10 +45,10 @@ def bm25(docs: DataFrame, queries: DataFrame, most: int | None, doc_id: str = "d
 
     Only documents that share a term with the query are ranked. A term that more than half of the documents hold has a
     negative weight, which is replaced by a share of the mean weight. Repeated query terms count as often as they occur. Equal
-    scores are ranked by identifier. Document frequencies are counted before the shuffle, a row a term; of the postings only
-    those of query terms are moved.
+    scores are ranked by identifier. Words are written to the shared folder, so that they are cut out once. Document frequencies
+    are counted before the shuffle, a row a term; of the postings only those of query terms are moved.
     """
-    words = docs.select(doc_id, tokens(F.col("text")).alias("words"))
+    words = cut(docs.select(doc_id, tokens(F.col("text")).alias("words")), "words")  # texts are cut into words once
     asked = queries.select(query_id, F.explode(tokens(F.col("text"))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("asked"))
     frequencies = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     sizes = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean_size"))
@@ -53,7 +56,7 @@ def bm25(docs: DataFrame, queries: DataFrame, most: int | None, doc_id: str = "d
     floor = weights.agg(F.avg("idf").alias("mean_idf"))
     weights = weights.join(small(asked.select("term").distinct()), "term", "left_semi").join(F.broadcast(floor))  # one row
     weights = weights.select("term", "mean_size", F.when(F.col("idf") < 0, NEGATIVE_SHARE * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    terms = small(asked.join(weights, "term"))
+    terms = small(cut(asked.join(weights, "term"), "terms"))  # a row a query term
     postings = words.select(doc_id, F.size("words").alias("size"), F.explode("words").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
     counts = postings.groupBy(doc_id, "size", "term").agg(F.count("*").alias("tf"))
     part = F.col("asked") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
@@ -69,13 +72,18 @@ def dense(vectors: DataFrame, queries: DataFrame, most: int | None, doc_id: str
     """(query_id, doc_id, score, rank): vectors ranked for each query vector by cosine similarity.
 
     Both sides have columns vector and version; only vectors of the query's version and dimension are compared, and vectors
-    that are empty or not finite are left out.
+    that are empty or not finite are left out. Queries are a stated set: they are broadcast in blocks, and vectors stay where they are.
     """
     own = vectors.filter(usable_vector(F.col("vector"))).select(doc_id, "version", F.size("vector").alias("dim"), "vector", norm(F.col("vector")).alias("length"))
     asked = queries.filter(usable_vector(F.col("vector"))).select(query_id, "version", F.size("vector").alias("dim"), F.col("vector").alias("asked"), norm(F.col("vector")).alias("asked_length"))
-    both = own.join(small(asked), ["version", "dim"])
     score = F.round(dot(F.col("vector"), F.col("asked")) / ((F.col("length") + 1e-10) * (F.col("asked_length") + 1e-10)), DIGITS)
-    return ranked(both.select(query_id, doc_id, score.alias("score")), query_id, doc_id, most)
+    n_blocks, found = max(1, -(-asked.count() // QUERY_BLOCK)), None
+    for k in range(n_blocks):
+        block = asked.filter(F.pmod(F.xxhash64(query_id), F.lit(n_blocks)) == k)
+        more = own.join(F.broadcast(block), ["version", "dim"]).select(query_id, doc_id, score.alias("score"))
+        more = ranked(more, query_id, doc_id, most).drop("rank") if n_blocks > 1 else more
+        found = more if found is None else found.unionByName(more)
+    return ranked(found, query_id, doc_id, most)
 
 
 def staleness(vectors: DataFrame, version: str, dim: int) -> DataFrame:

@@ -6,6 +6,7 @@ about log2(d) joins, each written to the shared folder so that plans stay short
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,15 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder (spark.checkpoint.dir; where that is unset, as in tests, a temporary one) and read back."""
+    """df written to the shared folder and read back: spark.checkpoint.dir, or the checkpoint directory set on the context.
+
+    Where neither is set, a session in one process (as in tests) gets a temporary folder; on a cluster that is an error.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         base = spark.sparkContext.getCheckpointDir()
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -55,7 +55,7 @@ def matches(spark, sf_dir):
     key = F.min("p_partkey")
     phrases = table(spark, sf_dir, "part").groupBy("p_name").agg(key.alias("part_id")).select("part_id", F.concat(ideographs(F.col("p_name")), F.when(F.col("part_id") % 5 == 0, " 27001").otherwise("")).alias("text"))
     texts = table(spark, sf_dir, "documents").select("doc_id", ideographs(F.coalesce("text", F.lit(""))).alias("text"))
-    return matching.ratios(phrases, texts, "part_id", "doc_id", 0.5)
+    return matching.ratios(phrases, texts, "part_id", "doc_id", 0.5, per_phrase=8)
 
 
 @query(MATCHES + "SELECT part_id, doc_id, round(ratio, 6) AS ratio, row_number() OVER (PARTITION BY part_id ORDER BY ratio DESC, doc_id) AS rank FROM m QUALIFY rank <= 8")
@@ -63,22 +63,37 @@ def best_match(spark, sf_dir):
     return matching.best_matches(matches(spark, sf_dir), "part_id", "doc_id").withColumn("ratio", F.round("ratio", 6))
 
 
-@query(MATCHES + "SELECT doc_id, part_id, round(ratio, 6) AS ratio FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ratio DESC, part_id) = 1")
+@query(f"""WITH j AS (SELECT conv_id, turn, p_name AS point, {BARE.replace('{0}', 'p_name')} AS bp, {CORE.replace('{0}', 'p_name')} AS cp, {BARE.replace('{0}', 'text')} AS bt, {CORE.replace('{0}', 'text')} AS ct FROM conversations JOIN part ON p_partkey = conv_id),
+o AS (SELECT conv_id, turn, round({overlap_sql('bp', 'cp', 'bt', 'ct')}, 6) AS overlap FROM j)
+SELECT conv_id AS owner, 0 AS point_id, turn AS leaf_id, overlap FROM o WHERE overlap >= 0.2 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY overlap DESC, turn) = 1""")
 def assigned_points(spark, sf_dir):
-    return matching.assigned(matches(spark, sf_dir), "doc_id", "part_id").withColumn("ratio", F.round("ratio", 6))
+    points = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("owner"), F.lit(0).alias("point_id"), F.col("p_name").alias("point"))
+    leaves = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("owner"), F.col("turn").alias("leaf_id"), F.col("turn").alias("pos"), "text")
+    return matching.closest_leaf(points, leaves, 0.2)
 
 
-@query("""WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS keyword FROM benchmark),
-w AS (SELECT page_id, 3 AS w, unnest(regexp_extract_all(lower(coalesce(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '')), '[\\p{L}\\p{N}]+')) AS keyword FROM pages
-UNION ALL SELECT page_id, 1, unnest(regexp_extract_all(lower(coalesce(html, '')), '[\\p{L}\\p{N}]+')) FROM pages),
-c AS (SELECT keyword, page_id, w, least(count(*), 2) AS n FROM w JOIN k USING (keyword) GROUP BY ALL)
-SELECT keyword, page_id, CAST(sum(CASE WHEN w = 3 THEN 3 ELSE n END) AS BIGINT) AS score FROM c GROUP BY ALL""")
+KEYWORDS = "SELECT keyword, bool_or(p) AS p FROM (SELECT unnest(regexp_extract_all(" + SQL_IDEO.format("text") + ", '[\\x{4e00}-\\x{9fff}]{6,}')) AS keyword, item_id % 2 = 0 AS p FROM benchmark) GROUP BY keyword"
+PAGES = "SELECT page_id, " + SQL_IDEO.format("coalesce(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '')") + " AS title, " + SQL_IDEO.format("coalesce(html, '')") + " AS body FROM pages"
+HITS = f"""WITH k AS ({KEYWORDS}), s AS ({PAGES}), j AS (SELECT page_id, keyword, (3 * CAST(contains(title, keyword) AS INT) + CAST(contains(body, keyword) AS INT)) * CASE WHEN p THEN 2 ELSE 1 END AS points
+  FROM s, k WHERE contains(title, keyword) OR contains(body, keyword)), h AS (SELECT page_id, CAST(sum(points) AS BIGINT) AS score, list_sort(list(keyword)) AS hits FROM j GROUP BY page_id) """
+
+
+def keywords_and_pages(spark, sf_dir):
+    """Long words of `benchmark` as keywords, primary in even items, and pages with title and body; all put into ideographs."""
+    words = F.regexp_extract_all(ideographs(F.col("text")), F.lit(r"[\x{4e00}-\x{9fff}]{6,}"), F.lit(0))
+    keywords = table(spark, sf_dir, "benchmark").select(F.explode(words).alias("keyword"), (F.col("item_id") % 2 == 0).alias("primary"))
+    title = F.regexp_extract(F.coalesce("html", F.lit("")), "(?s)<title>(.*?)</title>", 1)
+    return keywords, table(spark, sf_dir, "pages").select("page_id", ideographs(title).alias("title"), ideographs(F.coalesce("html", F.lit(""))).alias("body"))
+
+
+@query(HITS + "SELECT page_id, score, hits FROM h")
 def keyword_sections(spark, sf_dir):
-    from ..operators.retrieval import tokens
+    return matching.keyword_hits(*keywords_and_pages(spark, sf_dir), "page_id")
 
-    keywords = table(spark, sf_dir, "benchmark").select(F.explode(tokens(F.col("text"))).alias("keyword"))
-    sections = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.col("html").alias("body"))
-    return matching.keyword_hits(keywords, sections, "page_id")
+
+@query(HITS + "SELECT page_id, score, hits FROM h ORDER BY score DESC, page_id LIMIT 8")
+def related_sections(spark, sf_dir):
+    return matching.related_sections(*keywords_and_pages(spark, sf_dir), "page_id")
 
 
 def items(spark, sf_dir):
@@ -157,12 +172,17 @@ def points_by_package(spark, sf_dir):
     return coverage.points_by_package(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("package"), F.col("c_acctbal").alias("points")))
 
 
-@query("""WITH p AS (SELECT o_custkey, c_mktsegment AS kind, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey),
-w AS (SELECT c_custkey AS id, c_nationkey, c_acctbal AS weight FROM customer WHERE c_acctbal >= 0), s AS (SELECT *, sum(weight) OVER (PARTITION BY c_nationkey) AS total, count(*) OVER (PARTITION BY c_nationkey) AS n FROM w)
-SELECT id, c_nationkey, greatest(200, CAST(round_even(CASE WHEN total > 0 THEN weight / total ELSE 1.0 / n END * 80000 / 100, 0) AS BIGINT) * 100) AS budget FROM s""")
+@query("""WITH ch AS (SELECT c_nationkey AS grp, c_custkey AS chapter_id, CASE WHEN c_nationkey % 5 = 0 THEN 0 ELSE greatest(c_acctbal, 0) END AS weight FROM customer),
+lv AS (SELECT c_nationkey AS grp, o_custkey AS chapter_id, o_orderkey AS leaf_id, coalesce(CASE WHEN o_orderkey % 3 != 0 THEN CAST(o_orderkey % 5 + 1 AS DOUBLE) END, 1.0) AS w FROM orders JOIN customer ON c_custkey = o_custkey),
+s AS (SELECT grp, chapter_id, sum(w) AS leaves, count(*) AS n FROM lv GROUP BY ALL), m AS (SELECT grp, min(weight) FILTER (weight > 0) AS least FROM ch GROUP BY grp),
+o AS (SELECT grp, chapter_id, leaves, CASE WHEN least IS NULL THEN coalesce(n, 1)::DOUBLE WHEN weight > 0 THEN weight ELSE least * 0.5 END AS w FROM ch LEFT JOIN s USING (grp, chapter_id) JOIN m USING (grp)),
+b AS (SELECT *, CAST(round_even(800000.0::DOUBLE * w / (sum(w) OVER (PARTITION BY grp)) / 100, 0) AS BIGINT) * 100 AS budget FROM o)
+SELECT grp, chapter_id, NULL::BIGINT AS leaf_id, budget FROM b UNION ALL SELECT grp, chapter_id, leaf_id, greatest(200, CAST(round_even(budget * lv.w / leaves / 50, 0) AS BIGINT) * 50) FROM lv JOIN b USING (grp, chapter_id)""")
 def budget_allocation(spark, sf_dir):
-    weights = table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("id"), "c_nationkey", F.col("c_acctbal").alias("weight"))
-    return coverage.word_budgets(weights, 100_000, ["c_nationkey"]).select("id", "c_nationkey", "budget")
+    customer = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("grp"), F.col("c_custkey").alias("chapter_id"), "c_acctbal")
+    chapters = customer.withColumn("weight", F.when(F.col("grp") % 5 == 0, 0.0).otherwise(F.greatest("c_acctbal", F.lit(0.0)))).drop("c_acctbal")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chapter_id"), F.col("o_orderkey").alias("leaf_id"), F.when(F.col("o_orderkey") % 3 != 0, (F.col("o_orderkey") % 5 + 1).cast("double")).alias("weight"))
+    return coverage.word_budgets(chapters, orders.join(customer.select("grp", "chapter_id"), "chapter_id"), 1_000_000, ["grp"])
 
 
 @query("""WITH m AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS item_id FROM lineitem), i AS (SELECT p_partkey AS item_id, CAST(p_size AS DOUBLE) AS points, CASE WHEN p_size % 2 = 0 THEN 'demo' ELSE 'evidence' END AS kind FROM part),
@@ -218,14 +238,20 @@ def quality_dims(spark, sf_dir):
     return checks.quality_dimensions(rows, "source")
 
 
-@query("""WITH t AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS term FROM benchmark),
-w AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(html, '')), '[\\p{L}\\p{N}]+'))) AS term FROM pages)
-SELECT page_id, item_id, count(*) AS hits, count(*) >= 2 OR max(length(term)) >= 5 AS covered FROM t JOIN w USING (term) GROUP BY ALL""")
-def quick_scan(spark, sf_dir):
-    from ..operators.retrieval import tokens
+CLAUSES = "SELECT item_id, item_id % 3 AS grp, concat('★本项目 ', CASE WHEN item_id % 2 = 0 THEN " + SQL_IDEO.format("text") + " ELSE text END) AS clause FROM benchmark WHERE text IS NOT NULL"
 
-    wanted = table(spark, sf_dir, "benchmark").select("item_id", tokens(F.col("text")).alias("terms"))
-    return checks.keyword_scan(wanted, table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), "item_id", "page_id")
+
+@query(f"""WITH c AS ({CLAUSES}), t AS (SELECT item_id, grp, unnest(list_filter(regexp_extract_all(regexp_replace(clause, '[★▲]', '', 'g'), '{checks.SCAN_TERM}'), lambda w: w NOT IN {checks.SCAN_STOP})) AS term FROM c),
+p AS (SELECT page_id % 3 AS grp, concat(html, ' ', {SQL_IDEO.format("html")}) AS text FROM pages WHERE length(trim(html)) > 20),
+f AS (SELECT grp, term FROM (SELECT DISTINCT grp, term FROM t) d WHERE EXISTS (SELECT 1 FROM p WHERE p.grp = d.grp AND contains(p.text, d.term))),
+h AS (SELECT grp, item_id, count(*) AS hits, max(length(term)) AS longest FROM t JOIN f USING (grp, term) GROUP BY ALL)
+SELECT grp, item_id, coalesce(hits, 0) AS hits, coalesce(hits >= 2 OR longest >= 5, false) AS covered FROM c LEFT JOIN h USING (grp, item_id)""")
+def quick_scan(spark, sf_dir):
+    said = F.when(F.col("item_id") % 2 == 0, ideographs(F.col("text"))).otherwise(F.col("text"))
+    clauses = table(spark, sf_dir, "benchmark").filter("text IS NOT NULL").select("item_id", (F.col("item_id") % 3).alias("grp"), F.concat(F.lit("★本项目 "), said).alias("clause"))
+    pages = table(spark, sf_dir, "pages").filter(F.length(F.trim("html")) > 20)
+    texts = pages.select(F.col("page_id").alias("text_id"), (F.col("page_id") % 3).alias("grp"), F.concat("html", F.lit(" "), ideographs(F.col("html"))).alias("text"))
+    return checks.keyword_scan(clauses, texts, "item_id", "grp")
 
 
 @query("""WITH q AS (SELECT event_id AS claim_id, CASE WHEN event_type = 'view' THEN 'warranty' ELSE 'response' END AS topic, CAST(user_id % 9 AS VARCHAR) AS scope, CASE WHEN event_id % 3 = 0 THEN 'day' ELSE 'minute' END AS dimension, floor(value) AS number,
@@ -241,13 +267,13 @@ def commitment_relations(spark, sf_dir):
     n, k = F.col("event_id"), F.col("s_suppkey")
     claims = e.select(
         n.alias("claim_id"), F.when(F.col("event_type") == "view", "warranty").otherwise("response").alias("topic"), (F.col("user_id") % 9).cast("string").alias("scope"), F.when(n % 3 == 0, "day").otherwise("minute").alias("dimension"),
-        F.floor("value").cast("double").alias("number"), (n % 4 == 0).alias("approx"), F.when(n % 5 == 0, "le").when(n % 5 == 1, "ge").otherwise("eq").alias("comparator"),
+        F.floor("value").cast("double").alias("number"), F.floor("value").cast("string").alias("value"), (n % 4 == 0).alias("approx"), F.when(n % 5 == 0, "le").when(n % 5 == 1, "ge").otherwise("eq").alias("comparator"),
     )
     facts = s.select(
         F.when(k % 2 == 0, "warranty").otherwise("response").alias("topic"), (k % 8).cast("string").alias("scope"), F.when(k % 3 == 0, "day").otherwise("minute").alias("dimension"),
-        (k % 40).cast("double").alias("number"), F.lit(False).alias("approx"), F.when(k % 7 == 0, "le").otherwise("eq").alias("comparator"),
+        (k % 40).cast("double").alias("number"), (k % 40).cast("string").alias("value"), F.lit(False).alias("approx"), F.when(k % 7 == 0, "le").otherwise("eq").alias("comparator"),
     )
-    return checks.commitment_relations(claims, facts)
+    return checks.commitment_relations(claims, facts).drop("value")
 
 
 @query("""WITH c AS (SELECT 'negative_balance' AS code, c_name AS detail FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'small_part', p_name FROM part WHERE p_size < 3 UNION ALL SELECT 'lost_region', n_name FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region))

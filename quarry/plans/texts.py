@@ -44,8 +44,8 @@ k AS (SELECT doc_id, pos, line, regexp_replace(t, '[{BLANKS}]+', '', 'g') AS n F
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY pos) AS rn FROM k)
 SELECT doc_id, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM r WHERE length(n) > 40 OR rn <= 3 GROUP BY doc_id""")
 def noise_lines(spark, sf_dir):
-    kept = lines.without_noise(paragraphs(spark, sf_dir))
-    return kept.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+    kept = lines.kept_lines(table(spark, sf_dir, "documents")).filter(F.size("kept") > 0)
+    return kept.select("doc_id", F.size("kept").cast("long").alias("n_lines"), F.aggregate("kept", F.lit(0).cast("long"), lambda n, x: n + F.length(x["line"])).alias("n_chars"))
 
 
 @query(f"""WITH {LINES} SELECT doc_id, line, count(*) AS n FROM p WHERE regexp_replace(line, '[{BLANKS}]+', '', 'g') != '' GROUP BY ALL HAVING count(*) > 1""")
@@ -80,7 +80,7 @@ def line_tags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.tags(F.col("source"), F.substring("text", 1, 120), TAG_WORDS).alias("tags"))
 
 
-MARKED = "concat('前言【工期：待核实】', substr(coalesce(text, ''), 1, 40), '众所周知，大概【待填写：', source, '】可能')"
+MARKED = "concat('前言【工期：待核实】', coalesce(text, ''), '众所周知，大概【待填写：', source, '】可能')"
 CLICHES = " + ".join(f"len(regexp_extract_all(t, '{c}'))" for c in text.CLICHES)
 
 
@@ -88,7 +88,8 @@ CLICHES = " + ".join(f"len(regexp_extract_all(t, '{c}'))" for c in text.CLICHES)
 SELECT doc_id, len(regexp_extract_all(t, '{text.PLACEHOLDER}')) AS placeholders, len(regexp_extract_all(t, '{text.VERIFY_MARK}')) AS to_verify, {CLICHES} AS cliches,
   CAST(contains(t, '大概') AS INT) + CAST(contains(t, '可能') AS INT) AS weak, replace(replace(t, '众所周知，', ''), '众所周知', '') AS polished FROM m""")
 def marks(spark, sf_dir):
-    return counted_marks(spark, sf_dir, F.substring(text.text_of(F.col("text")), 1, 40))
+    """Marks in whole texts, with some put around each."""
+    return counted_marks(spark, sf_dir, text.text_of(F.col("text")))
 
 
 def counted_marks(spark, sf_dir, body):
@@ -100,14 +101,11 @@ def counted_marks(spark, sf_dir, body):
     )
 
 
-MARKED_WHOLE = "concat('前言【工期：待核实】', coalesce(text, ''), '众所周知，大概【待填写：', source, '】可能')"
-
-
-@query(f"""WITH m AS (SELECT doc_id, replace({MARKED_WHOLE}, chr(10), ' ') AS t FROM documents)
-SELECT doc_id, len(regexp_extract_all(t, '{text.PLACEHOLDER}')) AS placeholders, len(regexp_extract_all(t, '{text.VERIFY_MARK}')) AS to_verify, {CLICHES} AS cliches,
-  CAST(contains(t, '大概') AS INT) + CAST(contains(t, '可能') AS INT) AS weak, replace(replace(t, '众所周知，', ''), '众所周知', '') AS polished FROM m""")
+@query(f"""WITH m AS (SELECT doc_id, replace({MARKED}, chr(10), ' ') AS t FROM documents)
+SELECT doc_id, len(regexp_extract_all(t, '{text.PLACEHOLDER}')) AS placeholders, len(regexp_extract_all(t, '{text.VERIFY_MARK}')) AS to_verify FROM m""")
 def marks_whole(spark, sf_dir):
-    return counted_marks(spark, sf_dir, text.text_of(F.col("text")))
+    """The bracketed marks alone, in whole texts."""
+    return marks(spark, sf_dir).select("doc_id", "placeholders", "to_verify")
 
 
 @query("SELECT p_partkey, p_name AS name, CAST(p_size AS DOUBLE) AS points, p_brand AS category, CAST(p_size AS DOUBLE) AS weight FROM part")

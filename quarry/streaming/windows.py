@@ -9,11 +9,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LATE = "10 minutes"
+EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def local_time(events: DataFrame, ts: str) -> bool:
+    """Whether event time has no zone; it is then read as UTC, whatever the session's zone, for watermarks need instants."""
+    return events.schema[ts].dataType.typeName() == "timestamp_ntz"
+
+
+def as_instant(events: DataFrame, ts: str) -> DataFrame:
+    return events.withColumn(ts, F.to_timestamp(F.concat(F.col(ts).cast("string"), F.lit("Z")))) if local_time(events, ts) else events
+
+
+def as_local(rows: DataFrame, *columns: str) -> DataFrame:
+    """Instants back as UTC times without a zone."""
+    back = lambda c: F.expr(f"{EPOCH} + make_dt_interval(0, 0, 0, cast(unix_micros(`{c}`) / cast(1000000 as decimal(20, 0)) as decimal(18, 6)))")
+    return rows.withColumns({c: back(c) for c in columns})
 
 
 def windowed(events: DataFrame, window: Column, keys: list[str], ts: str = "ts", value: str = "value", late: str = LATE) -> DataFrame:
-    rows = events.withWatermark(ts, late).groupBy(window.alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max(value).alias("most"))
-    return rows.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n", "total", "most")
+    rows = as_instant(events, ts).withWatermark(ts, late).groupBy(window.alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max(value).alias("most"))
+    rows = rows.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n", "total", "most")
+    return as_local(rows, "start", "end") if local_time(events, ts) else rows
 
 
 def tumbling(events: DataFrame, length: str, keys: list[str], ts: str = "ts", **options) -> DataFrame:
@@ -31,7 +48,21 @@ def sessions(events: DataFrame, gap: str, keys: list[str], ts: str = "ts", **opt
 
 def once(events: DataFrame, key: str, ts: str = "ts", late: str = LATE) -> DataFrame:
     """The first event of each key within the watermark: applying an event twice changes nothing."""
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+    if not events.isStreaming:
+        return events.dropDuplicates([key])
+    rows = as_instant(events, ts).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+    return as_local(rows, ts).select(*events.columns) if local_time(events, ts) else rows
+
+
+def followed(first: DataFrame, then: DataFrame, key: str, within: str, ts: str = "ts", late: str = LATE) -> DataFrame:
+    """Pairs of an event and one of the same key that comes after it, up to `within` later: an interval join of two tables or streams.
+
+    Both sides have key, ts and event_id. On streams the watermarks of both bound what is kept.
+    """
+    a = as_instant(first, ts).select(F.col(key), F.col(ts).alias("ts"), F.col("event_id").alias("first_id")).withWatermark("ts", late)
+    b = as_instant(then, ts).select(F.col(key).alias("_key"), F.col(ts).alias("then_ts"), F.col("event_id").alias("then_id")).withWatermark("then_ts", late)
+    rows = a.join(b, (a[key] == b["_key"]) & (b["then_ts"] > a["ts"]) & (b["then_ts"] <= a["ts"] + F.expr(f"INTERVAL {within}"))).select(key, "first_id", "then_id", "ts", "then_ts")
+    return as_local(rows, "ts", "then_ts") if local_time(first, ts) else rows
 
 
 def task_states(events: DataFrame, key: str = "task_id") -> DataFrame:
