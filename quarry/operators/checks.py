@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import bands, parse_date, same_value
-from ..functions.text import BLANKS, text_of
+from ..functions.text import BLANKS, placeholders, text_of
 from .matching import containing
 
 # Codes of material problems, the status that each leads to, and statuses from the worst on.
@@ -156,3 +156,29 @@ def revision_policy(reports: DataFrame, threshold: int = 2, max_rounds: int = 2)
     mode = F.when(kind == "revise", F.when(over, "compress").when(minimal, "minimal").when(F.col("l.streak") == 1, "alternate").otherwise("normal"))
     reason = F.when(met, "goal_met").when(kind == "accept", "no_improvement").when(kind == "stop", F.when(F.col("l.streak") > 0, "no_improvement").otherwise("rounds_exhausted"))
     return last.select("section_id", kind.alias("kind"), mode.alias("mode"), reason.alias("reason"), F.col("l.streak").alias("trailing"), "longest")
+
+
+def unwritten(nodes: DataFrame) -> DataFrame:
+    """Nodes without content."""
+    return nodes.filter(F.trim(text_of(F.col("content"))) == "")
+
+
+def with_placeholders(nodes: DataFrame) -> DataFrame:
+    """Nodes whose content has marks that are to be filled in or verified, with their number and the first three."""
+    found = placeholders(F.col("content"))
+    return nodes.withColumn("placeholders", F.size(found)).withColumn("samples", F.slice(F.array_distinct(found), 1, 3)).filter("placeholders > 0")
+
+
+def unreviewed(nodes: DataFrame) -> DataFrame:
+    """Written nodes that are not reviewed, or were revised since."""
+    return nodes.filter((F.trim(text_of(F.col("content"))) != "") & ~((F.col("status") == "reviewed") & F.col("reviewed_revision").eqNullSafe(F.col("revision"))))
+
+
+def redline_state(projects: DataFrame, runs: DataFrame) -> DataFrame:
+    """project_id, state by the last run (project_id, checked_at, run_id, status, risks): attention if it found risks, ok if not,
+    unknown where there is none, it did not complete, or it found none and the project has changed since."""
+    last = runs.groupBy("project_id").agg(F.max_by(F.struct("checked_at", "status", "risks"), F.struct("checked_at", "run_id")).alias("last"))
+    rows = projects.join(last, "project_id", "left")
+    sure = F.coalesce(F.col("last.status") == "completed", F.lit(False))
+    state = F.when(~sure, "unknown").when(F.col("last.risks") > 0, "attention").when(F.col("updated_at") > F.col("last.checked_at"), "unknown").otherwise("ok")
+    return rows.select("project_id", state.alias("state"))

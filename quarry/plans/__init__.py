@@ -1,5 +1,5 @@
 """Registered queries over the driver tables and their SQL."""
 
-from . import coverage, folds, records, retrieval, streams, texts, usage
+from . import coverage, folds, projects, records, retrieval, streams, tenders, texts, usage
 from .registry import QUERIES, SQL
 from .retrieval import retrieve
