@@ -331,5 +331,6 @@ def bpe_decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFra
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5 over all documents: doc_id, n_tokens, ids_sha256, decoded_sha256 (see `bpe_encode`)."""
     rows = bpe_encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_path("word_bpe_49k.json"), decode=True)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -12,7 +12,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 U64 = np.uint64
 MULT = U64(0x9E3779B97F4A7C15)
@@ -176,15 +175,16 @@ def buckets(spark: SparkSession, n_bytes: int, each: int) -> int:
 
 
 def bounded_sample(rows: DataFrame, id_col: str, class_col: str, most: int) -> DataFrame:
-    """At most `most` rows of each class, chosen by a hash of the identifier; no task holds more than about twice that.
+    """At most `most` rows of each class, chosen by a hash of the identifier: those below the class's cut-off.
 
-    Classes are counted first; rows are thinned by the hash to about twice the bound, and only those are ranked.
+    Classes are counted first, and rows are thinned by the hash to about twice the bound; only the hashes of those, not the
+    rows, come together to find the cut-off. Rows that share the hash at the cut-off stay or go together.
     """
     counts = rows.groupBy(class_col).agg(F.count("*").alias("_n"))
     place = F.xxhash64(F.col(id_col).cast("string")).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
     thin = rows.join(F.broadcast(counts), class_col).withColumn("_place", place).filter(F.col("_place") * F.col("_n") < F.lit(2.0 * most + 50))
-    rank = F.row_number().over(Window.partitionBy(class_col).orderBy("_place", id_col))
-    return thin.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_n", "_place", "_rank")
+    cut = thin.groupBy(class_col).agg(F.array_sort(F.collect_list("_place")).alias("_all")).select(class_col, F.coalesce(F.get("_all", F.lit(most)), F.lit(2.0)).alias("_cut"))
+    return thin.join(F.broadcast(cut), class_col).filter(F.col("_place") < F.col("_cut")).drop("_n", "_place", "_cut")
 
 
 #: A key with more than one row in so many is joined by broadcast; there are fewer such keys than this number.

@@ -261,4 +261,5 @@ def contamination(hits: DataFrame) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3 over all documents: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (see `decontaminate`, `contamination`)."""
     return contamination(decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))

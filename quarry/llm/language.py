@@ -201,6 +201,7 @@ def identify(docs: DataFrame, model: KernelModel, id_col: str = "doc_id", text_c
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7 over all documents: doc_id, held_out, lang_pred, score; learned from documents outside the held-out fold (see `fit`, `identify`)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs.filter(~held_out(folds=4, fold=2)))
     return identify(docs, model).select("doc_id", held_out(folds=4, fold=2).alias("held_out"), "lang_pred", "score")

@@ -215,6 +215,7 @@ def held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1):
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2 over all documents: doc_id, held_out, score, predicted; learned from labelled documents outside the held-out fold (see `fit`, `classify`)."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(docs, labels.filter(~held_out()))
     return classify(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")

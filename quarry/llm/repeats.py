@@ -32,7 +32,7 @@ from .common import SPACED_WORD, U64, buckets, mix, only, scratch, slices, utf8,
 BLOCK_BYTES = 2 << 20
 #: Text for which one bucket of each exchange is made.
 BUCKET_BYTES = 16 << 20
-#: Null identifiers come after all others.
+#: Null identifiers come after all others, with the last one; which rows have none is kept beside.
 LAST_ID = (1 << 63) - 1
 PLACE = U64((1 << 23) - 1)
 #: A minimizer in more blocks than this is split by its windows.
@@ -71,20 +71,20 @@ class Windows:
 
 
 def to_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows block, doc_ids, ends, text: whole documents, some BLOCK_BYTES together, compressed."""
+    """Rows block, doc_ids, missing (bits: no identifier), ends, text: whole documents, some BLOCK_BYTES together, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, packer = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=3)
         for batch in batches:
             flat, offsets = utf8(batch.column(1))
-            ids = batch.column(0).fill_null(LAST_ID).to_numpy()
+            ids, missing = batch.column(0).fill_null(LAST_ID).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False)
             for i, j in slices(offsets, BLOCK_BYTES):
                 text = flat[offsets[i] : offsets[j]]
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids[i:j].tobytes()]), pa.array([(offsets[i : j + 1] - offsets[i]).tobytes()]), pa.array([packer.compress(text.tobytes())])], ["block", "doc_ids", "ends", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids[i:j].tobytes()]), pa.array([np.packbits(missing[i:j]).tobytes()]), pa.array([(offsets[i : j + 1] - offsets[i]).tobytes()]), pa.array([packer.compress(text.tobytes())])], ["block", "doc_ids", "missing", "ends", "text"])
                 number += 1
 
     docs = only(docs, id_col, text_col)
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "block long, doc_ids binary, ends binary, text binary")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "block long, doc_ids binary, missing binary, ends binary, text binary")
 
 
 @dataclass
@@ -95,6 +95,7 @@ class Block:
     ends: np.ndarray
     text: bytes
     plan: Windows
+    missing: np.ndarray
 
     def __post_init__(self):
         self.flat = np.frombuffer(self.text, np.uint8)
@@ -111,7 +112,7 @@ class Block:
     @staticmethod
     def of(row: dict, plan: Windows) -> Block:
         ends = np.frombuffer(row["ends"], np.int64)
-        return Block(np.frombuffer(row["doc_ids"], np.int64), ends, zstandard.ZstdDecompressor().decompress(row["text"], max_output_size=max(int(ends[-1]), 1)) if ends[-1] else b"", plan)
+        return Block(np.frombuffer(row["doc_ids"], np.int64), ends, zstandard.ZstdDecompressor().decompress(row["text"], max_output_size=max(int(ends[-1]), 1)) if ends[-1] else b"", plan, np.unpackbits(np.frombuffer(row["missing"], np.uint8), count=len(ends) - 1).astype(bool))
 
     def digests(self) -> np.ndarray:
         """128-bit digests of the documents."""
@@ -473,7 +474,7 @@ def results(block: Block, gone: np.ndarray) -> pa.RecordBatch:
         pa.StructArray.from_arrays([pa.array(a - block.offsets[of]), pa.array(b - block.offsets[of])], ["start", "end"]),
     )
     return pa.RecordBatch.from_arrays([
-        pa.array(block.doc_ids, mask=block.doc_ids == LAST_ID), pa.array(np.diff(block.offsets).astype(np.int64)), spans,
+        pa.array(block.doc_ids, mask=block.missing), pa.array(np.diff(block.offsets).astype(np.int64)), spans,
         pa.array([kept_text(block, gone, k) for k in range(len(block.doc_ids))], pa.binary()),
     ], ["doc_id", "n_units", "spans", "kept"])
 
@@ -520,7 +521,7 @@ class Spread:
         to_blocks(docs, id_col, text_col).write.option("compression", "none").parquet(path)
         blocks = spark.read.parquet(path)
         size = blocks.agg(F.sum(F.expr("cast(octet_length(text) as bigint)"))).first()[0] or 0
-        return Spread(blocks.select("block", "doc_ids", "ends", "text"), plan, buckets(spark, 3 * size, BUCKET_BYTES))
+        return Spread(blocks.select("block", "doc_ids", "missing", "ends", "text"), plan, buckets(spark, 3 * size, BUCKET_BYTES))
 
     def exchange(self, rows: DataFrame) -> DataFrame:
         return rows.repartitionById(self.n, F.col("bucket")).sortWithinPartitions("bucket", "block")
@@ -537,6 +538,6 @@ class Spread:
 
 
 def digests(rows: DataFrame, unit: str, text: Column | None = None) -> DataFrame:
-    """doc_id, n_<unit>, n_removed, n_spans and kept_sha256 from the operator's rows."""
+    """doc_id (null where the row has none), n_<unit>, n_removed, n_spans and kept_sha256 from the operator's rows."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return rows.select("doc_id", F.col("n_units").alias(f"n_{unit}"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -141,4 +141,5 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9 over all documents: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (see `suffix_dedup`)."""
     return digests(suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")), "bytes")

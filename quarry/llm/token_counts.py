@@ -88,4 +88,5 @@ def token_counts(docs: DataFrame, tokenizer: str, sections: DataFrame | None = N
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10 over all documents, by line: doc_id, section, start, end, n_tokens (see `token_counts`)."""
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_path("byte_bpe_50k.json"))

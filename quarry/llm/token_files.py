@@ -1,7 +1,7 @@
 """Token ids in files of independent zstandard frames with a trailing seek table.
 
 A file holds, in this order: one frame for each document (its ids, little-endian, with the frame's own content checksum); a
-skippable frame with the index (document identifiers and token counts); a skippable frame with the seek table in the public
+skippable frame with the index (document identifiers, token counts and bits that tell which identifiers are missing); a skippable frame with the seek table in the public
 seekable format: compressed size, decompressed size and checksum (low half of XXH64) of every frame, then the number of
 frames, a descriptor byte and a magic number. A reader finds any document from the end of the file and decompresses it alone.
 """
@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import only, scratch, slices, utf8
+from .common import bound_batches, only, scratch, slices, utf8
 from .tokenize import IdEncoder, vocabulary_path
 
 #: Fixed values of the public seekable format.
 SEEK_MAGIC, TABLE_FRAME, INDEX_FRAME = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 WITH_CHECKSUMS = 0x80
-#: Stands for a null identifier in the index.
+#: A null identifier is sorted as the first one; which documents have none is kept beside.
 NO_ID = -(1 << 63)
 SHARD_BYTES = 16 << 20
 
@@ -45,8 +45,8 @@ def seek_table(sizes: list[tuple[int, int, int]]) -> bytes:
     return struct.pack("<II", TABLE_FRAME, len(body)) + body
 
 
-def index_frame(ids: list[int], counts: list[int], width: int) -> bytes:
-    body = struct.pack("<BI", width, len(ids)) + np.array(ids, "<i8").tobytes() + np.array(counts, "<i8").tobytes()
+def index_frame(ids: list[int], missing: list[bool], counts: list[int], width: int) -> bytes:
+    body = struct.pack("<BI", width, len(ids)) + np.array(ids, "<i8").tobytes() + np.array(counts, "<i8").tobytes() + np.packbits(np.array(missing, bool)).tobytes()
     return struct.pack("<II", INDEX_FRAME, len(body)) + body
 
 
@@ -65,6 +65,7 @@ class TokenFile:
         self.width, count = struct.unpack_from("<BI", index, 8)
         self.doc_ids = np.frombuffer(index, "<i8", count, 13)
         self.counts = np.frombuffer(index, "<i8", count, 13 + 8 * count)
+        self.missing = np.unpackbits(np.frombuffer(index, np.uint8, -1, 13 + 16 * count), count=count).astype(bool)
         self.reader = zstandard.ZstdDecompressor()
 
     def ids(self, k: int) -> np.ndarray:
@@ -99,7 +100,8 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int | N
     """
     spark = docs.sparkSession
     n_shards = n_shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = only(docs, id_col, text_col).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = only(docs, id_col, text_col).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").isNull().alias("missing"))
+    bound_batches(spark)
     shares = [i / n_shards for i in range(1, n_shards)]
     bounds = np.array(docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * n_shards)).alias("b")).first()["b"] or [] if shares else [], np.int64)
     system, _ = open_fs(out)
@@ -113,22 +115,22 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int | N
                 doc_ids = batch.column(0).slice(i, j - i)
                 data = [d + tail for d in encoder.encode([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.searchsorted(bounds, doc_ids.to_numpy(), side="left").astype(np.int32)), doc_ids,
+                    pa.array(np.searchsorted(bounds, doc_ids.to_numpy(), side="left").astype(np.int32)), doc_ids, batch.column(2).slice(i, j - i),
                     pa.array([len(d) // width for d in data], pa.int64()),
                     pa.array([xxhash.xxh64_intdigest(d) & 0xFFFFFFFF for d in data], pa.int64()),
                     pa.array([packer.compress(d) for d in data], pa.binary()),
-                ], ["shard", "doc_id", "n", "checksum", "frame"])
+                ], ["shard", "doc_id", "missing", "n", "checksum", "frame"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = open_fs(out)
         system.create_dir(folder, recursive=True)
-        frames, sizes, ids, counts, part, shard, held = [], [], [], [], 0, None, 0
+        frames, sizes, ids, absent, counts, part, shard, held = [], [], [], [], [], 0, None, 0
 
         def flush():
-            nonlocal frames, sizes, ids, counts, part, held
+            nonlocal frames, sizes, ids, absent, counts, part, held
             if not ids:
                 return
-            index = index_frame(ids, counts, width)
+            index = index_frame(ids, absent, counts, width)
             name = f"shard-{shard:07d}-{part:05d}.tokens"
             temporary = f"{folder}/_{name}.{uuid.uuid4().hex}"
             with system.open_output_stream(temporary) as f:
@@ -138,11 +140,11 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int | N
                 f.write(seek_table([*sizes, (len(index), 0, 0)]))
             system.move(temporary, f"{folder}/{name}")
             row = pa.RecordBatch.from_pydict({"file": [name], "shard": pa.array([shard], pa.int32()), "part": pa.array([part], pa.int32()), "n_docs": [len(ids)], "n_ids": [sum(counts)]})
-            frames, sizes, ids, counts, held, part = [], [], [], [], 0, part + 1
+            frames, sizes, ids, absent, counts, held, part = [], [], [], [], [], 0, part + 1
             return row
 
         for batch in batches:
-            for s, doc_id, n, checksum, frame in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for s, doc_id, missing, n, checksum, frame in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if s != shard or held >= shard_bytes:
                     if row := flush():
                         yield row
@@ -151,12 +153,13 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int | N
                 frames.append(frame)
                 sizes.append((len(frame), n * width, checksum))
                 ids.append(doc_id)
+                absent.append(missing)
                 counts.append(n)
                 held += len(frame)
         if row := flush():
             yield row
 
-    frames = docs.mapInArrow(encode, "shard int, doc_id long, n long, checksum long, frame binary").repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "frame")
+    frames = docs.mapInArrow(encode, "shard int, doc_id long, missing boolean, n long, checksum long, frame binary").repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", F.desc("missing"), "frame")
     return frames.mapInArrow(write, "file string, shard int, part int, n_docs long, n_ids long")
 
 
@@ -177,7 +180,7 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = True) ->
                     ids = [file.ids(k) for k in range(i, min(i + 2000, len(file.doc_ids)))]
                     j = i + len(ids)
                     columns = [
-                        pa.array([path.as_py().rpartition("/")[2]] * len(ids)), pa.array(file.doc_ids[i:j], mask=file.doc_ids[i:j] == NO_ID), pa.array(places[i:j]), pa.array(file.counts[i:j]),
+                        pa.array([path.as_py().rpartition("/")[2]] * len(ids)), pa.array(file.doc_ids[i:j], mask=file.missing[i:j]), pa.array(places[i:j]), pa.array(file.counts[i:j]),
                         pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
                     ]
                     if with_ids:
@@ -205,6 +208,7 @@ def token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int | None =
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1 over all documents: doc_id, start, n_tokens, ids_crc32, from files that were written and read back (see `token_files`)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = token_files(docs, scratch(spark, "tokens"), vocabulary_path("word_bpe_49k.json"), end_id=2, with_ids=False)
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")

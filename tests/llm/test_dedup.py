@@ -173,7 +173,7 @@ def test_spans_are_verified_on_words(spark, monkeypatch):
     real = repeats.word_hashes
     monkeypatch.setattr(repeats, "word_hashes", lambda *a: real(*a) >> np.uint64(63) | np.uint64(1))
     plan = Windows.of(20, 5, words=True, strict=False)
-    rows = [{"block": 1, "doc_ids": np.array([1, 2]).tobytes(), "ends": np.array([0, len(t), 2 * len(t)]).tobytes(), "text": zstandard.compress(t + u)} for t, u in [(prose(75, 40).encode(), prose(75, 40).encode())]]
+    rows = [{"block": 1, "doc_ids": np.array([1, 2]).tobytes(), "missing": b"\0", "ends": np.array([0, len(t), 2 * len(t)]).tobytes(), "text": zstandard.compress(t + u)} for t, u in [(prose(75, 40).encode(), prose(75, 40).encode())]]
     block = repeats.Block.of(rows[0], plan)
     good, bad = substring_dedup.words_digest(block, 0, 40), substring_dedup.words_digest(block, 1, 40)
     spans = np.array([[40, 21, 0], [41, 20, 0]], np.uint32)
@@ -223,4 +223,15 @@ def test_repeats_on_documents(spark, sf_dir):
 
 def test_repeats_edges(no_docs, nameless):
     assert substring_dedup.substring_dedup(no_docs).count() == 0 and suffix_dedup.suffix_dedup(no_docs).count() == 0
-    assert substring_dedup.substring_dedup(nameless, 2).count() == 7 and suffix_dedup.suffix_dedup(nameless, 8).count() == 7
+    for rows in (substring_dedup.substring_dedup(nameless, 2), suffix_dedup.suffix_dedup(nameless, 8)):
+        got = sorted((str(r.doc_id), r.n_units, sum(s.end - s.start for s in r.spans)) for r in rows.collect())
+        whole = max(n for _, n, _ in got)
+        # The two rows of document 4 stay; those without identifier come later and are copies of them.
+        assert got == sorted([("4", whole, 0), ("4", whole, 0), ("4", 0, 0), ("3", 0, 0), ("None", whole, whole), ("None", whole, whole), ("None", 0, 0)])
+
+
+def test_repeats_of_the_last_identifier(spark):
+    """The largest identifier is one, not a missing one."""
+    docs = spark.createDataFrame([((1 << 63) - 1, "a b c d"), (None, "x y"), (-(1 << 63), "a b c d")], "doc_id long, text string")
+    got = {r.doc_id: len(r.spans) for r in substring_dedup.substring_dedup(docs, 3).collect()}
+    assert got == {(1 << 63) - 1: 1, None: 0, -(1 << 63): 0}

@@ -58,7 +58,10 @@ def test_token_files_find_damage(spark, odd_docs):
 def test_token_files_edges(spark, no_docs, nameless):
     assert token_files.token_files(no_docs, scratch(spark, "test-tokens"), WORD_BPE).count() == 0
     rows = token_files.token_files(nameless, scratch(spark, "test-tokens"), WORD_BPE, end_id=2).collect()
-    assert len(rows) == 7 and sorted(r.start for r in rows)[0] == 0
+    assert [(r.doc_id, r.n_tokens) for r in sorted(rows, key=lambda r: r.start)][:3] == [(None, 1), (None, 4), (None, 4)] and [r.doc_id for r in sorted(rows, key=lambda r: r.start)][3:] == [3, 4, 4, 4]
+    least = -(1 << 63)
+    rows = token_files.token_files(spark.createDataFrame([(least, "a"), (None, "b b")], "doc_id long, text string"), scratch(spark, "test-tokens"), WORD_BPE).collect()
+    assert sorted((str(r.doc_id), r.start, r.n_tokens) for r in rows) == [(str(least), 2, 1), ("None", 0, 2)]
 
 
 def test_bpe(odd_docs, odd_texts, no_docs, nameless):
@@ -67,7 +70,8 @@ def test_bpe(odd_docs, odd_texts, no_docs, nameless):
     for doc_id, text in odd_texts:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids
         assert rows[doc_id].ids == ids and rows[doc_id].decoded == tokenizer.decode(ids, skip_special_tokens=False)
-    assert bpe.bpe_encode(no_docs, WORD_BPE).count() == 0 and bpe.bpe_encode(nameless, WORD_BPE).count() == 7
+    assert bpe.bpe_encode(no_docs, WORD_BPE).count() == 0
+    assert sorted((str(r.doc_id), len(r.ids)) for r in bpe.bpe_encode(nameless, WORD_BPE).collect()) == [("3", 0), ("4", 0), ("4", 3), ("4", 3), ("None", 0), ("None", 3), ("None", 3)]
     again = bpe.bpe_decode(bpe.bpe_encode(odd_docs, WORD_BPE, decode=True).withColumnRenamed("decoded", "before"), WORD_BPE)
     assert again.filter("before != decoded").count() == 0
 
@@ -126,6 +130,8 @@ def test_token_counts(spark, odd_docs, odd_texts, no_docs):
         wanted = brute.attribute(tokenizer.encode(text or "", add_special_tokens=False).offsets, [(0, 7), (5, 30), (40, 41), (60, 900)])
         assert {k: n for k, n in got[doc_id].items() if n} == dict(wanted), doc_id
     assert token_counts.token_counts(no_docs, BYTE_BPE).count() == 0
+    twice = spark.createDataFrame([(None, "one two\nthree"), (7, "one"), (7, "one")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.section, r.n_tokens) for r in token_counts.token_counts(twice, BYTE_BPE).collect()) == [("7", 0, 1), ("7", 0, 1), ("None", 0, 3), ("None", 1, 1)]
 
 
 def test_decontaminate(spark, odd_docs, odd_texts, no_docs, sf_dir):
@@ -216,6 +222,8 @@ def test_language_edges(spark, odd_docs, no_docs):
     model = language.fit(known)
     told = language.identify(spark.createDataFrame([(1, "the dog"), (2, "die Katze"), (3, None), (4, "12 !")], "doc_id long, text string"), model)
     assert [r.lang_pred for r in told.orderBy("doc_id").collect()] == ["en", "de", "und", "und"]
+    odd = language.identify(spark.createDataFrame([(None, "the dog"), (5, "die Katze"), (5, "")], "doc_id long, text string"), model)
+    assert sorted((str(r.doc_id), r.lang_pred) for r in odd.collect()) == [("5", "de"), ("5", "und"), ("None", "en")]
 
 
 def test_pipeline(spark, sf_dir):
@@ -242,3 +250,6 @@ def test_pipeline_edges(spark, odd_docs, no_docs, nameless, sf_dir):
         apply(spark, odd_docs, sf_dir).collect()
     assert corpus_pipeline.drop_copies(spark, nameless, sf_dir).count() == 2
     assert corpus_pipeline.drop_contaminated(spark, nameless, sf_dir).count() == 7
+    # Rows that share document 4 are known by it; those without identifier are copies of its text; null and empty texts have no words.
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.drop_near_copies(spark, nameless, sf_dir).collect()) == ["3", "4", "4", "4", "None"]
+    assert corpus_pipeline.encode(spark, nameless, sf_dir).count() == 7 and corpus_pipeline.keep_good(spark, nameless, sf_dir).count() <= 7
