@@ -38,7 +38,7 @@ def meanings(text: str | None) -> dict[str, str]:
     found: dict[str, str] = {}
     for line in (text or "").split("\n"):
         places = list(re.finditer(LEGEND, line))
-        for m, end in zip(places, [*(p.start() for p in places[1:]), len(line)], strict=True):
+        for m, end in zip(places, [*(p.start() for p in places[1:]), len(line)], strict=False):
             said = re.sub(DENIED, "", line[m.start() : end])
             level = "redline" if re.search(DISQUALIFIES, said) else "important" if re.search(DEDUCTS, said) else None
             if level:

@@ -1,0 +1,170 @@
+"""Fixtures for what the driver tables do not show: headings, clauses, marks, items to verify, evidence and proposals."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.operators import clauses, evidence, projects, sections, verification
+
+
+def one(spark, column, **values):
+    return spark.createDataFrame([tuple(values.values())], list(values)).select(column.alias("r")).first()["r"]
+
+
+@pytest.mark.parametrize(
+    ("line", "level"),
+    [("第一章 总则", 1), ("一、项目概况", 1), ("1.2 范围", 2), ("（二）要求", 2), ("1.2.3 指标", 3), ("（3）说明", 3), ("3 系统", 1), ("2026 年计划", None), ("100 万元", None), ("一、结尾，", None), ("正文内容", None), ("x" * 61, None), ("", None)],
+)
+def test_heading_level(spark, line, level):
+    assert one(spark, sections.heading_level(F.col("t")), t=line) == level
+
+
+def test_section_tree(spark):
+    rows = [(1, 0, 2, "a"), (1, 3, 1, "b"), (1, 5, 3, "c"), (1, 6, 2, "d"), (1, 9, 3, "e"), (1, 12, 1, "f"), (2, 0, 1, "g")]
+    tree = {(r.doc_id, r.section): (r.parent, r.path) for r in sections.section_tree(spark.createDataFrame(rows, "doc_id int, pos int, level int, title string")).collect()}
+    assert tree == {(1, 0): (-1, "a"), (1, 1): (None, "b"), (1, 2): (1, "b > c"), (1, 3): (1, "b > d"), (1, 4): (3, "b > d > e"), (1, 5): (None, "f"), (2, 0): (None, "g")}
+    assert sections.section_tree(spark.createDataFrame([], "doc_id int, pos int, level int, title string")).count() == 0
+
+
+def test_majority_levels(spark):
+    rows = [(1, "1.1 a", 2), (1, "1.2 b", 2), (1, "1.3 c", 3), (1, "（一）x", 3), (1, "（二）y", 2), (1, "第一章", 1), (1, "无编号", 1), (1, "★1.4 d", 2)]
+    got = {r.numbering: r.level for r in sections.majority_levels(spark.createDataFrame(rows, "doc_id int, title string, level int")).collect()}
+    assert got == {"num2": 2, "cn_paren": 2}
+
+
+def test_tables_know_what_stands_before_them(spark):
+    kinds = ["paragraph", "paragraph", "paragraph", "paragraph", "table", "heading", "table", "paragraph", "table"]
+    rows = spark.createDataFrame([(1, i, k, f"t{i}") for i, k in enumerate(kinds)], "doc_id int, pos int, kind string, text string")
+    assert {r.pos: r.context for r in sections.before_tables(rows).collect()} == {4: "t1\nt2\nt3", 6: "", 8: "t7"}
+
+
+def test_table_markdown(spark):
+    grid = lambda rows: one(spark, sections.table_markdown(F.from_json("g", "array<array<string>>")), g=rows)
+    assert grid('[["a","b"],["1"],["2","3","4"]]') == "| a | b |\n| --- | --- |\n| 1 |  |\n| 2 | 3 |"
+    assert grid("[]") == "" and grid("[[]]") == "" and grid('[["a"]]') == "| a |\n| --- |"
+
+
+def test_collapsed_keeps_context(spark):
+    kinds = ["same"] * 4 + ["add"] + ["same"] * 6 + ["add"] + ["same"] * 5 + ["del"] + ["same"] * 3
+    rows = spark.createDataFrame([(1, i, k) for i, k in enumerate(kinds)], "doc_id int, pos int, type string")
+    got = [(r.pos, r.type, r["count"]) for r in sections.collapsed(rows, ["doc_id"]).orderBy("pos").collect()]
+    assert got == [(0, "gap", 2), (2, "same", None), (3, "same", None), (4, "add", None), (5, "same", None), (6, "same", None), (7, "gap", 2), (9, "same", None), (10, "same", None), (11, "add", None),
+                   *[(i, "same", None) for i in range(12, 17)], (17, "del", None), *[(i, "same", None) for i in range(18, 21)]]
+
+
+def test_title_is_not_repeated(spark):
+    said = lambda c, t: one(spark, sections.without_title(F.col("c"), F.col("t")), c=c, t=t)
+    assert said("\n## 1.2 服务方案\n\n正文", "第二章 服务方案") == "正文" and said("**服务方案说明**\n正文", "服务方案") == "正文"
+    assert said("服务方案\n正文", "服务方案") == "服务方案\n正文" and said("# 其他\n正文", "服务方案") == "# 其他\n正文"
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("", {"★": "redline", "▲": "important"}), ("“※”标注的条款为实质性要求，不满足按无效投标处理", {"★": "redline", "▲": "important", "※": "redline"}), ("“★”标注的条款按评标因素处理", {"★": "important", "▲": "important"}),
+        ("★代表实质性指标，☆代表优质指标，#代表重要指标", {"★": "redline", "▲": "important", "#": "important"}), ("★标注的内容不作为认定无效投标的依据，仅酌情扣分", {"★": "important", "▲": "important"}),
+    ],
+)
+def test_marks_mean_what_the_text_says(spark, text, found):
+    assert one(spark, clauses.marker_levels(F.col("t")), t=text) == found
+
+
+def test_requirements_of_a_text(spark):
+    said = ["★代表实质性要求", "1. ★系统必须可靠运行", "★系统必须可靠运行", "提供培训服务", "▲支持国产数据库", "短", "普通说明文字而已"]
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(said)], "doc_id int, pos int, line string").withColumn("levels", clauses.usual_levels())
+    got = [(r["index"], r.level, r.clause) for r in clauses.requirements(rows).orderBy("index").collect()]
+    assert got == [(1, "redline", "★系统必须可靠运行"), (2, "important", "▲支持国产数据库"), (3, "normal", "提供培训服务")]
+    report = clauses.clause_coverage(clauses.requirements(rows), rows).first()
+    assert (report.extracted, report.redlines, report.important, report.marked, report.uncovered) == (3, 1, 1, 2, 1)
+    assert [r.clause for r in clauses.marked_clauses(rows).orderBy("level", "number").collect()] == ["▲支持国产数据库", "1. ★系统必须可靠运行", "★系统必须可靠运行"]
+
+
+def test_requirement_rows(spark):
+    grid = lambda rows: one(spark, clauses.requirement_rows(F.from_json("g", "array<array<string>>")), g=rows)
+    assert grid('[["序号","功能要求","数量"],["1","数据采集","支持实时采集与转发","2套"],["2","数据采集","数据采集","支持断点续传功能"],["合计","","共计两项内容如上所述","5"]]') == ["数据采集：支持实时采集与转发", "数据采集：支持断点续传功能"]
+    assert grid('[["评分内容","分值"],["方案完整性与可行性","10"]]') == [] and grid('[["要求"]]') == []
+
+
+def test_labels_and_requirements(spark):
+    kinds = lambda t: one(spark, F.struct(clauses.is_label(F.col("t")), clauses.is_requirement(F.col("t"), clauses.usual_levels())), t=t)
+    assert tuple(kinds("（二）服务标准及技术要求")) == (True, True) and tuple(kinds("系统应支持双机热备部署。")) == (False, True) and tuple(kinds("应急预案")) == (True, False)
+    assert tuple(kinds("★1.1.6数据质量提升")) == (True, True) and tuple(kinds("")) == (False, False) and tuple(kinds("合计：提供全部服务内容")) == (False, False)
+
+
+def test_labelled(spark):
+    value = lambda t, labels, **more: one(spark, clauses.labelled(F.col("t"), labels, **more), t=t)
+    assert value("项目名称：甲项目 项目编号：X-1\n项目名称：乙", "项目名称", next_field="项目编号") == "甲项目"
+    assert value("项目名称 | 表格 | 值\n项目名称：（盖章）\n项目名称：丙项目，其他", "项目名称") == "丙项目" and value("无", "项目名称") == ""
+
+
+def test_segments():
+    assert clauses.cut_segments("aaaa\nbbbb\ncc", 9) == ["aaaa\nbbbb", "cc"] and clauses.cut_segments("x" * 30 + "\ny", 9) == ["x" * 30, "y"] and clauses.cut_segments(None) == [""]
+
+
+def test_loose_json(spark):
+    parsed = lambda t: one(spark, clauses.loose_json(F.col("t")), t=t)
+    assert parsed('```json\n{"a": 1}\n```') == '{"a": 1}' and parsed('so {"a": {"b": 2}} it is') == '{"a": {"b": 2}}' and parsed("{broken") is None and parsed("") is None and parsed("[1]") is None
+
+
+def test_verification_items(spark):
+    schema = "section_id int, start int, end int, item_key string, kind string, asset_key string, basis string"
+    rows = [(1, 0, 10, "p1", "placeholder", None, "x"), (1, 5, 12, "a1", "asset", "q:1", "y"), (1, 30, 35, "p2", "placeholder", None, "x"), (1, 30, 33, "a1", "asset", "q:1", "y"), (1, 34, 40, "a2", "asset", "q:2", "y"), (2, 0, 4, "a1", "asset", "q:1", "y")]
+    items = verification.inherited(spark.createDataFrame(rows, schema))
+    assert sorted((r.item_key, r.kind) for r in items.filter("section_id = 1").collect()) == [("a1", "asset")] * 3 + [("a2", "asset"), ("p2", "placeholder")]
+    runs = verification.merged(items)
+    assert sorted((r.item_key, r.section_id, r.start, r.end) for r in runs.collect()) == [("a1", 1, 0, 12), ("a1", 1, 30, 33), ("a1", 2, 0, 4), ("a2", 1, 34, 40), ("p2", 1, 30, 35)]
+    assert tuple(verification.counts(runs).first()) == (3, 5)
+
+
+def test_value_conflicts_allow_for_months(spark):
+    schema = "topic string, dimension string, scope string, section_id int, pos int, value string, number double, approx boolean"
+    rows = [("warranty", "day", "", 1, 0, "365", 365.0, True), ("warranty", "day", "", 2, 0, "360", 360.0, True), ("warranty", "day", "", 2, 5, "730", 730.0, True), ("duration", "day", "", 1, 9, "30", 30.0, False), ("duration", "day", "", 1, 12, "60", 60.0, False)]
+    assert [(r.topic, r.clusters) for r in verification.value_conflicts(spark.createDataFrame(rows, schema)).collect()] == [("warranty", ["365", "730"])]
+
+
+def test_evidence(spark):
+    items = spark.createDataFrame([(1, True), (2, True), (3, False), (4, False)], "item_id int, needed boolean")
+    links = spark.createDataFrame([(1, "q:1"), (1, "q:2"), (3, "q:9"), (3, "q:1")], "item_id int, key string")
+    assets = spark.createDataFrame([("q:1", "complete"), ("q:2", "expired")], "key string, status string")
+    got = {r.item_id: (r.status, r.links, r.missing) for r in evidence.report(items, links, assets).collect()}
+    assert got == {1: ("expired", 2, []), 2: ("not linked", 0, []), 3: ("broken link", 1, ["q:9"])}
+
+
+def test_relevant_assets_or_all(spark):
+    rows = spark.createDataFrame([(1, "a", 0.1), (1, "b", 0.9), (1, "c", 0.6), (2, "d", 0.2), (2, "c", 0.1)], "owner int, key string, score double")
+    got = {(r.owner, r.rank): r.key for r in evidence.relevant(rows, "owner", 0.5).collect()}
+    assert got == {(1, 1): "b", (1, 2): "c", (2, 1): "c", (2, 2): "d"}
+
+
+def test_identifiers(spark):
+    found = spark.createDataFrame([(1, " 某某公司 "), (1, "12345"), (1, "123456"), (1, "张"), (1, "待填写"), (1, None)], "k int, value string")
+    given = spark.createDataFrame([(1, "乙"), (1, "")], "k int, value string")
+    names = projects.identifiers(found, given, "k")
+    assert names.first().names == ["123456", "某某公司", "乙"]
+    hits = projects.identifier_hits(names, spark.createDataFrame([(1, 7, "由 某 某 公司 承建"), (1, 8, "无")], "k int, id int, text string"), "k", "id")
+    assert [(r.id, r.identifier) for r in hits.collect()] == [(7, "某某公司")]
+
+
+def test_write_back_spares_edits(spark):
+    schema = "id int, status string, detail string"
+    now, then = spark.createDataFrame([(1, "open", ""), (2, "met", "edited"), (3, "open", "")], schema), spark.createDataFrame([(1, "open", ""), (2, "open", ""), (3, "open", "")], schema)
+    got = {r.id: (r.detail, r.applied) for r in projects.write_back(now, then, spark.createDataFrame([(1, "met", "x"), (2, "met", "y")], schema), ["id"], ["status", "detail"], ["status", "detail"]).collect()}
+    assert got == {1: ("x", True), 2: ("edited", False), 3: ("", False)}
+
+
+def test_numerals_points_and_keywords(spark):
+    assert [one(spark, projects.cn_number(F.col("n")), n=n) for n in (1, 10, 11, 20, 35, 99)] == ["一", "十", "十一", "二十", "三十五", "九十九"]
+    assert [one(spark, projects.points_text(F.col("p")), p=p) for p in (10.0, 2.5, 100.0, 0.25)] == ["10分", "2.5分", "100分", "0.25分"]
+    assert one(spark, projects.keywords(F.col("c")), c=["第二章 总体设计", "评分项：运维方案（20分）", "须覆盖：运维方案；", "短", "x" * 21, "1.2 应急预案"]) == ["总体设计", "运维方案", "应急预案"]
+
+
+def test_throttled_and_claims(spark):
+    rows = spark.sql("SELECT 1 AS task_id, timestamp_seconds(s) AS ts, id AS event_id FROM VALUES (0.0, 1), (0.5, 2), (1.9, 3), (2.0, 4), (3.9, 5), (4.5, 6) AS t(s, id)")
+    assert projects.throttled(rows).first().kept == [1, 4, 6]
+    claims = spark.sql("SELECT 1 AS section_id, timestamp_seconds(a) AS ts, id AS run_id, timestamp_seconds(b) AS released FROM VALUES (0, 1, 10), (5, 2, 6), (11, 3, null), (20, 4, 30) AS t(a, id, b)")
+    assert {r.run_id: r.granted for r in projects.first_claims(claims).collect()} == {1: True, 2: False, 3: True, 4: False}
+
+
+def test_echoed_clauses(spark):
+    clauses_ = spark.createDataFrame([(1, 1, "★ 系统 必须可靠"), (1, 2, "另一条")], "g int, clause_id int, clause string")
+    said = spark.createDataFrame([(1, 0, "无关"), (1, 1, "1. ★系统必须可靠运行"), (1, 2, "★系统必须可靠")], "g int, pos int, echo string")
+    assert [(r.clause_id, r.pos) for r in projects.echoed(clauses_, said, "g").collect()] == [(1, 1)]
