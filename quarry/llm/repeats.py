@@ -35,8 +35,8 @@ BUCKET_BYTES = 16 << 20
 #: Null identifiers come after all others, with the last one; which rows have none is kept beside.
 LAST_ID = (1 << 63) - 1
 PLACE = U64((1 << 23) - 1)
-#: A minimizer in more blocks than this is split by its windows.
-HOT_BLOCKS = 64
+#: A minimizer in more blocks than this (8 GB of text) is split by its windows, which take more room than its runs.
+HOT_BLOCKS = 4096
 #: Windows of a run at most: which of them repeat is one mask.
 MASK_BITS = 64
 
