@@ -68,56 +68,70 @@ def blank_pieces(text: str) -> list[str]:
     return text.split()
 
 
-#: Marks that the pattern splits from letters before them when nothing follows.
+#: Marks that the pattern splits from letters and digits before them.
 TAILS = ".,;:!?"
 
 
 class IdEncoder:
-    """Token ids of whole texts as bytes, for the vocabulary with word ends (lower case, blanks dropped)."""
+    """Token ids of whole texts as bytes, for the vocabulary with word ends (lower case, blanks dropped).
+
+    The new pieces of some texts are encoded by the library as one text, with a blank between two, and its offsets tell which
+    ids are whose. Pieces are kept from one call to the next in two generations; that changes no result.
+    """
+
+    KEPT, TOGETHER = 300_000, 4000
 
     def __init__(self, path: str, dtype: str):
         self.tokenizer, self.dtype = load(path), np.dtype(dtype)
-        self.tails = {c: self._encode(c) for c in TAILS}
-        self.memo = Memo(self._make)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def _encode(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _tail(self, piece: str) -> bool:
-        return piece[-1] in self.tails and "" < piece[-2:-1] < "\u0250" and piece[-2].lower()[-1].isalpha()
-
-    def _lower(self, piece: str) -> str:
-        """The lower-case word that has the same ids, or the piece itself where that is not certain."""
-        low = piece.lower()
-        return low if low != piece and piece.isalpha() and len(low) == len(piece) and max(piece) < "\u0250" else piece
-
-    def _make(self, piece: str) -> bytes:
-        if self._tail(piece):
-            return self.memo[piece[:-1]] + self.tails[piece[-1]]
-        low = self._lower(piece)
-        return self._encode(piece) if low == piece else self.memo[low]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Encode the words of letters among new pieces as one text: each word ends with the one id of a word's end."""
-        words = {self._lower(p[:-1] if self._tail(p) else p) for p in pieces}
-        words = sorted(w for w in words.difference(self.memo, self.memo.old) if w.isalpha())
-        for i in range(0, len(words), 2000):
-            part = words[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(part):
-                data, places = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
-                for word, a, b in zip(part, [0, *places[:-1]], places, strict=True):
-                    self.memo.keep(word, data[a:b])
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _ids(self, text: str):
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        return np.array(found.ids, self.dtype), found
+
+    @staticmethod
+    def _parts(piece: str) -> tuple[str, str]:
+        """A piece as what has the same ids: its lower-case core, and marks after a letter or digit; the piece alone where that is not certain."""
+        if piece.isalpha() and piece.islower():
+            return piece, ""
+        core = piece.rstrip(TAILS)
+        if not core or not (core.isascii() or core.isalpha() and max(core) < "\u0250"):
+            return piece, ""
+        low = core.lower()
+        if len(low) != len(core):
+            return piece, ""
+        return (low, piece[len(core) :]) if core[-1].isalnum() else (low + piece[len(core) :], "")
+
+    def _encode(self, pieces: list[str]) -> None:
+        for i in range(0, len(pieces), self.TOGETHER):
+            part = pieces[i : i + self.TOGETHER]
+            ids, found = self._ids(" ".join(part))
+            begins = np.cumsum(np.array([0, *map(len, part[:-1])]) + (np.arange(len(part)) > 0))
+            owner = np.searchsorted(begins, np.array([a for a, _ in found.offsets], np.int64), side="right") - 1
+            cuts = (np.cumsum(np.bincount(owner, minlength=len(part))) * self.dtype.itemsize).tolist()
+            data = ids.tobytes()
+            self.young.update(zip(part, [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+
+    def _learn(self, pieces: list[str]) -> None:
+        parts = list(map(self._parts, pieces))
+        words = {core for core, _ in parts}.union([tail for _, tail in parts if tail]).difference(self.young)
+        kept = words.intersection(self.old)
+        self.young.update(zip(kept, map(self.old.__getitem__, kept), strict=True))
+        self._encode(list(words - kept))
+        ids = self.young
+        ids.update(zip(pieces, [ids[core] + ids[tail] if tail else ids[core] for core, tail in parts], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [blank_pieces(t) for t in texts]
-        self._learn(set().union(*pieces).difference(self.memo, self.memo.old))
-        value = self.memo.__getitem__
-        return [b"".join(map(value, p)) for p in pieces]
+        if len(self.young) > self.KEPT:
+            self.old, self.young = self.young, {}
+        pieces = [None if any(c in t for c in ODD_BLANKS) else t.split() for t in texts]
+        new = set().union(*filter(None, pieces)).difference(self.young)
+        kept = new.intersection(self.old)
+        self.young.update(zip(kept, map(self.old.__getitem__, kept), strict=True))
+        self._learn(list(new - kept))
+        value = self.young.__getitem__
+        return [self._ids(t)[0].tobytes() if p is None else b"".join(map(value, p)) for t, p in zip(texts, pieces, strict=True)]
 
 
 def spaced_pieces(text: str) -> list[str] | None:
