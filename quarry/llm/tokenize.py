@@ -79,7 +79,7 @@ class IdEncoder:
     ids are whose. Pieces are kept from one call to the next in two generations; that changes no result.
     """
 
-    KEPT, TOGETHER = 300_000, 4000
+    KEPT, TOGETHER = 600_000, 4000
 
     def __init__(self, path: str, dtype: str):
         self.tokenizer, self.dtype = load(path), np.dtype(dtype)
