@@ -1,0 +1,37 @@
+"""Occurrences of a stated set of names in texts, blanks aside."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+SCHEMA = "array<struct<name:string,start:int,end:int>>"
+
+
+def spans(text: str, automaton) -> list[dict]:
+    """Occurrences from left to right, the longest first at a place; one inside another that was taken is left out."""
+    places = [i for i, c in enumerate(text) if not c.isspace()]
+    found = [(end - len(name) + 1, end, name) for end, name in automaton.iter("".join([text[i] for i in places]))]
+    out, reach = [], -1
+    for start, end, name in sorted(found, key=lambda x: (x[0], -x[1])):
+        if end > reach:
+            out.append({"name": name, "start": places[start], "end": places[end] + 1})
+            reach = end
+    return out
+
+
+def occurrences(text: Column, names: list[str]) -> Column:
+    """Where names (of two characters or more, a stated set that every task holds) occur in each text: name, start and end in the text itself."""
+    wanted = sorted({bare for n in names if len(bare := "".join(n.split())) >= 2})
+
+    def run(texts: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for name in wanted:
+            automaton.add_word(name, name)
+        automaton.make_automaton()
+        return pd.Series([spans(t or "", automaton) if wanted else [] for t in texts], dtype=object)
+
+    return F.pandas_udf(run, SCHEMA)(text)
