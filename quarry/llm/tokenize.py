@@ -14,7 +14,7 @@ import numpy as np
 #: Characters that str.split() takes for blanks and the tokenizers' patterns do not.
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 #: Pieces in each of a worker's two generations, and the longest piece that it keeps; neither changes a result.
-MOST_KEPT, LONGEST_KEPT = 500_000, 64
+MOST_KEPT, LONGEST_KEPT = 800_000, 64
 
 _LOADED: dict[str, object] = {}
 
