@@ -8,6 +8,7 @@ from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .jaccard_join import op6_jaccard_join
 from .language import op7_language
 from .quality import op2_quality
+from .quality_rules import OP13_SQL, op13_quality_rules
 from .substring_dedup import op4_substring_dedup
 from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op10_token_counts
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
+    "op13_quality_rules": op13_quality_rules,
 }
-SQL = {"op8_exact_dedup": OP8_SQL}
+SQL = {"op8_exact_dedup": OP8_SQL, "op13_quality_rules": OP13_SQL}
