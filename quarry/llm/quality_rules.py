@@ -162,7 +162,7 @@ def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP13_SQL = """
 WITH d AS (SELECT row_number() OVER () r, doc_id, source, coalesce(text, '') t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^ \\t\\n\\v\\f\\r]+') ws,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^ \\t\\n\\v\\f\\r]')) ls FROM d),
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\v\\f\\r]')) ls FROM d),
 windows AS (SELECT r, p, ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2] k FROM (SELECT r, ws, unnest(generate_series(1, len(ws) - 2)) p FROM w)),
 repeated AS (SELECT r, p FROM windows QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
 gaps AS (SELECT r, least(3, coalesce(lead(p) OVER (PARTITION BY r ORDER BY p) - p, 3)) n FROM repeated),
