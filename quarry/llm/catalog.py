@@ -13,6 +13,7 @@ from .substring_dedup import op4_substring_dedup
 from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op10_token_counts
 from .token_files import op1_token_files
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_token_files": op1_token_files,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
+    "op12_whitening": op12_whitening,
     "op13_quality_rules": op13_quality_rules,
 }
 SQL = {"op8_exact_dedup": OP8_SQL, "op13_quality_rules": OP13_SQL}
