@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_alignment
 from .bpe import op5_bpe
 from .decontaminate import op3_decontaminate
 from .exact_dedup import OP8_SQL, op8_exact_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_alignment": op11_alignment,
     "op12_whitening": op12_whitening,
     "op13_quality_rules": op13_quality_rules,
 }
