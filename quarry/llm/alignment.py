@@ -42,8 +42,7 @@ class ByteLevel:
     """The byte-level vocabulary, special tokens taken as plain text."""
 
     def __init__(self, path: str):
-        self.tokenizer = load(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = load(path, plain_specials=True)
         letters = byte_letters()
         self.values = [b""] * self.tokenizer.get_vocab_size()
         for piece, i in self.tokenizer.get_vocab().items():

@@ -16,20 +16,22 @@ ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 #: Pieces in each of a worker's two generations, and the longest piece that it keeps; neither changes a result.
 MOST_KEPT, LONGEST_KEPT = 800_000, 64
 
-_LOADED: dict[str, object] = {}
+_LOADED: dict[tuple[str, bool], object] = {}
 
 
-def load(path: str):
-    """The tokenizer in a file of the tokenizers library, one for each worker."""
-    if path not in _LOADED:
+def load(path: str, plain_specials: bool = False):
+    """The tokenizer in a file of the tokenizers library, one for each worker; special tokens may be plain text in it."""
+    key = path, plain_specials
+    if key not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        _LOADED[path] = tokenizer
-    return _LOADED[path]
+        tokenizer.encode_special_tokens = plain_specials
+        _LOADED[key] = tokenizer
+    return _LOADED[key]
 
 
 def vocabulary_path(name: str) -> str:
