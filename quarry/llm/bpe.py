@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, list_array, only, slices, utf8
-from .tokenize import blank_pieces, vocabulary_path
+from .tokenize import blank_pieces, has_word_ends, vocabulary_path
 
 #: Texts that are encoded together; their new words are merged at once.
 SLICE_BYTES = 2 << 20
@@ -191,6 +191,8 @@ class Bpe:
 
     def __init__(self, path: str):
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
+        if not has_word_ends(spec):
+            raise ValueError(f"{path} is no vocabulary with word ends; other kinds are split and merged otherwise")
         vocab, model = spec["model"]["vocab"], spec["model"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {vocab[a] << 20 | vocab[b]: i for i, (a, b) in reversed(list(enumerate(pairs)))}

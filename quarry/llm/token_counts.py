@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,36 +11,95 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, only, slices, utf8
-from .tokenize import SpanEncoder, vocabulary_path
-
-
-def line_spans(text: str) -> np.ndarray:
-    """Lines as character spans that leave no gap: each line with its line feed. An empty text is one empty line."""
-    starts = np.concatenate(([0], np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") == 10) + 1))
-    starts = starts[starts < len(text)] if len(text) else starts
-    return np.stack((starts, np.append(starts[1:], len(text))), axis=1)
+from .tokenize import SpanEncoder, kept, spread, vocabulary_path
+
+
+def line_spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of texts, each with its line feed: text, number in it, and span in characters. An empty text is one empty line."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(lengths)
+    feeds = np.flatnonzero(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4") == 10)
+    owner = np.searchsorted(ends, feeds, side="right")
+    inside = feeds + 1 < ends[owner]
+    starts = np.concatenate((ends - lengths, feeds[inside] + 1))
+    text = np.concatenate((np.arange(len(texts)), owner[inside]))
+    order = np.lexsort((starts, text))
+    starts, text = starts[order], text[order]
+    first = np.searchsorted(text, np.arange(len(texts)))
+    stops = np.where(np.append(text[1:], -1) == text, np.append(starts[1:], 0), ends[text])
+    base = (ends - lengths)[text]
+    return text, np.arange(len(text)) - first[text], np.stack((starts - base, stops - base), axis=1)
+
+
+def stretches(sections: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the owner of characters changes, and the section (row) that owns them from there on, -1 for none.
+
+    Sections are sorted by start; of those that cover a character the last one owns it. Those without length own nothing.
+    """
+    rows = np.flatnonzero(sections[:, 0] < sections[:, 1])
+    if not len(rows):
+        return rows, rows
+    starts, ends = sections[rows, 0], sections[rows, 1]
+    if (starts[1:] >= ends[:-1]).all():
+        places, owners = np.stack((starts, ends), axis=1).ravel(), np.stack((rows, np.full(len(rows), -1)), axis=1).ravel()
+        real = np.append(places[:-1] < places[1:], True)
+        return places[real], owners[real]
+    places, owners, open_, k = np.unique(np.concatenate((starts, ends))), [], [], 0
+    for place in places.tolist():
+        while k < len(rows) and starts[k] == place:
+            heapq.heappush(open_, (-int(rows[k]), int(ends[k])))
+            k += 1
+        while open_ and open_[0][1] <= place:
+            heapq.heappop(open_)
+        owners.append(-open_[0][0] if open_ else -1)
+    return places, np.array(owners, np.int64)
 
 
 def attribute(tokens: np.ndarray, sections: np.ndarray) -> np.ndarray:
     """For each token span the row of the section it is counted in, or -1.
 
     A token counts where most of its characters lie, in the earliest such section on a tie; a token that touches no section
-    counts in none. Sections are sorted by start; a character in several sections belongs to the one that starts last.
+    counts in none. Sections are sorted by start; a character in several sections (nested, equal or overlapping) belongs to
+    the one that starts last, the later row of equal starts.
     """
-    if not len(sections):
-        return np.full(len(tokens), -1)
-    starts, ends = sections[:, 0], sections[:, 1]
-    at = np.searchsorted(starts, tokens[:, 0], side="right") - 1
-    to = np.searchsorted(starts, np.maximum(tokens[:, 1] - 1, tokens[:, 0]), side="right") - 1
-    out = np.where((at >= 0) & (tokens[:, 0] < ends[at]), at, -1)
-    for k in np.flatnonzero((at != to) | ((tokens[:, 1] > ends[at]) & (at >= 0))):
-        a, b = tokens[k]
-        overlaps = {s: min(b, ends[s], starts[s + 1] if s + 1 < len(starts) else b) - max(a, starts[s]) for s in range(max(at[k], 0), to[k] + 1)}
-        most = max(overlaps.values(), default=0)
-        out[k] = min(s for s, n in overlaps.items() if n == most) if most > 0 else -1
+    places, owners = stretches(sections)
+    owners, stops = np.append(owners, -1), np.append(places, np.iinfo(np.int64).max)
+    first = np.searchsorted(places, tokens[:, 0], side="right") - 1
+    last = np.searchsorted(places, np.maximum(tokens[:, 1] - 1, tokens[:, 0]), side="right") - 1
+    out = owners[first]
+    border = np.flatnonzero(first != last)
+    if not len(border):
+        return out
+    n = last[border] - first[border] + 1
+    token, at = np.repeat(border, n), spread(first[border], n)
+    shared = np.minimum(tokens[token, 1], stops[at + 1]) - np.where(at < 0, tokens[token, 1], np.maximum(tokens[token, 0], stops[at]))
+    owned = (owners[at] >= 0) & (shared > 0)
+    pairs, inverse = np.unique(np.stack((token[owned], owners[at][owned]), axis=1), axis=0, return_inverse=True)
+    total = np.bincount(inverse.ravel(), shared[owned], len(pairs))
+    order = np.lexsort((pairs[:, 1], -total, pairs[:, 0]))
+    best = order[np.append(True, np.diff(pairs[order, 0]) > 0)[: len(order)]]
+    out[border] = -1
+    out[pairs[best, 0]] = pairs[best, 1]
     return out
 
 
+def count_tokens(encoder: SpanEncoder, texts: list[str], given: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Text of each row, and rows of section, start, end and number of tokens, for texts together.
+
+    given: for each section its text (ascending), its number, and its span; else sections are the lines.
+    """
+    lengths = np.array([len(t) for t in texts], np.int64)
+    base = np.cumsum(lengths) - lengths
+    text, number, spans = line_spans(texts) if given is None else given
+    tokens, per_text = encoder.spans(texts)
+    owner = attribute(tokens, np.clip(spans, 0, lengths[text][:, None]) + base[text][:, None])
+    counts = np.bincount(owner + 1, minlength=len(text) + 1)[1:]
+    outside = np.bincount(np.repeat(np.arange(len(texts)), per_text)[owner < 0], minlength=len(texts))
+    more = np.flatnonzero((outside > 0) | (np.bincount(text, minlength=len(texts)) == 0))
+    rows = np.concatenate((np.column_stack((number, spans, counts)), np.column_stack((np.full(len(more), -1), np.zeros(len(more), np.int64), lengths[more], outside[more]))))
+    return np.concatenate((text, more)), rows
+
+
 def token_counts(docs: DataFrame, tokenizer: str, sections: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows doc_id, section, start, end, n_tokens: tokens of every whole text counted by section, by the rule of `attribute`.
 
@@ -59,29 +119,19 @@ def token_counts(docs: DataFrame, tokenizer: str, sections: DataFrame | None = N
     kind = docs.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = SpanEncoder(tokenizer)
+        encoder = kept(SpanEncoder, tokenizer)
         for batch in batches:
             _, offsets = utf8(batch.column(1))
             for i, j in slices(offsets, 2 << 20):
-                texts = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
-                lists = batch.column(2).slice(i, j - i).to_pylist() if given else [None] * len(texts)
-                rows, out = [], []
-                for k, (text, tokens, spans) in enumerate(zip(texts, encoder.spans(texts), lists, strict=True)):
-                    if given:
-                        found = np.array([list(s.values()) for s in spans or []], np.int64).reshape(-1, 3)
-                    else:
-                        lines = line_spans(text)
-                        found = np.column_stack((lines, np.arange(len(lines))))
-                    counts = np.bincount(attribute(tokens, found[:, :2]) + 1, minlength=len(found) + 1)
-                    if counts[0] or not len(found):
-                        found, counts = np.vstack((found, [0, len(text), -1])), np.append(counts[1:], counts[0])
-                    else:
-                        counts = counts[1:]
-                    rows.append(np.full(len(found), k))
-                    out.append(np.column_stack((found, counts)))
-                values = np.vstack(out)
+                texts, sections = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()], None
+                if given:
+                    lists = batch.column(2).slice(i, j - i)
+                    per_text, flat = lists.value_lengths().fill_null(0).to_numpy(), lists.flatten()
+                    start, end, number = (flat.field(k).to_numpy() for k in range(3))
+                    sections = np.repeat(np.arange(len(texts)), per_text), number, np.stack((start, end), axis=1)
+                rows, values = count_tokens(encoder, texts, sections)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(i, j - i).take(pa.array(np.concatenate(rows))), pa.array(values[:, 2].astype(np.int32)), pa.array(values[:, 0]), pa.array(values[:, 1]), pa.array(values[:, 3]),
+                    batch.column(0).slice(i, j - i).take(pa.array(rows)), pa.array(values[:, 0].astype(np.int32)), pa.array(values[:, 1]), pa.array(values[:, 2]), pa.array(values[:, 3]),
                 ], ["doc_id", "section", "start", "end", "n_tokens"])
 
     return docs.mapInArrow(run, f"doc_id {kind}, section int, start long, end long, n_tokens long")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import bound_batches, only, scratch, slices, utf8
-from .tokenize import IdEncoder, vocabulary_path
+from .tokenize import IdEncoder, kept, vocabulary_path
 
 #: Fixed values of the public seekable format.
 SEEK_MAGIC, TABLE_FRAME, INDEX_FRAME = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
@@ -33,6 +33,12 @@ NO_ID = -(1 << 63)
 SHARD_BYTES = 16 << 20
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and authority as Spark takes it, so that executors write where Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path or URI, and the path on it."""
     if path.startswith("file:"):
@@ -99,6 +105,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int | N
     writes no file.
     """
     spark = docs.sparkSession
+    out = qualified(spark, out)
     n_shards = n_shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = only(docs, id_col, text_col).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").isNull().alias("missing"))
     bound_batches(spark)
@@ -108,7 +115,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int | N
     tail = b"" if end_id is None else np.array([end_id], f"<u{width}").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = IdEncoder(tokenizer, f"<u{width}"), zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
+        encoder, packer = kept(IdEncoder, tokenizer, f"<u{width}"), zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
         for batch in batches:
             _, offsets = utf8(batch.column(1))
             for i, j in slices(offsets, 4 << 20):
@@ -192,13 +199,20 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = True) ->
 
 
 def token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = None, with_ids: bool = True, **options) -> DataFrame:
-    """Write docs as token files under out and read them back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, file, ids."""
+    """Write docs as token files under out and read them back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, file, ids.
+
+    An error is raised if Spark does not see every file of the manifest, so no document is lost unnoticed.
+    """
     spark = docs.sparkSession
+    out = qualified(spark, out)
     manifest = f"{out}/manifest"
     write_token_files(docs, f"{out}/files", tokenizer, end_id, **options).write.parquet(manifest)
     files = spark.read.parquet(manifest)
     system, place = open_fs(f"{out}/files")
     system.create_dir(place, recursive=True)
+    seen = spark.read.format("binaryFile").option("pathGlobFilter", "*.tokens").load(f"{out}/files").select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    if missing := files.join(seen, "file", "left_anti").agg(F.count("*").alias("n"), F.min("file").alias("file")).first()["n"]:
+        raise RuntimeError(f"{missing} token files were written but cannot be read under {out}/files")
     # One row a file, not a document: the running sum over shards is small.
     shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("shard")) - F.col("n"))
     within = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("part")) - F.col("n_ids")

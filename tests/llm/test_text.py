@@ -1,5 +1,6 @@
 """Token files, BPE, token counts, classifiers, decontamination and the pipeline."""
 
+import random
 import re
 import struct
 import zlib
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quarry.llm import bpe, decontaminate, language, quality, token_counts, token_files
+from quarry.llm import bpe, decontaminate, language, quality, token_counts, token_files, tokenize
 from quarry.llm.common import scratch
 from quarry.llm.tokenize import vocabulary_path
 
@@ -134,6 +135,79 @@ def test_token_counts(spark, odd_docs, odd_texts, no_docs):
     assert sorted((str(r.doc_id), r.section, r.n_tokens) for r in token_counts.token_counts(twice, BYTE_BPE).collect()) == [("7", 0, 1), ("7", 0, 1), ("None", 0, 3), ("None", 1, 1)]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_attribution_of_any_sections(seed):
+    """Nested, equal, overlapping, touching, empty and inverted sections, and tokens over several of them."""
+    rng = random.Random(seed)
+    for _ in range(300):
+        n = rng.randrange(1, 40)
+        cuts = sorted({0, n, *(rng.randrange(n + 1) for _ in range(rng.randrange(12)))})
+        tokens = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False)] + [(a, a + 1) for a in range(min(n, 2))]
+        sections = sorted((rng.randrange(n + 2), rng.randrange(n + 4)) for _ in range(rng.randrange(7)))
+        if sections and rng.random() < 0.5:
+            sections = sorted(sections + sections[:2])
+        found = token_counts.attribute(np.array(tokens), np.array(sections, np.int64).reshape(-1, 2))
+        assert [{k: 1} for k in found.tolist()] == [dict(brute.attribute([t], sections)) for t in tokens], (tokens, sections)
+
+
+def test_token_counts_of_nested_sections(spark):
+    """A section inside another does not take the tokens after it; bounds beyond a text are cut to it."""
+    texts = [(1, prose(11, 30)), (2, "one two"), (3, prose(12, 20)), (4, None)]
+    sections = [(i, k, a, b) for i in (1, 2, 4) for k, (a, b) in enumerate([(0, 10_000), (10, 20), (10, 20), (12, 14), (20, 26), (-5, 3)])]
+    found = {}
+    for r in token_counts.token_counts(spark.createDataFrame(texts, "doc_id long, text string"), BYTE_BPE, spark.createDataFrame(sections, "doc_id long, section int, start long, end long")).collect():
+        found.setdefault(r.doc_id, {})[r.section] = r.n_tokens
+    tokenizer = library(BYTE_BPE)
+    for doc_id, text in texts:
+        own = sorted((a, b, k) for i, k, a, b in sections if i == doc_id)
+        wanted = brute.attribute(tokenizer.encode(text or "", add_special_tokens=False).offsets, [s[:2] for s in own])
+        wanted = {own[k][2] if k >= 0 else -1: n for k, n in wanted.items()}
+        assert {k: n for k, n in found[doc_id].items() if n} == wanted
+    assert found[3] == {-1: sum(found[3].values())} and -1 not in found[1]
+
+
+def odd_strings(seed, n):
+    rng = random.Random(seed)
+    bits = ["<|endoftext|>", "<|EndOfText|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>", "<|endof", "text|>", " ", " ", "\n", "  ", "\t", "\x1c", "\u2028", "A", "b", "É", "İ", "é", "Don't", "'LL", "12", ".", "!?", "漢字", "\U0001f600", "<", "|>", "\0"]
+    return ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 14))) for _ in range(n)]
+
+
+def test_encoders_equal_the_library():
+    """Added tokens in any case, glued to words and marks; every encoder twice, with what it has kept."""
+    texts = odd_strings(1, 4000) + [f"a{x}{t}{x}b" for t in ("<|EndOfText|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|endoftext|>") for x in ("", " ", ".", "\n")]
+    word, byte = library(WORD_BPE), library(BYTE_BPE)
+    ids, spans = tokenize.IdEncoder(WORD_BPE, "<u2"), tokenize.SpanEncoder(BYTE_BPE)
+    for _ in range(2):
+        for i in range(0, len(texts), 97):
+            part = texts[i : i + 97]
+            assert [np.frombuffer(d, "<u2").tolist() for d in ids.encode(part)] == [word.encode(t, add_special_tokens=False).ids for t in part]
+            found, per_text = spans.spans(part)
+            wanted = [[(a + base, b + base) for a, b in byte.encode(t, add_special_tokens=False).offsets] for t, base in zip(part, np.cumsum([0, *map(len, part[:-1])]).tolist(), strict=True)]
+            assert per_text.tolist() == [len(w) for w in wanted] and [tuple(s) for s in found.tolist()] == [s for w in wanted for s in w]
+
+
+def test_encoders_of_other_vocabularies(spark):
+    """A vocabulary of the other kind is encoded whole, or refused, never wrongly."""
+    texts = odd_strings(2, 500) + ["Hello  World\nNew line"]
+    word, byte = library(WORD_BPE), library(BYTE_BPE)
+    assert [np.frombuffer(d, "<u2").tolist() for d in tokenize.IdEncoder(BYTE_BPE, "<u2").encode(texts)] == [byte.encode(t, add_special_tokens=False).ids for t in texts]
+    _, per_text = tokenize.SpanEncoder(WORD_BPE).spans(texts)
+    assert per_text.tolist() == [len(word.encode(t, add_special_tokens=False).ids) for t in texts]
+    rows = token_files.token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), scratch(spark, "test-tokens"), BYTE_BPE).collect()
+    assert {r.doc_id: r.ids for r in rows} == {i: byte.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    with pytest.raises(ValueError, match="word ends"):
+        bpe.Bpe(BYTE_BPE)
+
+
+def test_token_files_that_vanish(spark, odd_docs, monkeypatch):
+    """Files written where Spark does not read raise an error; paths get the scheme that Spark takes them for."""
+    assert token_files.qualified(spark, "/tmp/x").startswith("file:")
+    real = token_files.write_token_files
+    monkeypatch.setattr(token_files, "write_token_files", lambda docs, out, *a, **k: real(docs, out + "-elsewhere", *a, **k))
+    with pytest.raises(RuntimeError, match="cannot be read"):
+        token_files.token_files(odd_docs, scratch(spark, "test-tokens"), WORD_BPE)
+
+
 def test_decontaminate(spark, odd_docs, odd_texts, no_docs, sf_dir):
     items = [(1, " ".join(odd_texts[10][1].split(" ")[5:40])), (2, "Two words"), (3, None), (4, "..."), (10, "WORD"), (5, odd_texts[12][1])]
     table = spark.createDataFrame(items, "item_id long, text string")
