@@ -81,7 +81,7 @@ def keyword_scan(clauses: DataFrame, texts: DataFrame, clause_id: str, group: st
     asked = each.select(group, clause_id, F.explode("terms").alias("term"))
     written = texts.filter(F.length(F.trim(F.coalesce("text", F.lit("")))) > WRITTEN_CHARS)
     found = containing(asked.select("term").distinct(), written.select("text_id", "text"), "text_id", ["text"])
-    held = found.select("text_id", F.explode("found.term").alias("term")).join(written.select("text_id", group), "text_id").select(group, "term").distinct()
+    held = found.select("text_id", "term").join(written.select("text_id", group), "text_id").select(group, "term").distinct()
     hits = asked.join(held, [group, "term"]).groupBy(group, clause_id).agg(F.count("*").alias("hits"), F.max(F.length("term")).alias("longest"))
     rows = clauses.select(group, clause_id).join(hits, [group, clause_id], "left")
     return rows.select(group, clause_id, F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce((F.col("hits") >= 2) | (F.col("longest") >= 5), F.lit(False)).alias("covered"))

@@ -1,6 +1,6 @@
 """Matching of phrases and texts by pairs of characters: overlap of points, entity matches and assignments.
 
-Texts that contain a term are found by an equi-join on character pairs (an inverted index). Phrases that are scored against
+Texts that contain a term are found by `dictionary.occurrences`. Phrases that are scored against
 whole texts are a stated query set, compared in blocks with texts that stay where they are.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import BLANKS, text_of, without_blanks
+from .dictionary import occurrences
 from .ranks import first_rows
 
 # Words that carry no meaning in a point, separators, and words common to all certificates.
@@ -193,24 +194,14 @@ def closest_leaf(points: DataFrame, leaves: DataFrame, least: float = 0.5) -> Da
 
 
 def containing(terms: DataFrame, texts: DataFrame, text_id: str, parts: list[str]) -> DataFrame:
-    """(text_id, found): for each text with any, the terms that one of its columns `parts` contains, with flags in their order.
+    """(text_id, term, a flag for each of the columns `parts`): terms of two characters or more that a part of a text contains.
 
-    terms has distinct strings `term` of two characters or more. A text that contains a term contains all its pairs of
-    characters, so candidates come from an index of the texts' pairs, cut to the pair of each term that the fewest texts have;
-    each text is then tested once against its candidates.
+    Texts stay where they are; see `dictionary.occurrences`. Texts that share an identifier share their rows.
     """
-    own = F.array_distinct(F.flatten(F.array(*[pairs(text_of(F.col(p))) for p in parts])))
-    asked = terms.filter(F.length("term") >= 2).select("term").distinct()
-    each = texts.select(text_id, F.explode(own).alias("pair"))
-    wanted = asked.select("term", F.explode(pairs(F.col("term"))).alias("pair"))
-    held = each.join(wanted.select("pair").distinct(), "pair", "left_semi")
-    counts = held.groupBy("pair").agg(F.count("*").alias("n"))
-    anchors = wanted.join(counts, "pair").groupBy("term").agg(F.min_by("pair", F.struct("n", "pair")).alias("pair"), F.count("*").alias("known"), F.first(F.size(pairs(F.col("term")))).alias("all"))
-    candidates = held.join(anchors.filter("known = all").select("term", "pair"), "pair").groupBy(text_id).agg(F.collect_set("term").alias("terms"))
-    both = texts.join(candidates, text_id)
-    flags = lambda t: [F.contains(text_of(F.col(p)), t).alias(p) for p in parts]
-    found = F.filter(F.transform("terms", lambda t: F.struct(t.alias("term"), *flags(t))), lambda x: F.exists(F.array(*[x[p] for p in parts]), lambda f: f))
-    return both.select(text_id, found.alias("found")).filter(F.size("found") > 0)
+    asked = terms.filter(F.length("term") >= 2).select("term")
+    each = texts.select(F.explode(F.array(*[F.struct(F.struct(F.col(text_id).alias("text_id"), F.lit(p).alias("part")).alias("id"), F.col(p).alias("text")) for p in parts])).alias("x"))
+    found = occurrences(asked, each.select("x.id", "x.text"), "id", once=True)
+    return found.groupBy(F.col("id.text_id").alias(text_id), "term").agg(*[F.bool_or(F.col("id.part") == p).alias(p) for p in parts])
 
 
 def keyword_hits(keywords: DataFrame, sections: DataFrame, section_id: str) -> DataFrame:
@@ -220,7 +211,7 @@ def keyword_hits(keywords: DataFrame, sections: DataFrame, section_id: str) -> D
     """
     asked = keywords.groupBy("keyword").agg(F.bool_or("primary").alias("primary"))
     found = containing(asked.select(F.col("keyword").alias("term")), sections, section_id, ["title", "body"])
-    rows = found.select(section_id, F.explode("found").alias("f")).select(section_id, F.col("f.term").alias("keyword"), (3 * F.col("f.title").cast("int") + F.col("f.body").cast("int")).alias("points"))
+    rows = found.select(section_id, F.col("term").alias("keyword"), (3 * F.col("title").cast("int") + F.col("body").cast("int")).alias("points"))
     rows = rows.join(asked, "keyword").withColumn("points", F.col("points") * F.when(F.col("primary"), 2).otherwise(1))
     return rows.groupBy(section_id).agg(F.sum("points").alias("score"), F.array_sort(F.collect_list("keyword")).alias("hits"))
 

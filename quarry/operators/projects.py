@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped, text_of, without_blanks
+from .dictionary import occurrences
 from .ranks import first_rows
 
 # Numerals, and what is taken off a phrase: words before it, points after it, a number in front.
@@ -67,19 +68,27 @@ def usable_identifier(value: Column) -> Column:
     return (F.length(value) >= 2) & ~value.rlike("^[0-9]{1,5}$")
 
 
+def identifier_rows(found: DataFrame, given: DataFrame, key: str) -> DataFrame:
+    """(key, identifier): identifiers found (cleaned, usable ones) and given (as they are), without sentinels."""
+    own = found.select(key, stripped(text_of(F.col("value"))).alias("identifier")).filter(usable_identifier(F.col("identifier")))
+    rows = own.unionByName(given.select(key, stripped(text_of(F.col("value"))).alias("identifier")))
+    return rows.filter(~F.col("identifier").isin(*SENTINELS)).distinct()
+
+
 def identifiers(found: DataFrame, given: DataFrame, key: str) -> DataFrame:
-    """key, names: identifiers found (cleaned, usable ones) and given (as they are), without sentinels, the longest first."""
-    own = found.select(key, stripped(text_of(F.col("value"))).alias("value")).filter(usable_identifier(F.col("value")))
-    rows = own.unionByName(given.select(key, stripped(text_of(F.col("value"))).alias("value"))).filter(~F.col("value").isin(*SENTINELS)).distinct()
-    names = F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("n"), "value")))
-    return rows.groupBy(key).agg(F.transform(names, lambda x: x["value"]).alias("names"))
+    """key, names: the identifiers of a key, the longest first; a list, as its users read it."""
+    names = F.array_sort(F.collect_list(F.struct((-F.length("identifier")).alias("n"), "identifier")))
+    return identifier_rows(found, given, key).groupBy(key).agg(F.transform(names, lambda x: x["identifier"]).alias("names"))
 
 
 def identifier_hits(names: DataFrame, texts: DataFrame, key: str, text_id: str) -> DataFrame:
-    """key, text_id, identifier: which of the key's identifiers a text contains, blanks and case aside."""
-    bare = lambda c: F.lower(without_blanks(text_of(c)))
-    rows = texts.select(key, text_id, bare(F.col("text")).alias("_text")).join(names, key)
-    return rows.select(key, text_id, F.explode(F.filter("names", lambda n: F.contains(F.col("_text"), bare(n)))).alias("identifier"))
+    """key, text_id, identifier: which of the key's identifiers (rows key, identifier) a text contains, blanks and case aside.
+
+    All identifiers are one dictionary: texts stay where they are, and what is found in them is joined with the keys' rows.
+    """
+    own = texts.select(F.struct(key, text_id).alias("of"), "text")
+    found = occurrences(names.select(F.col("identifier").alias("term")), own, "of", blanks=False, fold=True, once=True)
+    return found.select(F.col(f"of.{key}").alias(key), F.col(f"of.{text_id}").alias(text_id), F.col("term").alias("identifier")).join(names, [key, "identifier"]).select(key, text_id, "identifier")
 
 
 def unhidden(examples: DataFrame, real: DataFrame, name: str) -> DataFrame:

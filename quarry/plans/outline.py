@@ -1,10 +1,10 @@
-"""Chapters from scoring items, and names in texts, over the driver tables."""
+"""Chapters from scoring items, over the driver tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import names, outline
+from ..operators import outline
 from ..sources.tables import table
 from .registry import query
 
@@ -54,10 +54,3 @@ def covering_chapters(spark, sf_dir):
     known = items.join(drafted.select("project"), "project", "left_semi")
     rows = outline.numbered(outline.covering(drafted, known))
     return rows.withColumn("title", F.regexp_replace("title", outline.CHAPTER, ""))
-
-
-@query("""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\s]+', '', 'g') AS t FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^\\x00-\\x{24f}]')), n AS (SELECT unnest(['the', 'und', 'les', 'que']) AS name)
-SELECT doc_id, name, CAST((length(t) - length(replace(t, name, ''))) / length(name) AS BIGINT) AS n FROM t, n WHERE contains(t, name)""")
-def name_occurrences(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").filter(~F.coalesce("text", F.lit("")).rlike(r"[^\x00-\x{24f}]")).select("doc_id", F.explode(names.occurrences(F.col("text"), ["the", "u nd", "les", "que", "x"])).alias("o"))
-    return rows.groupBy("doc_id", F.col("o.name").alias("name")).agg(F.count("*").alias("n"))

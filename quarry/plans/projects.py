@@ -141,27 +141,27 @@ def picked_sections(spark, sf_dir):
 
 
 NAMES = """f AS (SELECT c_nationkey AS grp, trim(value) AS value FROM (SELECT c_nationkey, c_mktsegment AS value FROM customer UNION ALL SELECT c_nationkey, CAST(c_custkey AS VARCHAR) FROM customer) WHERE length(trim(value)) >= 2 AND NOT regexp_matches(trim(value), '^[0-9]{1,5}$')
-UNION SELECT s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN '待填写' ELSE substr(s_name, 1, 9) END FROM supplier),
+UNION SELECT s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN '待填写' ELSE s_name END FROM supplier),
 n AS (SELECT grp, list(value ORDER BY length(value) DESC, value) AS names FROM (SELECT DISTINCT * FROM f WHERE value NOT IN ('未提及', '待填写', '')) GROUP BY 1)"""
 
 
-def name_lists(spark, sf_dir):
+def given_names(spark, sf_dir):
     customer = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("grp"), F.explode(F.array("c_mktsegment", F.col("c_custkey").cast("string"))).alias("value"))
-    given = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("grp"), F.when(F.col("s_suppkey") % 3 == 0, "待填写").otherwise(F.substring("s_name", 1, 9)).alias("value"))
-    return projects.identifiers(customer, given, "grp")
+    given = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("grp"), F.when(F.col("s_suppkey") % 3 == 0, "待填写").otherwise(F.col("s_name")).alias("value"))
+    return customer, given, "grp"
 
 
 @query(f"WITH {NAMES} SELECT * FROM n")
 def identifiers(spark, sf_dir):
-    return name_lists(spark, sf_dir)
+    return projects.identifiers(*given_names(spark, sf_dir))
 
 
-@query(f"""WITH {NAMES}, t AS (SELECT o_custkey % 25 AS grp, o_orderkey, lower(replace(CASE WHEN o_orderkey % 2 = 0 THEN concat('x BUIL DING ', o_orderpriority) ELSE 'supp lier of machinery' END, ' ', '')) AS text FROM orders), e AS (SELECT grp, unnest(names) AS identifier FROM n)
+@query(f"""WITH {NAMES}, t AS (SELECT o_custkey % 25 AS grp, o_orderkey, lower(replace(CASE WHEN o_orderkey % 2 = 0 THEN concat('x BUIL DING ', o_orderpriority) ELSE concat('supp lier of sUpplier#', lpad(CAST(o_orderkey % 100 AS VARCHAR), 9, '0')) END, ' ', '')) AS text FROM orders), e AS (SELECT grp, unnest(names) AS identifier FROM n)
 SELECT grp, o_orderkey, identifier FROM t JOIN e USING (grp) WHERE contains(text, lower(replace(identifier, ' ', '')))""")
 def identifier_hits(spark, sf_dir):
-    said = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("x BUIL DING "), "o_orderpriority")).otherwise("supp lier of machinery")
+    said = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("x BUIL DING "), "o_orderpriority")).otherwise(F.concat(F.lit("supp lier of sUpplier#"), F.lpad((F.col("o_orderkey") % 100).cast("string"), 9, "0")))
     texts = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 25).cast("int").alias("grp"), "o_orderkey", said.alias("text"))
-    return projects.identifier_hits(name_lists(spark, sf_dir), texts, "grp", "o_orderkey")
+    return projects.identifier_hits(projects.identifier_rows(*given_names(spark, sf_dir)), texts, "grp", "o_orderkey")
 
 
 @query("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)")

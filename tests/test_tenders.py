@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import clauses, commitments, evidence, names, outline, projects, rubrics, sections, verification
+from quarry.operators import clauses, commitments, evidence, outline, projects, rubrics, sections, verification
 
 
 def one(spark, column, **values):
@@ -140,7 +140,7 @@ def test_identifiers(spark):
     given = spark.createDataFrame([(1, "乙"), (1, "")], "k int, value string")
     names = projects.identifiers(found, given, "k")
     assert names.first().names == ["123456", "某某公司", "乙"]
-    hits = projects.identifier_hits(names, spark.createDataFrame([(1, 7, "由 某 某 公司 承建"), (1, 8, "无")], "k int, id int, text string"), "k", "id")
+    hits = projects.identifier_hits(projects.identifier_rows(found, given, "k"), spark.createDataFrame([(1, 7, "由 某 某 公司 承建"), (1, 8, "无")], "k int, id int, text string"), "k", "id")
     assert [(r.id, r.identifier) for r in hits.collect()] == [(7, "某某公司")]
 
 
@@ -267,17 +267,6 @@ def test_masks_keep_places(spark):
     assert one(spark, commitments.masked(F.col("t"), "b+\nb"), t="abb\nbc") == "a  \n c"
 
 
-def test_names_are_found_across_blanks():
-    import ahocorasick
-
-    automaton = ahocorasick.Automaton()
-    for name in ("某某公司", "公司", "张三"):
-        automaton.add_word(name, name)
-    automaton.make_automaton()
-    got = [(s["name"], s["start"], s["end"]) for s in names.spans("由某 某公司张 三与公司承担", automaton)]
-    assert got == [("某某公司", 1, 6), ("张三", 6, 9), ("公司", 10, 12)]
-
-
 def test_outline_appends_what_is_missing(spark):
     items = spark.createDataFrame([(1, i, i, f"n{i}", a) for i, a in enumerate(["proposal", "demo", "evidence", "proposal", "price"])], "project int, pos int, item_id int, name string, answer string")
     drafted = spark.createDataFrame([(1, 0, "第三章 总述", [3, 99])], "project int, place int, title string, item_ids array<int>")
