@@ -37,9 +37,10 @@ def hidden_names(spark, sf_dir):
 
 RUNS = f"""WITH n AS ({NAMES}), t AS (SELECT doc_id, text, string_split(coalesce(text, ''), '') AS letters, lower({gone("coalesce(text, '')")}) AS bare FROM documents),
 p AS (SELECT doc_id, bare, list_filter(generate_series(1, len(letters)), lambda i: NOT regexp_matches(letters[i], '[{BLANKS}]')) AS spots FROM t),
-m AS (SELECT doc_id, spots, form, string_split(bare, form) AS parts FROM p JOIN n ON contains(bare, form)),
-w AS (SELECT doc_id, spots, form, unnest(list_transform(generate_series(1, len(parts) - 1), lambda k: CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) AS BIGINT) + (k - 1) * length(form) + 1)) AS i FROM m),
-o AS (SELECT doc_id, spots[i] - 1 AS a, spots[i + length(form) - 1] AS b FROM w),
+m AS (SELECT doc_id, bare, spots, form, string_split(bare, form) AS parts FROM p JOIN n ON contains(bare, form)),
+w AS (SELECT doc_id, bare, spots, form, unnest(list_transform(generate_series(1, len(parts) - 1), lambda k: CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) AS BIGINT) + (k - 1) * length(form) + 1)) AS first FROM m),
+v AS (SELECT doc_id, spots, form, first + s AS i FROM w, generate_series(0, 40) g(s) WHERE s < length(form) AND substr(bare, first + s, length(form)) = form),
+o AS (SELECT doc_id, spots[i] - 1 AS a, spots[i + length(form) - 1] AS b FROM v),
 r AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o),
 g AS (SELECT *, sum(CASE WHEN coalesce(reach, -1) < a THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM r),
 s AS (SELECT doc_id, run, min(a) AS a, max(b) AS b FROM g GROUP BY ALL) """
