@@ -1,5 +1,5 @@
 """Registered queries over the driver tables and their SQL."""
 
-from . import coverage, folds, outline, projects, records, redaction, retrieval, rubrics, streams, tenders, texts, usage
+from . import coverage, diffs, folds, outline, projects, records, redaction, retrieval, rubrics, streams, tenders, texts, usage
 from .registry import QUERIES, SQL
 from .retrieval import retrieve
