@@ -14,7 +14,7 @@ from .registry import query
 # Assets on suppliers, items on parts, links on lineitem: a part's suppliers; some links lead nowhere.
 STATUS = "CASE s_suppkey % 6 WHEN 0 THEN 'example' WHEN 1 THEN 'expired' WHEN 2 THEN 'to verify' ELSE 'complete' END"
 SEVERITY = "['example', 'expired', 'wrong holder', 'broken link', 'no attachment', 'to verify']"
-LINKS = "SELECT DISTINCT l_partkey AS item_id, concat('s:', CASE WHEN l_partkey % 9 = 0 THEN l_suppkey + 100000 ELSE l_suppkey END) AS key FROM lineitem WHERE l_partkey % 4 != 1"
+LINKS = "SELECT DISTINCT l_partkey AS item_id, concat('s:', CASE WHEN l_partkey % 9 = 0 THEN l_suppkey + 100000 ELSE l_suppkey END) AS key FROM lineitem"
 REPORT = f"""l AS ({LINKS}), a AS (SELECT concat('s:', s_suppkey) AS key, {STATUS} AS status FROM supplier),
 j AS (SELECT item_id, l.key, a.key IS NOT NULL AS known, coalesce(a.status, 'broken link') AS status FROM l LEFT JOIN a USING (key)),
 g AS (SELECT item_id, coalesce({SEVERITY}[min(list_position({SEVERITY}, status))], 'complete') AS status, count_if(known) AS links, coalesce(list_sort(list(key) FILTER (NOT known)), []) AS missing FROM j GROUP BY 1),
@@ -29,7 +29,7 @@ def asset_rows(spark, sf_dir):
 
 def link_rows(spark, sf_dir):
     key = F.concat(F.lit("s:"), F.when(F.col("l_partkey") % 9 == 0, F.col("l_suppkey") + 100000).otherwise(F.col("l_suppkey")))
-    return table(spark, sf_dir, "lineitem").filter("l_partkey % 4 != 1").select(F.col("l_partkey").alias("item_id"), key.alias("key")).distinct()
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("item_id"), key.alias("key")).distinct()
 
 
 @query(f"WITH {REPORT} SELECT * FROM r")
@@ -46,11 +46,11 @@ def evidence_summary(spark, sf_dir):
 @query(f"""WITH l AS ({LINKS}), a AS (SELECT concat('s:', s_suppkey) AS key, CASE WHEN s_suppkey % 3 = 0 THEN [] ELSE [s_name, concat(s_name, '.pdf')] END AS files FROM supplier),
 f AS (SELECT item_id, key, unnest(files) AS file FROM l JOIN a USING (key)), fa AS (SELECT item_id, list_sort(list({{'key': key, 'file': file}})) AS attachments FROM f GROUP BY 1),
 m AS (SELECT item_id, list_sort(list(l.key)) AS missing FROM l LEFT JOIN a USING (key) WHERE a.key IS NULL GROUP BY 1),
-s AS (SELECT o.p AS item_id, list_sort(list(DISTINCT {{'id': o.o_orderkey, 'written': o.o_orderstatus = 'F'}})) AS sections FROM (SELECT o_orderkey, o_orderstatus, o_custkey % 97 + 1 AS p FROM orders WHERE o_orderkey % 5 = 0) o GROUP BY 1)
+s AS (SELECT o.p AS item_id, list_sort(list(DISTINCT {{'id': o.o_orderkey, 'written': o.o_orderstatus = 'F'}})) AS sections FROM (SELECT o_orderkey, o_orderstatus, o_custkey % 97 + 1 AS p FROM orders) o GROUP BY 1)
 SELECT p_partkey AS item_id, coalesce(sections, []) AS sections, coalesce(attachments, []) AS attachments, coalesce(missing, []) AS missing FROM part LEFT JOIN s ON s.item_id = p_partkey LEFT JOIN fa ON fa.item_id = p_partkey LEFT JOIN m ON m.item_id = p_partkey""")
 def scoring_index(spark, sf_dir):
     items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"))
-    mapped = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").select((F.col("o_custkey") % 97 + 1).alias("item_id"), F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("written"))
+    mapped = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 97 + 1).alias("item_id"), F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("written"))
     files = F.when(F.col("s_suppkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("s_name", F.concat("s_name", F.lit(".pdf"))))
     return evidence.index_rows(items, mapped, link_rows(spark, sf_dir), asset_rows(spark, sf_dir).select("key", files.alias("files")))
 
@@ -286,11 +286,12 @@ def usage_last_days(spark, sf_dir):
     return usage.filtered(calls(spark, sf_dir), since=usage.since_days(7, date(2024, 1, 30))).select("call_id")
 
 
-@query("""WITH g AS (SELECT conv_id % 3 AS grp, conv_id * 1000 + turn AS doc_id, regexp_replace(split_part(text, ' ', 1), '\\s+', '', 'g') AS line FROM conversations), c AS (SELECT grp, line, count(DISTINCT doc_id) AS docs FROM g WHERE line != '' AND length(line) <= 40 GROUP BY ALL), t AS (SELECT grp, count(*) AS total FROM g GROUP BY 1),
+@query(f"""WITH g AS (SELECT conv_id % 3 AS grp, conv_id * 1000 + turn AS doc_id, regexp_replace(unnest(string_split(text, chr(10))), '[{text.BLANKS}]+', '', 'g') AS line FROM conversations), c AS (SELECT grp, line, count(DISTINCT doc_id) AS docs FROM g WHERE line != '' AND length(line) <= 40 GROUP BY ALL), t AS (SELECT grp, count(DISTINCT doc_id) AS total FROM g GROUP BY 1),
 f AS (SELECT grp, line FROM c JOIN t USING (grp) WHERE docs >= greatest(2, ceil(0.02 * total))) SELECT grp, doc_id, line FROM g WHERE (grp, line) NOT IN (SELECT (grp, line) FROM f)""")
 def without_furniture(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 3).alias("grp"), (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.regexp_replace(F.split("text", " ")[0], r"\s+", "").alias("line"))
-    return lines.without_furniture(rows, lines.furniture(rows.withColumn("text", F.col("line")), "grp", 0.02), "grp")
+    docs = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 3).alias("grp"), (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    rows = docs.select("grp", "doc_id", F.explode(text.lines(F.col("text"))).alias("line"))
+    return lines.without_furniture(rows, lines.furniture(docs, "grp", 0.02), "grp").withColumn("line", text.without_blanks(F.col("line")))
 
 
 VECTORS = "SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'old' ELSE 'new' END AS version, vec_id % 7 = 0 AS bad FROM embeddings"
@@ -327,11 +328,11 @@ def filtered_after_cut(spark, sf_dir):
     return retrieval.filtered_after_cut(retrieval.ranked(scored, "query_id", "doc_id", 100), allowed, 5)
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 OR contains(text, substr(text, 1, 180)) AND turn % 3 = 1 THEN text ELSE concat(role, chr(10), text) END AS composed, concat('《', role, '》', CASE WHEN turn % 2 = 0 THEN concat(' ', 'part ', turn) ELSE '' END, chr(10), text) AS context FROM conversations WHERE NOT contains(text, role)""")
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 < 2 OR contains(text, role) THEN text ELSE concat(role, chr(10), text) END AS composed, concat('《', role, '》', CASE WHEN turn % 2 = 0 THEN concat(' ', 'part ', turn) ELSE '' END, chr(10), text) AS context FROM conversations""")
 def chunk_texts(spark, sf_dir):
     summary = F.when(F.col("turn") % 3 == 1, F.col("text")).when(F.col("turn") % 3 == 2, F.col("role"))
     crumb = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("part "), "turn"))
-    rows = table(spark, sf_dir, "conversations").filter(~F.contains("text", F.col("role")))
+    rows = table(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", text.compose(summary, F.col("text")).alias("composed"), text.context_text(F.col("role"), crumb, F.col("text")).alias("context"))
 
 
@@ -342,10 +343,9 @@ def embedding_keys(spark, sf_dir):
     return rows.select("event_id", "version", "key", "s.kind", "s.name")
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN abs(l_quantity - l_suppkey % 50) <= CASE WHEN l_returnflag = 'N' THEN 8640 ELSE 6 END ELSE l_quantity = l_suppkey % 50 END AS same FROM (SELECT * FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1)""")
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN abs(l_quantity - l_suppkey % 50) <= CASE WHEN l_returnflag = 'N' THEN 8640 ELSE 6 END ELSE l_quantity = l_suppkey % 50 END AS same FROM lineitem""")
 def same_values(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem")
-    rows = items.join(items.groupBy("l_orderkey", "l_linenumber").count().filter("count = 1").drop("count"), ["l_orderkey", "l_linenumber"])
+    rows = table(spark, sf_dir, "lineitem")
     side = lambda n, approx: F.struct(F.when(F.col("l_returnflag") == "N", "minute").otherwise("day").alias("dimension"), n.cast("double").alias("number"), n.cast("long").cast("string").alias("value"), approx.alias("approx"))
     same = numbers.same_value(side(F.col("l_quantity"), F.col("l_linenumber") % 2 == 0), side(F.col("l_suppkey") % 50, F.lit(False)))
     return rows.select("l_orderkey", "l_linenumber", same.alias("same"))

@@ -207,11 +207,13 @@ def ordered_distinct(spark, sf_dir):
     return ranks.ordered_distinct(table(spark, sf_dir, "part"), ["p_brand"], "p_type", "p_partkey")
 
 
-@query("""WITH a AS (SELECT replace(p_name, ' ', '') AS k, min(p_name) AS p_name FROM part WHERE p_size <= 5 GROUP BY 1), b AS (SELECT replace(p_name, ' ', '') AS k, min(p_name) AS p_name FROM part GROUP BY 1)
+@query("""WITH a AS (SELECT substr(replace(p_name, ' ', ''), 1, 60) AS k, min(p_name) AS p_name FROM part GROUP BY 1), b AS (SELECT substr(replace(n, ' ', ''), 1, 60) AS k, min(n) AS p_name FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN concat(p_type, ' ', p_brand) ELSE concat(' ', p_name) END AS n FROM part) GROUP BY 1)
 SELECT p_name FROM a UNION ALL SELECT p_name FROM b WHERE k NOT IN (SELECT k FROM a)""")
 def key_union(spark, sf_dir):
+    """Names of parts, and for every second part its type and brand, for the others the name with a blank before it."""
     parts = table(spark, sf_dir, "part")
-    return links.normalised_union(parts.filter("p_size <= 5").select("p_name"), parts.select("p_name"), "p_name")
+    more = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_type", F.lit(" "), "p_brand")).otherwise(F.concat(F.lit(" "), "p_name"))
+    return links.normalised_union(parts.select("p_name"), parts.select(more.alias("p_name")), "p_name")
 
 
 @query("""SELECT o_custkey, CASE min(CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 END) WHEN 1 THEN 'P' WHEN 2 THEN 'O' ELSE 'complete' END AS o_orderstatus FROM orders GROUP BY o_custkey""")

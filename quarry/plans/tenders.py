@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANKS
@@ -41,17 +42,23 @@ def majority_levels(spark, sf_dir):
 
 
 LINES = "SELECT doc_id, pos, unnest(line) AS line FROM (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos, string_split(coalesce(text, ''), chr(10)) AS line FROM documents)"
-LEVELLED = "concat(CASE turn % 6 WHEN 0 THEN '第三章 ' WHEN 1 THEN '（四） ' WHEN 2 THEN '2.10.1 ' WHEN 3 THEN '12) ' WHEN 4 THEN '2024 年 ' ELSE '' END, substr(text, 1, 20), CASE WHEN turn % 5 = 0 THEN '；' ELSE '' END)"
+LEVELLED = "concat(CASE turn % 6 WHEN 0 THEN '第三章 ' WHEN 1 THEN '（四） ' WHEN 2 THEN '2.10.1 ' WHEN 3 THEN '12) ' WHEN 4 THEN '2024 年 ' ELSE '' END, said, CASE WHEN turn % 5 = 0 THEN '；' ELSE '' END)"
+SAID = "(SELECT * EXCLUDE (parts), unnest(parts) AS said, generate_subscripts(parts, 1) - 1 AS pos FROM (SELECT *, regexp_split_to_array(coalesce(text, ''), '[.\n]') AS parts FROM conversations))"
 
 
-@query(f"""WITH l AS (SELECT conv_id, turn, regexp_replace({LEVELLED}, '^[{BLANKS}]+|[{BLANKS}]+$', '', 'g') AS t FROM conversations)
-SELECT conv_id, turn, CASE WHEN length(t) < 2 OR length(t) > 60 OR regexp_matches(t, '[，,；;、]$|^(?:19|20)[0-9]{{2}}[ ]*年|^[0-9]+[ ]*(?:万|千|亿|元|个|条|家|台|套)') THEN NULL
+@query(f"""WITH l AS (SELECT conv_id, turn, pos, regexp_replace({LEVELLED}, '^[{BLANKS}]+|[{BLANKS}]+$', '', 'g') AS t FROM {SAID})
+SELECT conv_id, turn, CAST(pos AS INT) AS pos, CASE WHEN length(t) < 2 OR length(t) > 60 OR regexp_matches(t, '[，,；;、]$|^(?:19|20)[0-9]{{2}}[ ]*年|^[0-9]+[ ]*(?:万|千|亿|元|个|条|家|台|套)') THEN NULL
 WHEN regexp_matches(t, '^(?:[0-9]{{1,2}}\\.[0-9]{{1,2}}\\.[0-9]{{1,2}}|[0-9]{{1,2}}[）)]|[（(][0-9]{{1,2}}[）)])') THEN 3 WHEN regexp_matches(t, '^(?:[0-9]{{1,2}}\\.[0-9]{{1,2}}|[（(][一二三四五六七八九十]+[）)])') THEN 2
 WHEN regexp_matches(t, '^(?:第[一二三四五六七八九十百0-9]+[章节篇部]|[一二三四五六七八九十]+[、.．]|[0-9]{{1,2}}[ ]+[\\p{{L}}_]|[0-9]{{1,2}}[、.．])') THEN 1 END AS level FROM l""")
 def heading_levels(spark, sf_dir):
     form = F.element_at(F.array(*[F.lit(x) for x in ("第三章 ", "（四） ", "2.10.1 ", "12) ", "2024 年 ", "")]), (F.col("turn") % 6 + 1).cast("int"))
-    line = F.concat(form, F.substring("text", 1, 20), F.when(F.col("turn") % 5 == 0, "；").otherwise(""))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", sections.heading_level(line).alias("level"))
+    line = F.concat(form, "said", F.when(F.col("turn") % 5 == 0, "；").otherwise(""))
+    return sentences(spark, sf_dir).select("conv_id", "turn", "pos", sections.heading_level(line).alias("level"))
+
+
+def sentences(spark, sf_dir):
+    """Turns of conversations cut at stops and line ends: conv_id, turn, pos, said."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"[.\n]")).alias("pos", "said"))
 
 
 KINDS = "CASE WHEN turn % 7 = 3 THEN 'heading' WHEN turn % 3 = 1 THEN 'table' ELSE 'paragraph' END"
@@ -72,11 +79,10 @@ def table_markdown(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", sections.table_markdown(grid).alias("markdown"))
 
 
-@query("SELECT l_orderkey AS doc_id, l_suppkey % 2 AS page, l_linenumber AS pos, l_quantity - lag(l_quantity + 1) OVER (PARTITION BY l_orderkey, l_suppkey % 2 ORDER BY l_linenumber) AS gap FROM (SELECT * FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1)")
+@query("SELECT l_orderkey AS doc_id, l_suppkey % 2 AS page, l_linenumber AS pos, l_quantity - lag(l_quantity + 1) OVER (PARTITION BY l_orderkey, l_suppkey % 2 ORDER BY l_linenumber) AS gap FROM (SELECT * EXCLUDE (l_linenumber), row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS l_linenumber FROM lineitem)")
 def line_gaps(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem")
-    single = items.groupBy("l_orderkey", "l_linenumber").count().filter("count = 1").drop("count")
-    rows = items.join(single, ["l_orderkey", "l_linenumber"]).select(F.col("l_orderkey").alias("doc_id"), (F.col("l_suppkey") % 2).alias("page"), F.col("l_linenumber").alias("pos"), F.col("l_quantity").alias("top"), (F.col("l_quantity") + 1).alias("bottom"))
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_suppkey") % 2).alias("page"), pos.alias("pos"), F.col("l_quantity").alias("top"), (F.col("l_quantity") + 1).alias("bottom"))
     return sections.line_gaps(rows).select("doc_id", "page", "pos", "gap")
 
 
@@ -95,12 +101,14 @@ def collapsed_diff(spark, sf_dir):
     return sections.collapsed(table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("pos"), kind.alias("type")), ["user_id"])
 
 
-@query("""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN concat('## 1.1 ', role, chr(10), text) ELSE concat('**', role, ' extra**', chr(10), text) END AS said,
-CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN regexp_replace(text, '^\\n+', '') ELSE regexp_replace(text, '^\\n+', '') END AS body FROM conversations WHERE NOT regexp_matches(text, '^\\s*(#|\\*)')""")
+@query(r"""WITH s AS (SELECT conv_id, turn, role, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN concat('## 1.1 ', role, chr(10), text) ELSE concat('**', role, ' extra**', chr(10), text) END AS said FROM conversations),
+b AS (SELECT *, regexp_replace(said, '^\n+', '') AS b FROM s), f AS (SELECT *, split_part(b, chr(10), 1) AS head, regexp_replace(split_part(b, chr(10), 1), '[#*\s]', '', 'g') AS h FROM b),
+k AS (SELECT *, regexp_replace(h, '^(?:第[一二三四五六七八九十百0-9]+[章节篇]|[0-9.]+|[一二三四五六七八九十]+[、.．])', '') AS heading FROM f)
+SELECT conv_id, turn, said, CASE WHEN regexp_matches(head, '^\s*(?:#{1,6}\s*.+|\*\*.+\*\*)\s*$') AND heading != '' AND contains(heading, role) THEN regexp_replace(substr(b, length(head) + 2), '^\n+', '') ELSE said END AS body FROM k""")
 def without_title(spark, sf_dir):
     turn = F.col("turn") % 3
     said = F.when(turn == 0, F.col("text")).when(turn == 1, F.concat(F.lit("## 1.1 "), "role", F.lit("\n"), "text")).otherwise(F.concat(F.lit("**"), "role", F.lit(" extra**\n"), "text"))
-    rows = table(spark, sf_dir, "conversations").filter(~F.col("text").rlike(r"^\s*(#|\*)")).withColumn("said", said)
+    rows = table(spark, sf_dir, "conversations").withColumn("said", said)
     return rows.select("conv_id", "turn", "said", sections.without_title(F.col("said"), F.concat(F.lit("第二章 "), "role")).alias("body"))
 
 
@@ -121,8 +129,8 @@ def source_notes(spark, sf_dir):
 
 
 # Lines of clauses: turns with marks and words of requirements in front.
-CLAUSE = "concat(CASE turn % 5 WHEN 0 THEN '★' WHEN 1 THEN '1. ▲' WHEN 2 THEN '2、必须 ' WHEN 3 THEN '★标注 ' ELSE '' END, substr(replace(text, chr(10), ' '), 1, 60), CASE WHEN turn % 4 = 0 THEN ' 应急' WHEN turn % 4 = 1 THEN ' 应当' ELSE '' END)"
-CLAUSE_LINES = f"SELECT conv_id % 7 AS doc_id, conv_id * 1000 + turn AS pos, {CLAUSE} AS line FROM conversations"
+CLAUSE = "concat(CASE turn % 5 WHEN 0 THEN '★' WHEN 1 THEN '1. ▲' WHEN 2 THEN '2、必须 ' WHEN 3 THEN '★标注 ' ELSE '' END, said, CASE WHEN turn % 4 = 0 THEN ' 应急' WHEN turn % 4 = 1 THEN ' 应当' ELSE '' END)"
+CLAUSE_LINES = f"SELECT conv_id % 7 AS doc_id, (conv_id * 1000 + turn) * 100000 + pos AS pos, {CLAUSE} AS line FROM {SAID}"
 TRIMMED = f"regexp_replace(line, '^[{BLANKS}]+|[{BLANKS}]+$', '', 'g')"
 LEVEL = "CASE WHEN contains(line, '★') THEN 'redline' WHEN contains(line, '▲') THEN 'important' END"
 OWN = f"l AS ({CLAUSE_LINES}), c AS (SELECT doc_id, pos, {TRIMMED} AS line FROM l), m AS (SELECT *, {LEVEL} AS level FROM c WHERE NOT contains(line, '标注'))"
@@ -135,8 +143,9 @@ req AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE
 def clause_lines(spark, sf_dir):
     turn = F.col("turn")
     front = F.when(turn % 5 == 0, "★").when(turn % 5 == 1, "1. ▲").when(turn % 5 == 2, "2、必须 ").when(turn % 5 == 3, "★标注 ").otherwise("")
-    line = F.concat(front, F.substring(F.translate("text", "\n", " "), 1, 60), F.when(turn % 4 == 0, " 应急").when(turn % 4 == 1, " 应当").otherwise(""))
-    return table(spark, sf_dir, "conversations").select((F.col("conv_id") % 7).alias("doc_id"), (F.col("conv_id") * 1000 + turn).alias("pos"), line.alias("line"), clauses.usual_levels().alias("levels"))
+    line = F.concat(front, "said", F.when(turn % 4 == 0, " 应急").when(turn % 4 == 1, " 应当").otherwise(""))
+    place = (F.col("conv_id") * 1000 + turn) * 100_000 + F.col("pos")
+    return sentences(spark, sf_dir).select((F.col("conv_id") % 7).alias("doc_id"), place.alias("pos"), line.alias("line"), clauses.usual_levels().alias("levels"))
 
 
 @query(f"""WITH {OWN}, r AS (SELECT doc_id, level, row_number() OVER (PARTITION BY doc_id, level ORDER BY pos) AS number, line AS clause FROM m WHERE level IS NOT NULL AND length(line) > 4 AND length(line) < 200)
