@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import same_value
+from .intervals import overlaps
 
 
 def inherited(occurrences: DataFrame) -> DataFrame:
     """Rows (section_id, start, end, item_key, kind, asset_key, basis) in which a placeholder that overlaps occurrences of exactly one asset has become that asset's item."""
-    assets = occurrences.filter("asset_key IS NOT NULL").select("section_id", F.col("start").alias("_a"), F.col("end").alias("_b"), F.struct("asset_key", "item_key", "basis", "kind").alias("_asset"))
+    assets = occurrences.filter("asset_key IS NOT NULL").select("section_id", F.col("start").alias("from"), F.col("end").alias("to"), F.struct("asset_key", "item_key", "basis", "kind").alias("_asset"))
     holes = occurrences.filter("kind = 'placeholder'").select("item_key", "section_id", "start", "end")
-    met = holes.join(assets, "section_id").filter((F.col("start") < F.col("_b")) & (F.col("_a") < F.col("end"))).groupBy("item_key").agg(F.count_distinct("_asset.asset_key").alias("n"), F.min("_asset").alias("_asset"))
+    met = overlaps(holes, assets, ["section_id"]).groupBy("item_key").agg(F.count_distinct("_asset.asset_key").alias("n"), F.min("_asset").alias("_asset"))
     rows = occurrences.join(met.filter("n = 1").select("item_key", "_asset"), "item_key", "left")
     take = (F.col("kind") == "placeholder") & F.col("_asset").isNotNull()
     return rows.select("section_id", "start", "end", *[F.when(take, F.col(f"_asset.{c}")).otherwise(F.col(c)).alias(c) for c in ("item_key", "kind", "asset_key", "basis")])
