@@ -82,6 +82,15 @@ def blank_pieces(text: str) -> list[str]:
 TAILS = ".,;:!?"
 
 
+def letters_only(tokenizer):
+    """The same merges for lower-case words of letters with single blanks between: nothing is rewritten, and blanks alone split."""
+    from tokenizers import Tokenizer
+
+    made = json.loads(tokenizer.to_str())
+    made |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *made["pre_tokenizer"]["pretokenizers"][1:]]}}
+    return Tokenizer.from_str(json.dumps(made))
+
+
 class IdEncoder:
     """Token ids of whole texts as bytes; by pieces for a vocabulary with word ends (see `has_word_ends`), else whole.
 
@@ -95,6 +104,11 @@ class IdEncoder:
         self.tokenizer, self.dtype = load(path), np.dtype(dtype)
         self.by_piece = has_word_ends(json.loads(self.tokenizer.to_str()))
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.heads = {a[0] for a in self.added}
+        if self.by_piece:
+            self.letters, end = letters_only(self.tokenizer), json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+            self.last = np.zeros(max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1, bool)
+            self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(end)]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -113,19 +127,29 @@ class IdEncoder:
         if not core or not (core.isascii() or core.isalpha() and max(core) < "\u0250"):
             return piece, ""
         low = core.lower()
-        if len(low) != len(core) or any(a in piece.lower() for a in self.added):
+        if len(low) != len(core) or not self.heads.isdisjoint(low) and any(a in piece.lower() for a in self.added):
             return piece, ""
         return (low, piece[len(core) :]) if core[-1].isalnum() else (low + piece[len(core) :], "")
 
     def _encode(self, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), self.TOGETHER):
-            part = pieces[i : i + self.TOGETHER]
+        """Encode pieces together: words of letters in the form they are looked up by without rewriting and patterns, others with the library's offsets."""
+        words, others = [], []
+        for p in pieces:
+            (words if p.isalpha() and p.islower() and max(p) < "\u0250" else others).append(p)
+        for i in range(0, len(words), self.TOGETHER):
+            part = words[i : i + self.TOGETHER]
+            ids = np.array(self.letters.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
+            self._keep(part, ids, np.flatnonzero(self.last[ids]) + 1)
+        for i in range(0, len(others), self.TOGETHER):
+            part = others[i : i + self.TOGETHER]
             ids, found = self._ids(" ".join(part))
             begins = np.cumsum(np.array([0, *map(len, part[:-1])]) + (np.arange(len(part)) > 0))
             owner = np.searchsorted(begins, np.array([a for a, _ in found.offsets], np.int64), side="right") - 1
-            cuts = (np.cumsum(np.bincount(owner, minlength=len(part))) * self.dtype.itemsize).tolist()
-            data = ids.tobytes()
-            self.young.update(zip(part, [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+            self._keep(part, ids, np.cumsum(np.bincount(owner, minlength=len(part))))
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        cuts, data = (ends * self.dtype.itemsize).tolist(), ids.tobytes()
+        self.young.update(zip(pieces, [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
 
     def _learn(self, pieces: list[str]) -> None:
         parts = list(map(self._parts, pieces))
