@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Blank characters as Unicode defines them for text.
 BLANKS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
+#: The same, one by one.
+BLANK_CHARACTERS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 # Forms that do not count as body text.
 CODE_FENCE = r"(?s)```.*?(?:```|\z)"
 TABLE_RULE = r"(?m)^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*$"
@@ -57,11 +60,11 @@ def lines(text: Column) -> Column:
 
 
 def without_blanks(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{BLANKS}]+", "")
+    return F.translate(text, BLANK_CHARACTERS, "")
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{BLANKS}]+|[{BLANKS}]+\z", "")
+    return F.btrim(text, F.lit(BLANK_CHARACTERS))
 
 
 def chars(text: Column) -> Column:
@@ -109,7 +112,7 @@ def tags(breadcrumb: Column, head: Column, rules: dict[str, list[str]] | None =
 def noise_line(line: Column) -> Column:
     """Lines that say nothing by themselves: blank, a page number, a line of a table of contents."""
     text = stripped(line)
-    return (text == "") | text.rlike(PAGE_NUMBER) | (text.rlike(CONTENTS_LINE) & (F.length(text) < CONTENTS_MOST))
+    return (text == "") | text.rlike(PAGE_NUMBER) | ((F.length(text) < CONTENTS_MOST) & text.rlike(CONTENTS_LINE))
 
 
 def page_of(text: Column, offset: int, limit: int) -> Column:

@@ -203,10 +203,3 @@ def echoed(clauses: DataFrame, verdicts: DataFrame, group: str, most: int = 40)
 def worst_covered(covered: DataFrame, most: int = 5) -> DataFrame:
     """The items that are not covered with the most points, unknown points last; ties by identifier."""
     return covered.filter("status != 'covered'").orderBy(F.desc(F.coalesce("points", F.lit(0.0))), "item_id").limit(most)
-
-
-def throttled(events: DataFrame, seconds: float = 2.0) -> DataFrame:
-    """task_id, kept: the progress events of each task (task_id, ts, event_id) that are written: the first, and each that comes at least so long after the last written one."""
-    own = events.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id"))).alias("own"))
-    step = lambda acc, e: F.when((F.size(acc) == 0) | (e["at"] - F.element_at(acc, -1)["at"] >= int(seconds * 1e6)), F.concat(acc, F.array(e))).otherwise(acc)
-    return own.select("task_id", F.transform(F.aggregate("own", F.slice("own", 1, 0), step), lambda e: e["event_id"]).alias("kept"))

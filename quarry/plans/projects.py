@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, numbers, text
 from ..operators import checks, evidence, lines, projects, retrieval, usage, versions
 from ..sources.tables import calls, paragraphs, table
+from ..streaming import windows, writes
 from .registry import query
 
 # Assets on suppliers, items on parts, links on lineitem: a part's suppliers; some links lead nowhere.
@@ -274,10 +275,13 @@ def worst_covered(spark, sf_dir):
     return projects.worst_covered(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_size").cast("double").alias("points"), status.alias("status"))).select("item_id", "points")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS k FROM events),
+r AS (SELECT user_id, ts, event_id, k FROM e WHERE k = 1 UNION ALL SELECT n.user_id, n.ts, n.event_id, n.k FROM r JOIN LATERAL (SELECT * FROM e WHERE e.user_id = r.user_id AND e.k > r.k AND epoch_ms(e.ts) - epoch_ms(r.ts) >= 36000000 ORDER BY e.k LIMIT 1) n ON true)
+SELECT user_id AS task_id, event_id FROM r""")
 def throttled_progress(spark, sf_dir):
-    """A fold over each task's events that SQL cannot state without recursion; tested on a fixture."""
-    return projects.throttled(table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), "ts", "event_id"), 36_000)
+    """Of each task's events the first, and each that comes ten hours or more after the last one told."""
+    instants = windows.as_instant(table(spark, sf_dir, "events"), "ts")
+    return writes.throttled(instants.select(F.col("user_id").alias("task_id"), "ts", "event_id"), seconds=36_000)
 
 
 # Upkeep of usage, lines and vectors.
