@@ -207,3 +207,10 @@ def test_scan_finds_terms_inside_text(spark):
 def test_commitments_against_facts(spark, fact, said, relation):
     q = lambda text, **more: spark.createDataFrame([(text,)], "text string").select(F.explode(quantities.extracted(F.col("text"))).alias("q")).select("q.*", F.concat_ws("|", "q.severity", "q.scope", "q.subject").alias("place")).select("topic", F.col("place").alias("scope"), "dimension", "number", "value", "approx", "comparator")
     assert [r.relation for r in checks.commitment_relations(q(said), q(fact)).collect()] == [relation]
+
+
+def test_years_of_experience(spark):
+    """Years are no quantity if experience is named right after them, or experience or seniority right before."""
+    rows = spark.createDataFrame([(1, "5年从业经验"), (2, "工龄5年"), (3, "质保期5年工龄"), (4, "经验不少于5年"), (5, "质保5年")], "id int, text string")
+    found = rows.select("id", F.size(quantities.extracted(F.col("text"))).alias("n")).collect()
+    assert {r.id: r.n for r in found} == {1: 0, 2: 0, 3: 1, 4: 0, 5: 1}
