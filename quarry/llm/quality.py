@@ -142,7 +142,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Labels other than 0 and 1, null labels and documents with both labels are left out. However few pieces a label has, they
     are its dictionary; if all its documents are among those for the curve, their pieces are taken. Without both labels, or
-    where no text of one has a byte, the score is the share of label 1 (0.5 without any).
+    where no text of one has a byte, the score is the share of label 1 (0.5 without any). The two samples are parted by a hash,
+    so each holds about its share of the bound, the two together never more than their sum. If all documents for the curve have
+    one label, the curve is steep and unshifted: a text nearer to good text scores above 0.5, an empty one exactly 0.5.
     """
     ids = only(labels, id_col, label_col).filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     ids = ids.groupBy(id_col).agg(F.min(label_col).alias("label"), F.max(label_col).alias("other")).filter("label = other").select(id_col, F.col("label").cast("int").alias("label"))
