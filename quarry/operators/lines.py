@@ -44,7 +44,11 @@ def without_furniture(rows: DataFrame, found: DataFrame, group: str) -> DataFram
     return rows.withColumn("_bare", without_blanks(F.col("line"))).join(found.select(group, F.col("line").alias("_bare")), [group, "_bare"], "left_anti").drop("_bare")
 
 
-def merged_titles(rows: DataFrame, title: str, id_col: str, ids: str) -> DataFrame:
-    """One row for each title without blanks and case: that of the least identifier, with all identifiers."""
-    key = F.lower(without_blanks(F.col(title))).alias("key")
-    return rows.groupBy(key).agg(F.min(id_col).alias(id_col), F.min_by(title, id_col).alias(title), F.array_sort(F.collect_set(id_col)).alias(ids))
+def merged_titles(rows: DataFrame, title: str, id_col: str, member: str) -> DataFrame:
+    """key, id_col, title, member: for each row (member) the title without blanks and case, and of the rows that share it the least identifier with its title.
+
+    One row for each distinct identifier of a title, so a title that very many rows share, the blank one too, is no single row.
+    """
+    keyed = rows.select(F.lower(without_blanks(F.col(title))).alias("key"), F.col(id_col).alias(member), F.col(title).alias("_title"))
+    first = keyed.groupBy("key").agg(F.min(member).alias(id_col), F.min_by("_title", member).alias(title))
+    return keyed.select("key", member).distinct().join(first, "key").select("key", id_col, title, member)

@@ -63,10 +63,11 @@ def page_furniture(spark, sf_dir):
 
 @query(f"""WITH t AS (SELECT page_id, coalesce(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '') AS title FROM pages),
 k AS (SELECT page_id, title, lower(regexp_replace(title, '[{BLANKS}]+', '', 'g')) AS key FROM t)
-SELECT key, min(page_id) AS page_id, arg_min(title, page_id) AS title, list_sort(list(DISTINCT page_id)) AS page_ids FROM k GROUP BY key""")
+, f AS (SELECT key, min(page_id) AS page_id, arg_min(title, page_id) AS title FROM k GROUP BY key)
+SELECT DISTINCT f.key, f.page_id, f.title, k.page_id AS member FROM k JOIN f USING (key)""")
 def title_dedupe(spark, sf_dir):
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
-    return lines.merged_titles(table(spark, sf_dir, "pages").select("page_id", F.coalesce(title, F.lit("")).alias("title")), "title", "page_id", "page_ids")
+    return lines.merged_titles(table(spark, sf_dir, "pages").select("page_id", F.coalesce(title, F.lit("")).alias("title")), "title", "page_id", "member")
 
 
 TAG_WORDS = {"the": ["english", "common"], "elle": ["french"], "der": ["german", "common"], "ción": ["spanish"]}
