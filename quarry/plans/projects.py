@@ -10,7 +10,8 @@ from ..functions import hashing, numbers, text
 from ..operators import checks, evidence, lines, projects, retrieval, usage, versions
 from ..sources.tables import calls, paragraphs, table
 from ..streaming import windows, writes
-from .registry import query
+from .registry import SQL, query
+from .tenders import value_conflicts
 
 # Assets on suppliers, items on parts, links on lineitem: a part's suppliers; some links lead nowhere.
 STATUS = "CASE s_suppkey % 6 WHEN 0 THEN 'example' WHEN 1 THEN 'expired' WHEN 2 THEN 'to verify' ELSE 'complete' END"
@@ -360,34 +361,34 @@ def plain_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").filter("html IS NOT NULL").select("page_id", text.plain_html(F.col("html")).alias("text"))
 
 
+@query("""WITH l AS (SELECT user_id AS project_id, arg_max(event_type, (ts, event_id)) AS kind, max(ts) AS last_at, arg_max(value, (ts, event_id)) AS risks FROM events GROUP BY 1), p AS (SELECT c_custkey AS project_id, TIMESTAMP '2024-01-15' + INTERVAL 1 DAY * (c_nationkey % 20) AS updated FROM customer)
+SELECT project_id, CASE WHEN kind IS NULL THEN 'unknown' WHEN kind IN ('error', 'view') THEN 'unknown' WHEN risks >= 60 THEN 'attention' WHEN updated > last_at THEN 'unknown' ELSE 'ok' END AS state FROM p LEFT JOIN l USING (project_id)""")
+def redline_states(spark, sf_dir):
+    """The last check of each project: failed ones and those that the project has outlived say nothing."""
+    events = table(spark, sf_dir, "events")
+    runs = events.select(F.col("user_id").alias("project_id"), F.col("ts").alias("checked_at"), F.col("event_id").alias("run_id"), F.when(F.col("event_type").isin("error", "view"), "failed").otherwise("completed").alias("status"), F.when(F.col("value") >= 60, 1).otherwise(0).alias("risks"))
+    day = F.expr("TIMESTAMP_NTZ'2024-01-15 00:00:00' + make_dt_interval(c_nationkey % 20)")
+    return checks.redline_state(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"), day.alias("updated_at")), runs)
+
+
 # The eight checks before a document goes out, on conversations as sections and the tables above.
 PREFLIGHT = f"""n AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn % 4 = 3 THEN '' ELSE text END AS content, turn % 3 = 0 AS reviewed, turn % 5 AS revision, turn % 2 AS seen FROM conversations),
 c AS (SELECT 'unwritten' AS code, CAST(id AS VARCHAR) AS detail FROM n WHERE trim(content) = '' UNION ALL SELECT 'placeholders', CAST(id AS VARCHAR) FROM n WHERE regexp_matches(concat(content, CASE WHEN id % 7 = 0 THEN '【待填写】' ELSE '' END), '{text.PLACEHOLDER}')
 UNION ALL SELECT 'unreviewed', CAST(id AS VARCHAR) FROM n WHERE trim(content) != '' AND (NOT reviewed OR revision != seen) UNION ALL SELECT 'material', CAST(item_id AS VARCHAR) FROM r WHERE status != 'complete'
 UNION ALL SELECT 'deviations', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'assets', concat('s:', s_suppkey) FROM supplier WHERE {STATUS} = 'to verify'
-UNION ALL SELECT 'consistency', CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'redlines', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal < -900)"""
+UNION ALL SELECT 'consistency', concat(topic, '|', scope) FROM ({SQL['value_conflicts']}) UNION ALL SELECT 'redlines', CAST(project_id AS VARCHAR) FROM ({SQL['redline_states']}) WHERE state = 'attention')"""
 
 
 @query(f"""WITH {REPORT}, {PREFLIGHT} SELECT k.code, count(detail) AS attention, coalesce(list_sort(list(DISTINCT detail) FILTER (detail IS NOT NULL))[:50], []) AS details, count(detail) = 0 AS ok
 FROM (VALUES ('unwritten'), ('placeholders'), ('unreviewed'), ('material'), ('deviations'), ('assets'), ('consistency'), ('redlines')) k(code) LEFT JOIN c USING (code) GROUP BY k.code""")
 def preflight_checks(spark, sf_dir):
-    turn, customer = F.col("turn"), table(spark, sf_dir, "customer")
+    turn = F.col("turn")
     nodes = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + turn).alias("id"), F.when(turn % 4 == 3, "").otherwise(F.col("text")).alias("content"), F.when(turn % 3 == 0, "reviewed").otherwise("draft").alias("status"), (turn % 5).alias("revision"), (turn % 2).alias("reviewed_revision"))
     marked = nodes.withColumn("content", F.concat("content", F.when(F.col("id") % 7 == 0, "【待填写】").otherwise("")))
     detail = lambda df, c: df.select(F.col(c).cast("string").alias("detail"))
     return checks.preflight({
         "unwritten": detail(checks.unwritten(nodes), "id"), "placeholders": detail(checks.with_placeholders(marked), "id"), "unreviewed": detail(checks.unreviewed(nodes), "id"),
         "material": detail(evidence_report(spark, sf_dir).filter("status != 'complete'"), "item_id"), "deviations": detail(table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'"), "o_orderkey"),
-        "assets": detail(asset_rows(spark, sf_dir).filter("status = 'to verify'"), "key"), "consistency": detail(table(spark, sf_dir, "nation").filter("n_regionkey = 1"), "n_nationkey"),
-        "redlines": detail(customer.filter("c_acctbal < -900"), "c_custkey"),
+        "assets": detail(asset_rows(spark, sf_dir).filter("status = 'to verify'"), "key"), "consistency": detail(value_conflicts(spark, sf_dir).select(F.concat_ws("|", "topic", "scope").alias("place")), "place"),
+        "redlines": detail(redline_states(spark, sf_dir).filter("state = 'attention'"), "project_id"),
     })
-
-
-@query("""WITH l AS (SELECT user_id AS project_id, arg_max(event_type, (ts, event_id)) AS kind, max(ts) AS last_at, arg_max(value, (ts, event_id)) AS risks FROM events GROUP BY 1), p AS (SELECT c_custkey AS project_id, TIMESTAMP '2024-01-15' + INTERVAL 1 DAY * (c_nationkey % 20) AS updated FROM customer)
-SELECT project_id, CASE WHEN kind IS NULL THEN 'unknown' WHEN kind IN ('error', 'view') THEN 'unknown' WHEN risks >= 60 THEN 'attention' WHEN updated > last_at THEN 'unknown' ELSE 'ok' END AS state FROM p LEFT JOIN l USING (project_id)""")
-def redline_states(spark, sf_dir):
-    """The last check of each project: failed ones and those that the project has outlived say nothing."""
-    events = table(spark, sf_dir, "events")
-    runs = events.select(F.col("user_id").alias("project_id"), F.col("ts").alias("checked_at"), F.col("event_id").alias("run_id"), F.when(F.col("event_type").isin("error", "view"), "failed").otherwise("completed").alias("status"), F.when(F.col("value") >= 60, 1).otherwise(0).alias("risks"))
-    day = F.expr("TIMESTAMP_NTZ'2024-01-15 00:00:00' + make_dt_interval(c_nationkey % 20)")
-    return checks.redline_state(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"), day.alias("updated_at")), runs)
