@@ -1,26 +1,32 @@
 """Differences of two versions of texts: lines that correspond, changed lines told apart within, and how much was edited.
 
-Lines that stand once on either side are matched by a join; the longest chain of them that keeps both orders anchors the
-alignment, and only lines between two anchors are aligned with each other. Lines, anchors and gaps are rows; a task holds the
-anchors of one pair of versions, or the lines of one gap.
+Of lines that stand once on either side the longest chain that keeps both orders anchors the alignment, and only lines
+between two anchors are aligned with each other. Two versions stand in one row, so they are aligned where they are, without a
+shuffle; a task holds a batch of rows, and what comes of some of them. Statistics of a pair are sums over its rows.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from itertools import zip_longest
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lines, stripped, text_of, without_blanks
+from ..functions.text import stripped, text_of, without_blanks
 
 # Fixed value: a pair of lines with a smaller common share is shown as one taken away and one put in.
 INLINE_SHARE = 0.3
 #: Cells of an alignment that are held at once, a bit each; larger ones are cut in two first.
 MOST_CELLS = 1 << 30
+#: Characters of texts whose rows are handed on at once.
+CHARACTERS = 1 << 20
 PARTS = "array<struct<type:string,text:string>>"
+ARROW_PARTS = pa.list_(pa.struct([("type", pa.string()), ("text", pa.string())]))
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -109,19 +115,10 @@ def line_parts(old: str, new: str, least: float) -> list[tuple[str, str]] | None
     return [(kind, text) for kind, text in out]
 
 
-def inline_parts(old: Column, new: Column, least: float = INLINE_SHARE) -> Column:
-    """Parts of changed lines (null where they have too little in common, or one is null)."""
-
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None or (parts := line_parts(x, y, least)) is None else [{"type": k, "text": t} for k, t in parts] for x, y in zip(a, b, strict=True)], dtype=object)
-
-    return F.pandas_udf(run, PARTS)(old, new)
-
-
-def own_lines(text: Column) -> Column:
+def own_lines(text: str | None) -> list[str]:
     """Lines without the empty one after a last line feed; an empty text has none."""
-    all_lines = lines(text)
-    return F.when(F.element_at(all_lines, -1) == "", F.slice(all_lines, 1, F.size(all_lines) - 1)).otherwise(all_lines)
+    all_lines = (text or "").split("\n")
+    return all_lines if all_lines[-1] else all_lines[:-1]
 
 
 def of_group(group: pd.DataFrame, keys: list[str], found: list[tuple[int, int]]) -> pd.DataFrame:
@@ -130,32 +127,35 @@ def of_group(group: pd.DataFrame, keys: list[str], found: list[tuple[int, int]])
     return pd.DataFrame({**own, "i": pd.Series([i for i, _ in found], dtype="int32"), "j": pd.Series([j for _, j in found], dtype="int32")})
 
 
-def matched(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, i, j): lines of side 0 and of side 1 that correspond; rows: keys, side, pos, line."""
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{kinds}, i int, j int"
-    of = lambda side, what: F.when(F.col("side") == side, what)
-    once = rows.groupBy(*keys, "line").agg(F.count(of(0, 1)).alias("n"), F.count(of(1, 1)).alias("m"), F.min(of(0, F.col("pos"))).alias("i"), F.min(of(1, F.col("pos"))).alias("j")).filter("n = 1 AND m = 1")
-
-    def chain(group: pd.DataFrame) -> pd.DataFrame:
-        found = increasing(sorted(zip(group["i"].tolist(), group["j"].tolist(), strict=True)))
-        return of_group(group, keys, found)
-
-    anchors = once.select(*keys, "i", "j").groupBy(*keys).applyInPandas(chain, schema)
-    ends = anchors.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("pos")), F.struct(F.lit(1).alias("side"), F.col("j").alias("pos")))).alias("x")).select(*keys, "x.side", "x.pos", F.lit(1).alias("_anchor"))
-    placed = rows.join(ends, [*keys, "side", "pos"], "left")
-    gap = F.count("_anchor").over(Window.partitionBy(*keys, "side").orderBy("pos"))
-    between = Window.partitionBy(*keys, "_gap")
-    free = placed.withColumn("_gap", gap).filter("_anchor IS NULL")
-    both = free.withColumn("_sides", F.max("side").over(between) - F.min("side").over(between)).filter("_sides = 1").select(*keys, "_gap", "side", "pos", "line")
+def matched(old: list[str], new: list[str]) -> Iterator[tuple[int, int]]:
+    """Places (i, j) of lines that correspond, rising in both."""
+    n, m = Counter(old), Counter(new)
+    place = {line: j for j, line in enumerate(new)}
+    anchors = increasing([(i, place[line]) for i, line in enumerate(old) if n[line] == 1 and m[line] == 1])
+    i = j = 0
+    for p, q in [*anchors, (len(old), len(new))]:
+        yield from ((i + x, j + y) for x, y in common(old[i:p], new[j:q]))
+        if p < len(old):
+            yield p, q
+        i, j = p + 1, q + 1
 
-    def inside(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        old, new = (group[group["side"] == s] for s in (0, 1))
-        places = old["pos"].tolist(), new["pos"].tolist()
-        return of_group(group, keys, [(places[0][i], places[1][j]) for i, j in common(old["line"].tolist(), new["line"].tolist())])
 
-    return anchors.unionByName(both.groupBy(*keys, "_gap").applyInPandas(inside, schema))
+def rows_of(old: list[str], new: list[str]) -> Iterator[tuple[str, str | None, list[tuple[str, str]] | None]]:
+    """Rows (type, text, parts) of two versions, in order."""
+    i = j = 0
+    for p, q in [*matched(old, new), (len(old), len(new))]:
+        for x, y in zip_longest(old[i:p], new[j:q]):
+            parts = line_parts(x, y, INLINE_SHARE) if x is not None and y is not None else None
+            if parts is not None:
+                yield "mod", None, parts
+                continue
+            if x is not None:
+                yield "del", x, None
+            if y is not None:
+                yield "add", y, None
+        if p < len(old):
+            yield "same", old[p], None
+        i, j = p + 1, q + 1
 
 
 def text_diff(pairs: DataFrame, keys: list[str], old: str, new: str) -> DataFrame:
@@ -163,26 +163,32 @@ def text_diff(pairs: DataFrame, keys: list[str], old: str, new: str) -> DataFram
 
     Between two lines that are the same, the k-th line taken away and the k-th put in are one changed line if they have enough
     in common, else both, the old one first. Null is an empty text, which has no lines; two versions without lines have no
-    row. keys name one pair and are not null. A line is compared without its line feed.
+    row. keys name one pair and are not null. A line is compared without its line feed. Rows are handed on as they come.
     """
-    sides = [pairs.select(*keys, F.lit(s).alias("side"), F.posexplode(own_lines(F.col(c))).alias("pos", "line")) for s, c in enumerate((old, new))]
-    rows = sides[0].unionByName(sides[1])
-    met = matched(rows, keys)
-    ends = met.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("pos")), F.struct(F.lit(1).alias("side"), F.col("j").alias("pos")))).alias("x")).select(*keys, "x.side", "x.pos", F.lit(1).alias("_same"))
-    along = Window.partitionBy(*keys, "side").orderBy("pos")
-    placed = rows.join(ends, [*keys, "side", "pos"], "left").withColumn("_hole", F.count("_same").over(along) - F.coalesce(F.col("_same"), F.lit(0)))
-    free = placed.filter("_same IS NULL").withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "side", "_hole").orderBy("pos")))
-    gone, come = (free.filter(F.col("side") == s).select(*keys, "_hole", "_k", F.col("line").alias(c)) for s, c in enumerate(("_old", "_new")))
-    both = gone.join(come, [*keys, "_hole", "_k"], "full").withColumn("_parts", inline_parts(F.col("_old"), F.col("_new")))
-    row = lambda kind, text, parts: F.struct(F.lit(kind).alias("type"), text.alias("text"), parts.alias("parts"))
-    none = F.lit(None).cast(PARTS)
-    shown = F.when(F.col("_parts").isNotNull(), F.array(row("mod", F.lit(None).cast("string"), F.col("_parts")))).otherwise(
-        F.filter(F.array(row("del", F.col("_old"), none), row("add", F.col("_new"), none)), lambda r: r["text"].isNotNull())
-    )
-    changed = both.select(*keys, "_hole", F.lit(0).alias("_kind"), "_k", F.posexplode(shown).alias("_i", "_row"))
-    same = placed.filter("side = 0 AND _same = 1").select(*keys, "_hole", F.lit(1).alias("_kind"), F.lit(0).alias("_k"), F.lit(0).alias("_i"), row("same", F.col("line"), none).alias("_row"))
-    order = Window.partitionBy(*keys).orderBy("_hole", "_kind", "_k", "_i")
-    return changed.unionByName(same).select(*keys, (F.row_number().over(order) - 1).alias("pos"), "_row.type", "_row.text", "_row.parts")
+    kinds = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, of, held, out = batch.select(range(len(keys))), [], 0, []
+
+            def told() -> pa.RecordBatch:
+                taken = [c.take(pa.array(of, pa.int64())) for c in own.columns]  # noqa: B023
+                pos, rows = ([r[k] for r in out] for k in (0, 1))  # noqa: B023
+                parts = [None if r[2] is None else [{"type": k, "text": t} for k, t in r[2]] for r in rows]
+                return pa.RecordBatch.from_arrays([*taken, pa.array(pos, pa.int32()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array(parts, ARROW_PARTS)], [*keys, "pos", "type", "text", "parts"])
+
+            for k in range(batch.num_rows):
+                a, b = (batch.column(len(keys) + side)[k].as_py() for side in (0, 1))
+                for pos, row in enumerate(rows_of(own_lines(a), own_lines(b))):
+                    of.append(k)
+                    out.append((pos, row))
+                held += len(a or "") + len(b or "")
+                if held >= CHARACTERS:
+                    yield told()
+                    of, held, out = [], 0, []
+            yield told()
+
+    return pairs.select(*keys, old, new).mapInArrow(run, f"{kinds}, pos int, type string, text string, parts {PARTS}")
 
 
 def diff_stats(diff: DataFrame, keys: list[str]) -> DataFrame:

@@ -103,3 +103,19 @@ def test_edit_ratios(spark):
     table = spark.createDataFrame(rows, "id long, a string, b string")
     found = {r.id: (r.edited, round(r.ratio, 4)) for r in d.edit_ratios(table, ["id"], "a", "b").collect()}
     assert found == {1: (0, 0.0), 2: (2, 0.3333), 3: (4, 0.3077), 4: (4, 4.0), 5: (4, 1.3333), 6: (9, 0.6923), 7: (0, 0.0), 8: (1, 0.3333)}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_versions_are_aligned_where_they_are(spark):
+    """Two versions stand in one row: no line is shuffled, and statistics are summed before they are."""
+    pairs = spark.range(3).selectExpr("id", "concat('a\nb', id) AS a", "'b1' AS b")
+    assert "Exchange" not in plan_of(d.text_diff(pairs, ["id"], "a", "b"))
+    assert plan_of(d.diff_stats(d.text_diff(pairs, ["id"], "a", "b"), ["id"])).count("Exchange") == 1
+
+
+def test_rows_of_many_versions_in_small_lots(spark, monkeypatch):
+    monkeypatch.setattr(d, "CHARACTERS", 10)
+    test_text_diff(spark)
