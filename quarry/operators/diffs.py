@@ -225,5 +225,6 @@ def edit_ratios(pairs: DataFrame, keys: list[str], old: str, new: str) -> DataFr
     beside = (F.col("type") == "add") & (F.lag("type").over(along) == "del")
     rows = rows.withColumn("_n", F.when(beside, F.greatest(F.col("_n") - F.lag("_n").over(along), F.lit(0))).otherwise(F.col("_n")))
     sums = rows.groupBy(*keys).agg(F.sum("_n").alias("_sum"))
-    found = even.join(sums, keys, "left").withColumn("edited", F.coalesce("_sum", F.lit(0)).cast("long"))
-    return found.select(*keys, "edited", (F.col("edited") / F.greatest(F.length("_old"), F.lit(1))).alias("ratio"))
+    sizes = pairs.select(*keys, F.length(normalised(F.col(old))).alias("_size"))  # no text is joined back
+    found = sizes.join(sums, keys, "left").withColumn("edited", F.coalesce("_sum", F.lit(0)).cast("long"))
+    return found.select(*keys, "edited", (F.col("edited") / F.greatest(F.col("_size"), F.lit(1))).alias("ratio"))

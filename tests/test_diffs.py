@@ -119,3 +119,9 @@ def test_versions_are_aligned_where_they_are(spark):
 def test_rows_of_many_versions_in_small_lots(spark, monkeypatch):
     monkeypatch.setattr(d, "CHARACTERS", 10)
     test_text_diff(spark)
+
+
+def test_edit_ratios_join_no_text_back(spark):
+    """Texts are put into their normal form for the alignment alone; what is joined back is their size."""
+    pairs = spark.range(3).selectExpr("id", "concat('a\nb', id) AS a", "'b1' AS b")
+    assert plan_of(d.edit_ratios(pairs, ["id"], "a", "b")).count("AS _old#") == 1
