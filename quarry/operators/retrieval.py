@@ -19,6 +19,8 @@ from .trees import cut
 MOST_BROADCAST = 100_000
 #: Query vectors that are compared with all vectors at once.
 QUERY_BLOCK = 2_000
+#: Pairs of a query and a document that are scored in one task at most, on the average.
+PAIRS = 1 << 20
 # Constants of the ranking functions.
 K1, B, NEGATIVE_SHARE = 1.5, 0.75, 0.25
 FUSION_K, QUERY_CHARS, PINNED_SCORE = 60, 512, 10.0
@@ -46,7 +48,7 @@ def bm25(docs: DataFrame, queries: DataFrame, most: int | None, doc_id: str = "d
     Only documents that share a term with the query are ranked. A term that more than half of the documents hold has a
     negative weight, which is replaced by a share of the mean weight. Repeated query terms count as often as they occur. Equal
     scores are ranked by identifier. Words are written to the shared folder, so that they are cut out once. Document frequencies
-    are counted before the shuffle, a row a term; of the postings only those of query terms are moved.
+    are counted before the shuffle, a row a term; of the postings only those of query terms are moved, once, to their document.
     """
     words = cut(docs.select(doc_id, tokens(F.col("text")).alias("words")), "words")  # texts are cut into words once
     asked = queries.select(query_id, F.explode(tokens(F.col("text"))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("asked"))
@@ -58,7 +60,10 @@ def bm25(docs: DataFrame, queries: DataFrame, most: int | None, doc_id: str = "d
     weights = weights.select("term", "mean_size", F.when(F.col("idf") < 0, NEGATIVE_SHARE * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
     terms = small(cut(asked.join(weights, "term"), "terms"))  # a row a query term
     postings = words.select(doc_id, F.size("words").alias("size"), F.explode("words").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
-    counts = postings.groupBy(doc_id, "size", "term").agg(F.count("*").alias("tf"))
+    # A document's postings meet in one task, so its scores are complete there: what is moved on is the best of each query in each task.
+    n_pairs = words.count() * asked.select(query_id).distinct().count()
+    n_parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n_pairs // PAIRS))
+    counts = postings.repartition(n_parts, doc_id).groupBy(doc_id, "size", "term").agg(F.count("*").alias("tf"))
     part = F.col("asked") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
     scored = counts.join(terms, "term").groupBy(query_id, doc_id).agg(F.round(F.sum(part), DIGITS).alias("score"))
     return ranked(scored, query_id, doc_id, most)
@@ -143,7 +148,7 @@ def retrieve(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vect
     pins = pins.join(docs.select(doc_id), doc_id, "left_semi") if pins is not None else None
     words = bm25(docs, queries, recall, doc_id)
     near = dense(vectors, query_vectors, recall, doc_id)
-    lists = words.withColumn("channel", F.lit("bm25")).unionByName(near.withColumn("channel", F.lit("dense")))
+    lists = cut(words.withColumn("channel", F.lit("bm25")).unionByName(near.withColumn("channel", F.lit("dense"))), "lists")  # a query's first rows, read twice
     picked = pick(fuse(lists, doc_id=doc_id), most, excluded, pins, scores, threshold, doc_id=doc_id)
     stages = lists.groupBy("query_id", doc_id).agg(F.max(F.when(F.col("channel") == "bm25", F.col("score"))).alias("bm25"), F.max(F.when(F.col("channel") == "dense", F.col("score"))).alias("dense"))
     return picked.join(stages, ["query_id", doc_id], "left").select("query_id", doc_id, "rank", F.col("score").alias("fused"), "bm25", "dense", "rerank", "pinned")
