@@ -90,3 +90,17 @@ def test_hot_terms_leave_texts_in_place(spark):
     found = d.occurrences(terms, rows.coalesce(2), "id")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and found.agg(F.count("*")).first()[0] == 500
+
+
+def test_texts_are_scanned_in_small_lots():
+    """Lots hold a stated number of bytes, or one text; lists of places are cut from one array."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quarry.operators import dictionary
+
+    texts = pa.array(["x" * (dictionary.CHARACTERS // 2 - 1), None, "y", "系统" * dictionary.CHARACTERS, "z"])
+    assert list(dictionary.lots(texts)) == [(0, 3), (3, 4), (4, 5)] and list(dictionary.lots(pa.array([], pa.string()))) == []
+    assert dictionary.CHARACTERS <= 1 << 18
+    found = dictionary.stretches(np.arange(10, 20), np.array([0, 3, 9]), np.array([2, 3, 10]))
+    assert found.to_pylist() == [[10, 11], [], [19]]
