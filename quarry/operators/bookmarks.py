@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import text_of
-from .diffs import increasing, of_group
+from .diffs import increasing
 from .sections import heading_level, numbering_class
 
 # Pages that a bookmark may point too far, matches that make bookmarks worth keeping, lines of a wrapped title.
@@ -32,15 +32,14 @@ def matched(marks: DataFrame, paragraphs: DataFrame) -> DataFrame:
     fits = F.contains("_key", F.col("_title")) | ((F.col("_key") != "") & F.startswith("_title", F.col("_key")) & (F.col("lines") <= WRAPPED))
     pairs = near.join(own, ["doc_id", "page"]).filter(fits)
 
-    def chain(group: pd.DataFrame) -> pd.DataFrame:
-        found = sorted(zip(group["k"].tolist(), (-group["paragraph"]).tolist(), strict=True))
-        return of_group(group, ["doc_id"], increasing([(k, -p) for k, p in found]))
+    def chain(ks: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series([[{"k": k, "paragraph": p} for k, p in increasing([(int(x), -int(y)) for x, y in zip(a, b, strict=True)])] for a, b in zip(ks, places, strict=True)], dtype=object)
 
-    kind = marks.schema["doc_id"].dataType.simpleString()
-    taken = pairs.select("doc_id", "k", "paragraph").groupBy("doc_id").applyInPandas(chain, f"doc_id {kind}, i int, j int")
-    enough = taken.groupBy("doc_id").count().join(marks.groupBy("doc_id").agg(F.count("*").alias("_all")), "doc_id")
-    good = enough.filter(F.col("count") >= F.greatest(F.lit(LEAST), F.col("_all") * LEAST_SHARE)).select("doc_id")
-    return taken.join(good, "doc_id", "left_semi").select("doc_id", F.col("i").alias("k"), F.col("j").alias("paragraph"))
+    kind = ", ".join(f"{c}:{df.schema[c].dataType.simpleString()}" for c, df in (("k", marks), ("paragraph", paragraphs)))
+    lists = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", (-F.col("paragraph")).alias("p")))).alias("_pairs"))  # the pairs of one document
+    own = lists.select("doc_id", F.pandas_udf(chain, f"array<struct<{kind}>>")(F.col("_pairs.k"), F.col("_pairs.p")).alias("_chain"))
+    good = own.join(marks.groupBy("doc_id").agg(F.count("*").alias("_all")), "doc_id").filter(F.size("_chain") >= F.greatest(F.lit(LEAST), F.col("_all") * LEAST_SHARE))
+    return good.select("doc_id", F.explode("_chain").alias("x")).select("doc_id", "x.k", "x.paragraph")
 
 
 def covering(found: DataFrame, paragraphs: DataFrame) -> DataFrame:

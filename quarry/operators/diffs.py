@@ -12,7 +12,6 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 from itertools import zip_longest
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,12 +120,6 @@ def own_lines(text: str | None) -> list[str]:
     return all_lines if all_lines[-1] else all_lines[:-1]
 
 
-def of_group(group: pd.DataFrame, keys: list[str], found: list[tuple[int, int]]) -> pd.DataFrame:
-    """Pairs of places with the keys of their group."""
-    own = {k: pd.Series([group[k].iloc[0]] * len(found), dtype=object) for k in keys}
-    return pd.DataFrame({**own, "i": pd.Series([i for i, _ in found], dtype="int32"), "j": pd.Series([j for _, j in found], dtype="int32")})
-
-
 def matched(old: list[str], new: list[str]) -> Iterator[tuple[int, int]]:
     """Places (i, j) of lines that correspond, rising in both."""
     n, m = Counter(old), Counter(new)

@@ -109,3 +109,12 @@ def test_forms_of_charts(spark):
     assert found == {(1, "A"): ("last", None), (1, "B"): ("two", None), (1, "C"): ("three", None), (9, "A"): ("A", "outer"), (9, "B"): ("B", "inner"), (9, "C"): ("C", "outer"), (9, "D"): ("长" * 30, None)}
     assert sorted((r.diagram_id, r["from"], r.to, r.label) for r in edges.collect()) == [(1, "A", "B", "yes"), (1, "B", "C", ""), (9, "B", "D", "")]
     assert {r.diagram_id for r in diagrams.checks(nodes, read).filter("long_labels").collect()} == {9}
+
+
+def test_bookmark_chains_are_no_groups_of_pandas(spark):
+    """The pairs of a document are one list, so that chains of many documents are found in one batch."""
+    own = spark.createDataFrame([(d, p, 0, 1, f"line {p}") for d in (1, 2) for p in range(4)], "doc_id long, paragraph int, page int, lines int, text string")
+    marks = own.selectExpr("doc_id", "paragraph AS k", "1 AS level", "text AS title", "page + 1 AS page")
+    found = bookmarks.matched(marks, own)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(d, p, p) for d in (1, 2) for p in range(4)]
