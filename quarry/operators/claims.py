@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lots import blanked, by_lots
 from ..functions.text import CLICHES, CODE_FENCE, PLACEHOLDER, VERIFY_MARK, WEAK_PHRASES, body_chars, diagram_chars, stripped, text_of
 from .commitments import excerpt, masked
 from .dictionary import longest_first, occurrences
@@ -30,18 +31,20 @@ STAFF_CLAIM = (
 STAFF_PLAN = "中标后|合同签订后|签订合同后|录用后|入职后|进场后|拟派|拟聘|拟投入|拟任"
 MARK_REACH, LENGTH_TOLERANCE = 40, 0.3
 HEADING_LINE = r"(?m)^[ \t]*#{1,6}[ \t]+\S.*$"
-SPANS = "array<struct<start:long,end:long>>"
+SPANS = "array<struct<code:string,start:long,end:long>>"
+SPAN_LIST = pa.list_(pa.struct([("code", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 KEY = ["section_id"]
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """Where a pattern matches, from left to right."""
-    form = regex.compile(pattern)
+def spans(text: Column, forms: list[tuple[str, str]], *hidden: str) -> Column:
+    """Where patterns match (code, start, end), pattern by pattern and from left to right; hidden: forms that are blanked out before."""
+    seen, known = blanked(*hidden), [(code, regex.compile(form)) for code, form in forms]
 
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": m.start(), "end": m.end()} for m in form.finditer(t or "")] for t in texts], dtype=object)
+    def tell(said: str | None) -> list[tuple[str, int, int]]:
+        said = seen(said)
+        return [(code, m.start(), m.end()) for code, form in known for m in form.finditer(said)]
 
-    return F.pandas_udf(run, SPANS)(text)
+    return by_lots(tell, SPANS, SPAN_LIST)(text)
 
 
 @dataclass(frozen=True)
@@ -67,14 +70,15 @@ CUTS = {"clause": CLAUSE_ENDS, "sentence": SENTENCE_ENDS}
 def places_in(sections: DataFrame) -> Places:
     """All places that the rules know in sections (section_id, text); null is an empty text."""
     text = text_of(F.col("text"))
-    row = lambda kind, start, end, stop: F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), stop.alias("stop"))
-    found = [F.transform(spans(text, form), lambda s: row(kind, s["start"], s["end"], s["end"])) for kind, form in FORMS.items()]  # noqa: B023
-    size = F.length(text).cast("long")
-    for kind, form in CUTS.items():
-        ends = spans(text, form)
+    row = lambda kind, start, end, stop: F.struct(kind.alias("kind"), start.alias("start"), end.alias("end"), stop.alias("stop"))
+    found = [F.transform(F.filter("_spans", lambda s: s["code"].isin(*FORMS)), lambda s: row(s["code"], s["start"], s["end"], s["end"]))]
+    size = F.length("text").cast("long")
+    for kind in CUTS:
+        ends = F.filter("_spans", lambda s: s["code"] == kind)  # noqa: B023
         begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(ends, lambda s: s["end"]))
-        stops = F.concat(ends, F.array(F.struct(size.alias("start"), (size + 1).alias("end"))))
-        found.append(F.zip_with(begins, stops, lambda a, s: row(kind, a, s["end"], s["start"])))  # noqa: B023
+        stops = F.concat(ends, F.array(F.struct(F.lit(kind).alias("code"), size.alias("start"), (size + 1).alias("end"))))
+        found.append(F.zip_with(begins, stops, lambda a, s: row(F.lit(kind), a, s["end"], s["start"])))  # noqa: B023
+    sections = sections.select("section_id", text.alias("text"), spans(text, [*FORMS.items(), *CUTS.items()]).alias("_spans"))
     rows = cut(sections.select("section_id", F.explode(F.concat(*found)).alias("p")).select("section_id", "p.*"), "places")
     return Places(rows, level_for((rows.agg(F.max("end")).first()[0] or 0) + MARK_REACH))
 
@@ -150,10 +154,8 @@ def asset_mentions(sections: DataFrame, assets: DataFrame, places: Places | None
 
 def wording(sections: DataFrame) -> DataFrame:
     """(section_id, start, end, code): headings by markup, empty phrases and weak phrases in texts; code fences aside."""
-    body = sections.select("section_id", masked(F.col("text"), CODE_FENCE).alias("text"))
     forms = [("markdown_heading", HEADING_LINE), *[("cliche", p) for p in CLICHES], *[("weak_phrase", regex.escape(p)) for p in WEAK_PHRASES]]
-    each = F.concat(*[F.transform(spans(F.col("text"), form), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(code).alias("code"))) for code, form in forms])  # noqa: B023
-    return body.select("section_id", F.explode(each).alias("x")).select("section_id", "x.*")
+    return sections.select("section_id", F.explode(spans(F.col("text"), forms, CODE_FENCE)).alias("x")).select("section_id", "x.start", "x.end", "x.code")
 
 
 def measures(sections: DataFrame) -> DataFrame:
@@ -193,8 +195,9 @@ def section_issues(sections: DataFrame, assets: DataFrame, points: DataFrame, co
     level: blocking, quality or verify. assets: asset_id, identifier, status, kind; claims about staff are held against no one
     who has staff that is no example. commitments: issues of `commitments.check_commitments`. An empty text has one issue, `empty`.
     """
+    sections = cut(sections, "sections")
     written = sections.filter(stripped(text_of(F.col("text"))) != "")
-    bare = written.withColumn("text", masked(F.col("text"), CODE_FENCE))
+    bare = cut(written.withColumn("text", masked(F.col("text"), CODE_FENCE)), "bare")
     places = places_in(bare)
     staff = assets.filter("kind = 'personnel' AND status != 'example'").limit(1).select(F.lit(True).alias("_staff"))  # one row at most
     row = lambda df, level, code, start="start", end="end": df.select("section_id", F.lit(level).alias("level") if isinstance(level, str) else level.alias("level"), (F.lit(code) if isinstance(code, str) else code).alias("code"), *[(F.col(c) if c else F.lit(None)).cast("long").alias(n) for c, n in ((start, "start"), (end, "end"))])

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lots import blanked, by_lots
 from ..functions.text import CODE_FENCE, PLACEHOLDER, stripped, text_of
 from .checks import commitment_relations
 from .quantities import extracted
@@ -18,15 +17,7 @@ CODES = {"conflict": "fact_conflict", "stronger": "as_good", "incomparable": "ot
 
 def masked(text: Column, *forms: str) -> Column:
     """Text in which all that matches is blank, with its length and its lines as they were."""
-    patterns = [re.compile(form.replace(r"\z", r"\Z")) for form in forms]
-
-    def run(texts: pd.Series) -> pd.Series:
-        out = texts.fillna("")
-        for pattern in patterns:
-            out = out.map(lambda t: pattern.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), t))  # noqa: B023
-        return out
-
-    return F.pandas_udf(run, "string")(text)
+    return by_lots(blanked(*forms), "string", pa.string())(text)
 
 
 def excerpt(text: Column, start: Column, end: Column) -> Column:
@@ -59,7 +50,7 @@ def check_commitments(sections: DataFrame, facts: DataFrame, labels: dict[str, l
     only if they are promised. labels are the known scopes, subjects and grades (a short list).
     """
     text = text_of(F.col("text"))
-    found = sections.select("section_id", text.alias("_text"), F.explode(extracted(masked(text, CODE_FENCE, PLACEHOLDER), labels=labels)).alias("q")).filter("q.topic IS NOT NULL OR q.committed")
+    found = sections.select("section_id", text.alias("_text"), F.explode(extracted(text, labels=labels, hidden=(CODE_FENCE, PLACEHOLDER))).alias("q")).filter("q.topic IS NOT NULL OR q.committed")
     claims = found.select("section_id", "q.start", "q.end", "q.topic", "q.label", "q.dimension", "q.number", "q.value", "q.approx", "q.comparator", place_of("q").alias("scope"), excerpt(F.col("_text"), F.col("q.start"), F.col("q.end")).alias("at"))
     told = commitment_relations(claims, facts).filter("relation != 'backed'")
     known = facts.select("topic").distinct().withColumn("_known", F.lit(True))

@@ -8,7 +8,7 @@ from ..functions.text import CLICHES, WEAK_PHRASES
 from ..operators import claims, commitments
 from ..sources.tables import table
 from .registry import query
-from .rubrics import commitment_sections
+from .rubrics import commitment_sections, two_facts
 
 # A sentence for each remainder of the turn, and where its claims are.
 SENTENCES = [
@@ -55,6 +55,6 @@ def section_check(spark, sf_dir):
     sections = own.select("section_id", F.col("role").alias("title"), F.concat("front", "text").alias("text"), F.lit(None).cast("int").alias("budget"), F.lit(None).cast("int").alias("diagram_budget"))
     assets = spark.createDataFrame([("x", "小时响应", "example", "cases"), ("y", "质保", "confirmed", "cases"), ("z", "质保", "example", "cases")], "asset_id string, identifier string, status string, kind string")
     points = own.select("section_id", F.explode(F.when(F.col("turn") % 2 == 0, F.array(F.lit("应急预案"), F.lit("小时响应"))).otherwise(F.array(F.lit("小时响应")))).alias("point"))
-    facts = commitments.fact_quantities(spark.createDataFrame([("SLA", "2小时响应，质保2年", None)], "label string, text string, topic string"))
+    facts = commitments.fact_quantities(two_facts(spark))
     issues = claims.section_issues(sections, assets, points, commitments.check_commitments(sections, facts))
     return claims.report(sections, issues).select("section_id", "blocking", "verify", "passed")

@@ -64,10 +64,14 @@ def commitment_sections(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + turn).alias("section_id"), said.alias("text"))
 
 
+def two_facts(spark):
+    return spark.createDataFrame([("SLA", "2小时响应，质保2年", None)], "label string, text string, topic string").coalesce(1)
+
+
 @query()
 def section_checks(spark, sf_dir):
     """Commitments in turns of conversations against two facts; quantities are read by a fold that SQL cannot state."""
-    facts = spark.createDataFrame([("SLA", "2小时响应，质保2年", None)], "label string, text string, topic string")
+    facts = two_facts(spark)
     return commitments.check_commitments(commitment_sections(spark, sf_dir), commitments.fact_quantities(facts))
 
 
@@ -75,5 +79,5 @@ def section_checks(spark, sf_dir):
 def section_reports(spark, sf_dir):
     """Every turn promises hours and years, of which some are backed, some better and some worse; numbers of its own text have no unit."""
     own = commitment_sections(spark, sf_dir)
-    facts = spark.createDataFrame([("SLA", "2小时响应，质保2年", None)], "label string, text string, topic string")
+    facts = two_facts(spark)
     return commitments.section_report(own, commitments.check_commitments(own, commitments.fact_quantities(facts)))
