@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dictionary import occurrences
-from .intervals import overlaps
+from .intervals import level_for, overlaps
+from .trees import cut
 
 # Fixed value: what stands for a clause that was revoked.
 REVOKED = "【本条款已撤销】"
@@ -83,7 +84,9 @@ def to_old(places: DataFrame, pieces: DataFrame, doc_id: str = "doc_id") -> Data
 
 
 def moved(places: DataFrame, pieces: DataFrame, doc_id: str, start: str, end: str, other: str, name: str) -> DataFrame:
-    kept = pieces.filter("change_id IS NULL").select(doc_id, F.col(start).alias("from"), F.col(end).alias("to"), F.col(other).alias("_at"))
+    # Written once, for its longest piece is looked for before the join; else all texts would be searched twice.
+    kept = cut(pieces.filter("change_id IS NULL").select(doc_id, F.col(start).alias("from"), F.col(end).alias("to"), F.col(other).alias("_at")), "kept")
     points = places.select(doc_id, F.col("place").alias("start"), (F.col("place") + 1).alias("end")).distinct()
-    found = overlaps(points, kept, [doc_id]).select(doc_id, F.col("start").alias("place"), (F.col("_at") + F.col("start") - F.col("from")).alias(name))
+    longest = kept.agg(F.max(F.col("to") - F.col("from"))).first()[0] or 0
+    found = overlaps(points, kept, [doc_id], level_for(longest)).select(doc_id, F.col("start").alias("place"), (F.col("_at") + F.col("start") - F.col("from")).alias(name))
     return places.join(found, [doc_id, "place"], "left")

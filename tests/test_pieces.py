@@ -66,3 +66,19 @@ def test_confirmed_and_withdrawn(spark):
     assert read(found) == pieces.REVOKED + "\n改为远程服务"
     assert read(pieces.withdrawn(found, asked.filter("change_id = 1"))) == pieces.REVOKED + "\n提供驻场服务"
     assert read(pieces.withdrawn(pieces.withdrawn(found, asked.filter("change_id = 1")), asked)) == "工期90日历天\n提供驻场服务"
+
+
+def test_places_search_texts_once(spark):
+    """The longest piece is looked for in pieces that were written, not by searching the texts again."""
+    from quarry.operators import pieces
+
+    docs, calls = spark.createDataFrame([(1, "a the end")], "doc_id int, text string"), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    kept = pieces.placed(docs.mapInArrow(seen, docs.schema).selectExpr("doc_id", "0L AS start", "9L AS end", "CAST(NULL AS INT) AS change_id", "CAST(NULL AS STRING) AS text"), "doc_id")
+    assert [r.now for r in pieces.to_new(docs.selectExpr("doc_id", "8L AS place"), kept).collect()] == [8]
+    assert calls.value == 1
