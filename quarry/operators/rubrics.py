@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import cell_text, points_cell
 from ..functions.text import stripped, text_of
 from .clauses import fingerprint, is_label, is_requirement, level_of, level_order, renumbered, requirement_rows
+from .matching import let
 
 # Numerals of packages, how packages are named, what may stand before a label and after it.
 NUMERALS = "一二三四五六七八九十"
@@ -76,14 +79,22 @@ def name_from_criteria(criteria: Column) -> Column:
 
 def head_columns(cells: Column) -> Column:
     """Places (from 0) of points, criteria, category and name in the head of a scoring table, and its width; null where it is none."""
-    first = lambda fits: F.get(F.filter(F.sequence(F.lit(0), F.size(cells) - 1), lambda j: fits(F.get(cells, j), j)), F.lit(0))
-    points = first(lambda c, j: c.rlike(HEAD_POINTS))
-    other = lambda j, *known: ~F.coalesce(F.array_contains(F.filter(F.array(*known), lambda k: k.isNotNull()), j), F.lit(False))
-    criteria = F.coalesce(first(lambda c, j: c.rlike(HEAD_CRITERIA) & other(j, points)), first(lambda c, j: c.rlike(HEAD_WEAK) & other(j, points)))
-    factors = F.filter(F.sequence(F.lit(0), F.size(cells) - 1), lambda j: F.get(cells, j).rlike(HEAD_FACTOR) & other(j, points, criteria))
-    found = F.struct(points.alias("points"), criteria.alias("criteria"), F.get(factors, F.lit(0)).alias("category"), F.get(factors, F.lit(1)).alias("name"), F.size(cells).alias("width"))
-    none = (F.size(cells) < 1) | F.array_join(cells, "").rlike(HEAD_NONE) | criteria.isNull() | (points.isNull() & (F.size(factors) == 0))
-    return F.when(~none, found)
+    all_of = F.sequence(F.lit(0), F.size(cells) - 1)
+    first = lambda fits: F.get(F.filter(all_of, fits), F.lit(0))
+    other = lambda j, *known: reduce(lambda rest, k: rest & ~F.coalesce(k == j, F.lit(False)), known, F.lit(True))
+
+    def with_factors(points: Column, criteria: Column) -> Column:
+        def found(factors: Column) -> Column:
+            none = (F.size(cells) < 1) | F.array_join(cells, "").rlike(HEAD_NONE) | criteria.isNull() | (points.isNull() & (F.size(factors) == 0))
+            return F.when(~none, F.struct(points.alias("points"), criteria.alias("criteria"), F.get(factors, F.lit(0)).alias("category"), F.get(factors, F.lit(1)).alias("name"), F.size(cells).alias("width")))
+
+        return let(F.filter(all_of, lambda j: other(j, points, criteria) & F.get(cells, j).rlike(HEAD_FACTOR)), found)
+
+    def with_criteria(points: Column) -> Column:
+        criteria = F.coalesce(first(lambda j: F.get(cells, j).rlike(HEAD_CRITERIA) & other(j, points)), first(lambda j: F.get(cells, j).rlike(HEAD_WEAK) & other(j, points)))
+        return let(criteria, lambda c: with_factors(points, c))
+
+    return let(first(lambda j: F.get(cells, j).rlike(HEAD_POINTS)), with_criteria)
 
 
 def rubric_items(tables: DataFrame) -> DataFrame:
@@ -95,7 +106,7 @@ def rubric_items(tables: DataFrame) -> DataFrame:
     of totals and of other widths are left out, and end an item. A table that repeats another is taken once.
     """
     clean = lambda r: F.transform(r, cell_text)
-    heads = F.transform(F.slice("rows", 1, 3), lambda r, i: F.struct(i.alias("at"), head_columns(clean(r)).alias("columns")))
+    heads = F.transform(F.slice("rows", 1, 3), lambda r, i: F.struct(i.alias("at"), let(clean(r), head_columns).alias("columns")))
     own = tables.withColumn("_same", F.row_number().over(Window.partitionBy(F.xxhash64("rows")).orderBy("table_id"))).filter("_same = 1")
     own = own.withColumn("head", F.get(F.filter(heads, lambda h: h["columns"].isNotNull()), F.lit(0))).filter("head IS NOT NULL")
     named = F.get(F.reverse(package_labels(F.col("context"))), F.lit(0))
