@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stripped, text_of
 from .layout import LATIN_END, LATIN_START, cleaned
+from .matching import let
 
 # How far edges of columns may lie apart, and ends of sentences after which a cell's next line stands apart.
 EDGE_TOLERANCE, SENTENCE_STOP = 3.0, "[。；;！!？?]$"
+#: Rows of tables that a task holds, about; tasks follow the input, not the session's number of partitions.
+TASK_ROWS = 500_000
 
 
 def stitched(blocks: DataFrame) -> DataFrame:
@@ -56,33 +59,35 @@ def joined_rows(rows: DataFrame, heads: DataFrame) -> DataFrame:
 
     rows: doc_id, seq, r, cells (array of text, cut, bottom, strong). A first row that repeats the head's first row is dropped.
     A first row that is the rest of a row cut in two is put onto that; in another first row an empty cell goes on with the one
-    above it. Rows without text are dropped. The rows of one table meet in its row.
+    above it. Rows without text are dropped. The rows of one table meet in its row, and all is told there: cells are dealt out
+    twice, to their block's head and to their table.
     """
-    placed = rows.join(heads, ["doc_id", "seq"])
-    texts = F.transform("cells", lambda c: text_of(c["text"]))
-    along = Window.partitionBy("doc_id", "head").orderBy("seq", "r")
-    first = F.first(texts).over(along)
-    own = Window.partitionBy("doc_id", "seq").orderBy("r")
-    repeats = (F.col("seq") != F.col("head")) & (F.row_number().over(own) == 1) & (texts == first) & F.exists(texts, lambda t: t != "")
-    kept = placed.withColumn("_drop", repeats).filter(~F.col("_drop"))
-    kept = kept.withColumn("_starts", (F.row_number().over(own) == 1) & (F.col("seq") != F.col("head")))
-    lists = kept.groupBy("doc_id", "head").agg(F.array_sort(F.collect_list(F.struct("seq", "r", F.col("_starts").alias("starts"), "cells"))).alias("_all"))
+    n_parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    placed = rows.repartition(n_parts, "doc_id", "seq").join(heads.repartition(n_parts, "doc_id", "seq"), ["doc_id", "seq"])
+    # The key is one column: a head that is the same everywhere would be put in as a constant, and rows be dealt out once more.
+    keyed = placed.select(F.struct("doc_id", "head").alias("_table"), F.struct("seq", "r", "cells").alias("_row")).repartition(n_parts, "_table")
+    lists = keyed.groupBy("_table").agg(F.array_sort(F.collect_list("_row")).alias("_all")).select("_table.doc_id", "_table.head", "_all")
+    texts = lambda x: F.transform(x["cells"], lambda c: text_of(c["text"]))
+    starts = lambda own, x, i: (i == 0) | (F.get(own, i - 1)["seq"] != x["seq"])
+    repeats = lambda own, x, i: (x["seq"] != F.col("head")) & starts(own, x, i) & (texts(x) == texts(F.get(own, F.lit(0)))) & F.exists(texts(x), lambda t: t != "")
+    kept = let(F.col("_all"), lambda own: F.filter(own, lambda x, i: ~repeats(own, x, i)))
+    marked = let(kept, lambda own: F.transform(own, lambda x, i: F.struct(((x["seq"] != F.col("head")) & starts(own, x, i)).alias("starts"), x["cells"].alias("cells"))))
     presence = lambda cells: F.transform(cells, lambda c: filled(c["text"]))
-    none = F.transform(F.slice("_all", 1, 0), lambda x: F.struct(x["cells"].alias("cells"), presence(x["cells"]).alias("open"), F.lit(0).alias("row"), F.lit(False).alias("rest"), F.lit(False).alias("starts")))
+    said = lambda cells: F.transform(cells, lambda c: stripped(text_of(c["text"])))
+    # A row so far: the cells of its last part, where its first part has text, its texts, the columns of its first part, and whether that is the first of a page.
+    alone = lambda x: F.struct(x["cells"].alias("cells"), presence(x["cells"]).alias("open"), said(x["cells"]).alias("texts"), F.size(x["cells"]).alias("width"), x["starts"].alias("starts"))
+    gap = lambda out, t: F.when((out.rlike(LATIN_END) & t.rlike(LATIN_START)) | out.rlike(SENTENCE_STOP), " ").otherwise("")
+    put = lambda out, t: F.when(text_of(t) == "", text_of(out)).when(text_of(out) == "", t).otherwise(F.concat(out, gap(out, t), t))
 
     def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        rest = (F.size(done) > 0) & x["starts"] & was_cut(last["cells"], x["cells"], last["open"])
-        n = F.when(F.size(done) == 0, 0).otherwise(last["row"] + F.when(rest, 0).otherwise(1))
-        return F.concat(done, F.array(F.struct(x["cells"].alias("cells"), F.when(rest, last["open"]).otherwise(presence(x["cells"])).alias("open"), n.alias("row"), F.coalesce(rest, F.lit(False)).alias("rest"), x["starts"].alias("starts"))))
-
-    done = lists.withColumn("_done", F.aggregate("_all", none, step)).select("doc_id", "head", F.posexplode("_done").alias("_k", "d"))
-    cells = done.select("doc_id", "head", "_k", F.col("d.row").alias("row"), (F.col("d.starts") & ~F.col("d.rest")).alias("_new"), F.posexplode("d.cells").alias("c", "cell"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("_k", stripped(text_of(F.col("cell.text"))).alias("text")))), lambda p: p["text"])
-    gap = lambda out, t: F.when((out.rlike(LATIN_END) & t.rlike(LATIN_START)) | out.rlike(SENTENCE_STOP), " ").otherwise("")
-    text = F.aggregate("_parts", F.lit(""), lambda out, t: F.when(t == "", out).when(out == "", t).otherwise(F.concat(out, gap(out, t), t)))
-    whole = cells.groupBy("doc_id", "head", "row", "c").agg(parts.alias("_parts"), F.bool_or("_new").alias("_new")).select("doc_id", "head", "row", "c", "_new", cleaned(text).alias("text"))
-    above = F.lag("text").over(Window.partitionBy("doc_id", "head", "c").orderBy("row"))
-    whole = whole.withColumn("text", F.when(F.col("_new") & (F.col("text") == ""), F.coalesce(above, F.lit(""))).otherwise(F.col("text")))
-    out = whole.groupBy("doc_id", "head", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "text"))), lambda x: x["text"]).alias("cells")).filter(F.exists("cells", lambda t: t != ""))
-    return out.withColumn("row", F.row_number().over(Window.partitionBy("doc_id", "head").orderBy("row")) - 1)
+        last = F.get(done, F.size(done) - 1)
+        rest = x["starts"] & was_cut(last["cells"], x["cells"], last["open"])
+        longer = F.struct(x["cells"].alias("cells"), last["open"].alias("open"), F.zip_with(last["texts"], said(x["cells"]), put).alias("texts"), last["width"].alias("width"), last["starts"].alias("starts"))
+        return F.when((F.size(done) > 0) & rest, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(alone(x))))
+
+    whole = let(marked, lambda own: F.aggregate(own, F.transform(F.slice(own, 1, 0), alone), step))
+    told = F.transform(F.filter(whole, lambda d: d["texts"].isNotNull()), lambda d: F.struct(d["starts"].alias("starts"), d["width"].alias("width"), F.transform(d["texts"], cleaned).alias("texts")))
+    above = lambda own, k, i: F.get(F.try_element_at(F.filter(F.slice(own, 1, k), lambda d: F.size(d["texts"]) > i), F.lit(-1))["texts"], i)
+    full = lambda own, d, k: F.transform(d["texts"], lambda t, i: F.when(d["starts"] & (i < d["width"]) & (t == ""), F.coalesce(above(own, k, i), F.lit(""))).otherwise(t))
+    cells = let(told, lambda own: F.transform(own, lambda d, k: full(own, d, k)))
+    return lists.select("doc_id", "head", F.posexplode(F.filter(cells, lambda row: F.exists(row, lambda t: t != ""))).alias("row", "cells"))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import bookmarks, diagrams, tables
 
@@ -58,6 +59,18 @@ def test_rows_over_three_pages(spark):
     assert joined(spark, [head, ["a", "done"]], [["", "more"]]) == [head, ["a", "done"], ["a", "more"]]
 
 
+def test_tasks_follow_rows(spark, monkeypatch):
+    """Rows are dealt out by their number, not by the session's partitions, also under a head that is a constant; columns that a row above has not are passed over."""
+    monkeypatch.setattr(tables, "TASK_ROWS", 5)
+    parts = [[["h", "k"], ["a", "b"]], [["h", "k"], ["c"], ["d", "e"]], [["", ""], ["f", "g"]]]
+    rows = [(d, seq, r, [cell(c) for c in row]) for d in range(9) for seq, part in enumerate(parts) for r, row in enumerate(part)]
+    blocks = spark.createDataFrame([(d, seq) for d in range(9) for seq in range(3)], "doc_id int, seq int")
+    found = tables.joined_rows(spark.createDataFrame(rows, ROW), blocks.withColumn("head", F.lit(0)))
+    assert found.rdd.getNumPartitions() == 13  # 63 rows
+    assert {r.doc_id: r.cells for r in found.filter("row = 3").collect()} == {d: ["d", "e"] for d in range(9)}
+    assert [r.cells for r in found.filter("doc_id = 3").orderBy("row").collect()] == [["h", "k"], ["a", "b"], ["c"], ["d", "e"], ["f", "g"]]
+
+
 PARAGRAPH = "doc_id int, paragraph int, page int, lines int, text string"
 MARK = "doc_id int, k int, level int, title string, page int"
 
