@@ -130,3 +130,14 @@ def test_paragraphs(spark):
         (0, 1, "（1）第一项。"), (0, 2, "第二段的首行写满了整个版心宽度并且没有结束，所以它的下一行应当是同一段的续 行。"), (1, 1, "新的一段。"),
     ]
     assert layout.paragraphs(spark.createDataFrame([], COLUMNS)).count() == 0
+
+
+def test_lines_are_cut_once(spark):
+    """Measures come from lines written without texts, so a plan reads the lines themselves once; a paragraph of many lines is put together by their ends."""
+    n = 3000
+    rows = [(1, k // 50, k % 50, 71.0, 15.0 * (k % 50), 524.0, 15.0 * (k % 50) + 10.5, 10.5, False, "words that go on and on to the edge" if k % 7 else " ", 595.0, 842.0, False) for k in range(n)]
+    found = layout.paragraphs(spark.createDataFrame(rows, COLUMNS))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    said = [(r.lines, r.text) for r in found.orderBy("paragraph").collect()]
+    assert sum(k for k, _ in said) == n and max(len(t) for _, t in said) > 1000
+    assert all(t == " ".join(["words that go on and on to the edge"] * ((len(t) + 1) // 36)) for _, t in said)
