@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import body_chars, stripped, text_of
 from .matching import forms, mentioned_in
-from .trees import leaves, most_specific
+from .trees import cut, leaves, most_specific
 
 MIN_LENGTH_RATIO = 0.3
 # What introduces a list of points and what ends it, how points are separated and numbered, and two forms without
@@ -57,8 +57,10 @@ def coverage(items: DataFrame, nodes: DataFrame, mapped: DataFrame, reach: DataF
     asked = inside.join(wanted, "item_id").groupBy("id").agg(F.collect_list(F.struct("item_id", "wanted")).alias("asked"))
     text, none = F.concat_ws("\n", F.col("title"), F.col("content")), F.array().cast("array<string>")
     hits = F.transform("asked", lambda a: F.struct(a["item_id"].alias("item_id"), F.when(F.col("written"), mentioned_in(a["wanted"], F.col("forms"))).otherwise(none).alias("hit")))
-    sections = told.withColumn("forms", forms(text)).join(asked, "id")
-    each = sections.select(F.explode(hits).alias("h"), "leaf", "budget", "written", F.when(F.col("written"), body_chars(F.col("content"))).otherwise(0).alias("words")).select("h.*", "leaf", "budget", "written", "words")
+    words = F.when(F.col("written"), body_chars(F.col("content"))).otherwise(0)
+    sections = told.join(asked, "id").withColumn("forms", F.when(F.col("written"), forms(text)))
+    each = sections.select(F.explode(hits).alias("h"), "leaf", "budget", "written", words.alias("words")).select("h.*", "leaf", "budget", "written", "words")
+    each = cut(each, "coverage")  # both sums below come from one reading of the texts
     sums = each.groupBy("item_id").agg(
         F.sum(F.when(F.col("leaf"), F.col("budget")).otherwise(0)).alias("budget"), F.sum(F.when(F.col("leaf") & F.col("written"), F.col("budget")).otherwise(0)).alias("written_budget"),
         F.sum("words").alias("words"), F.bool_or("written").alias("written"),

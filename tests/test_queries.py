@@ -214,3 +214,15 @@ def test_years_of_experience(spark):
     rows = spark.createDataFrame([(1, "5年从业经验"), (2, "工龄5年"), (3, "质保期5年工龄"), (4, "经验不少于5年"), (5, "质保5年")], "id int, text string")
     found = rows.select("id", F.size(quantities.extracted(F.col("text"))).alias("n")).collect()
     assert {r.id: r.n for r in found} == {1: 0, 2: 0, 3: 1, 4: 0, 5: 1}
+
+
+def test_texts_of_coverage_are_read_once(spark):
+    """Texts are searched and counted once, written as sums need them; what is left to do reads no text."""
+    nodes = spark.createDataFrame([("c", None, "chapter", "", None), ("a", "c", "A", "工作的流程。很长", 4), ("b", "c", "B", None, 50), ("d", "c", "D", "other text", 10)], "id string, parent_id string, title string, content string, budget long")
+    items = spark.createDataFrame([(1, 2.0, "proposal", ["工作流程", "没有的点"]), (2, None, "demo", ["other text"]), (3, 1.0, "demo", ["x"]), (4, 1.0, "demo", ["y"])], "item_id int, points double, kind string, wanted array<string>")
+    mapped = spark.createDataFrame([(1, "c"), (2, "d"), (2, "c"), (3, "b")], "item_id int, id string")
+    found = coverage.coverage(items, nodes, mapped, trees.closure(nodes))
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.item_id: (r.status, r.coverage, r.missing, r.words, r.budget) for r in found.collect()} == {
+        1: ("points missing", 0.5, ["没有的点"], 17, 64), 2: ("covered", 1.0, [], 9, 10), 3: ("not written", 0.0, [], 0, 50), 4: ("not carried", 0.0, [], 0, 0),
+    }
