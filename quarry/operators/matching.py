@@ -28,7 +28,9 @@ MENTIONED = 0.7
 
 def core(text: Column) -> Column:
     """A point or text without separators and filler words."""
-    return F.regexp_replace(F.regexp_replace(text_of(text), SEPARATORS, ""), FILLER, "")
+    # Most characters are no separator because they are letters, and begin no filler word because they are no ideographs; that is seen first.
+    bare = F.regexp_replace(text_of(text), rf"(?![A-Za-z]){SEPARATORS}+", "")
+    return F.regexp_replace(bare, rf"(?=[\x{{4e00}}-\x{{9fff}}])(?:{FILLER})", "")
 
 
 def compact(text: Column) -> Column:

@@ -226,3 +226,8 @@ def test_texts_of_coverage_are_read_once(spark):
     assert {r.item_id: (r.status, r.coverage, r.missing, r.words, r.budget) for r in found.collect()} == {
         1: ("points missing", 0.5, ["没有的点"], 17, 64), 2: ("covered", 1.0, [], 9, 10), 3: ("not written", 0.0, [], 0, 50), 4: ("not carried", 0.0, [], 0, 0),
     }
+
+
+def test_core(spark):
+    """Fillers that come together once separators go; fillers and separators beside letters and digits."""
+    assert one(spark, matching.core(F.col("t")), t="方 案A、b措，施 计-划 7的8 [等]z . \n及（x）对") == "Ab计-划78zx"
