@@ -3,8 +3,10 @@
 import datetime
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
+from quarry import plans
 from quarry.streaming import writes
 
 EVENT = "section_id long, at long, write_id long, content string, status string, version_source string, expect_content string, expected_revision long, expected_status string"
@@ -92,3 +94,21 @@ def test_quiet_keys_are_forgotten(spark, tmp_path):
     assert spark.read.parquet(target).count() == 3
 
 
+def test_throttled_without_task_or_time(spark, tmp_path):
+    """Nulls fall as in the query's SQL: of events without a task one is told, events without a time come last, ids stay whole."""
+    start, big = datetime.datetime(2024, 1, 1), (1 << 60) + 1
+    hours = [(None, 40, 1), (None, 0, 2), (None, 20, 3), (None, None, 4), (1, None, 5), (1, 0, None), (1, 0, 6), (1, 9, 7), (1, 10, 8), (2, None, 10), (2, None, 9), (big, 0, big), (big + 1, 0, big + 1), (big, 30, big + 2)]
+    rows = [(user, None if h is None else start + datetime.timedelta(hours=h), event) for user, h, event in hours]
+    events = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, event_id long")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    wanted = db.execute(plans.SQL["throttled_progress"]).fetchall()
+    found = [tuple(r) for r in plans.QUERIES["throttled_progress"](spark, str(tmp_path)).collect()]
+    assert sorted(found, key=str) == sorted(wanted, key=str) == sorted([(None, 2), (1, 6), (1, 8), (2, 9), (big, big), (big + 1, big + 1), (big, big + 2)], key=str)
+    folder, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    schema = "user_id long, ts timestamp, event_id long"
+    spark.createDataFrame(events.filter("event_id IS NOT NULL").collect(), schema).coalesce(1).write.parquet(folder)
+    drain(writes.throttled(stream_of(spark, folder, schema), "user_id", seconds=36_000), target, checkpoint)
+    told = [tuple(r) for r in spark.read.parquet(target).collect()]
+    assert sorted(r for r in told if r[0]) == sorted(r for r in wanted if r[0] not in (None, 2)) and [r[0] for r in told].count(None) == 1
