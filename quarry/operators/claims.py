@@ -17,7 +17,7 @@ from ..functions.lots import blanked, by_lots
 from ..functions.text import CLICHES, CODE_FENCE, PLACEHOLDER, VERIFY_MARK, WEAK_PHRASES, body_chars, diagram_chars, stripped, text_of
 from .commitments import excerpt, masked
 from .dictionary import longest_first, occurrences
-from .intervals import level_for, overlaps
+from .intervals import level_for, overlaps, sorted_join
 from .matching import mentioned
 from .sections import without_title
 from .trees import cut
@@ -91,7 +91,7 @@ def with_clauses(found: DataFrame, places: Places) -> DataFrame:
     # The clause's end is looked for behind the place, whose own characters may be end marks.
     behind = overlaps(found.select("section_id", F.col("end").alias("start"), (F.col("end") + 1).alias("end")).distinct(), clauses, KEY, places.top)
     stops = behind.groupBy("section_id", F.col("start").alias("end")).agg(F.min("stop").alias("clause_end"))
-    return found.join(starts, ["section_id", "start", "end"]).join(stops, ["section_id", "end"])
+    return sorted_join(sorted_join(found, starts, ["section_id", "start", "end"]), stops, ["section_id", "end"])
 
 
 def marked(found: DataFrame, places: Places) -> DataFrame:
@@ -106,7 +106,7 @@ def marked(found: DataFrame, places: Places) -> DataFrame:
     reach = overlaps(points, places.stretches("sentence"), KEY, places.top).select("section_id", "_start", F.col("start").alias("_end"), "start", F.least(F.col("clause_end") + MARK_REACH, F.col("stop")).alias("end"))
     behind = overlaps(reach, marks, KEY, places.top).filter("start <= `from` AND `to` <= `end`").select("section_id", F.col("_start").alias("start"), F.col("_end").alias("end"))
     hit = inside.unionByName(behind).distinct().withColumn("marked", F.lit(True))
-    return found.join(hit, ["section_id", "start", "end"], "left").withColumn("marked", F.coalesce("marked", F.lit(False)))
+    return sorted_join(found, hit, ["section_id", "start", "end"], "left").withColumn("marked", F.coalesce("marked", F.lit(False)))
 
 
 def first_of_clause(claims: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def staff_claims(sections: DataFrame, places: Places | None = None) -> DataFrame
     placed = marked(with_clauses(places.of("claim"), places), places).filter(~F.col("marked"))
     clauses = placed.select("section_id", F.col("clause_start").alias("start"), F.col("clause_end").alias("end")).distinct()
     planned = overlaps(clauses, places.of("guard", "from", "to"), KEY, places.top).filter("start <= `from` AND `to` <= `end`").select("section_id", F.col("start").alias("clause_start"), F.col("end").alias("clause_end")).distinct()
-    return first_of_clause(placed.join(planned, ["section_id", "clause_start", "clause_end"], "left_anti")).select("section_id", "start", "end")
+    return first_of_clause(sorted_join(placed, planned, ["section_id", "clause_start", "clause_end"], "left_anti")).select("section_id", "start", "end")
 
 
 def asset_mentions(sections: DataFrame, assets: DataFrame, places: Places | None = None) -> DataFrame:
@@ -175,7 +175,7 @@ def measures(sections: DataFrame) -> DataFrame:
 def missing_points(sections: DataFrame, points: DataFrame) -> DataFrame:
     """(section_id, point): points (section_id, point) that neither the section's title nor its text mentions; a section's points are tested in its row."""
     own = points.groupBy("section_id").agg(F.collect_set("point").alias("points"))
-    rows = sections.select("section_id", F.concat_ws("\n", F.col("title"), text_of(F.col("text"))).alias("said")).join(own, "section_id")
+    rows = sorted_join(sections.select("section_id", F.concat_ws("\n", F.col("title"), text_of(F.col("text"))).alias("said")), own, "section_id")
     return rows.select("section_id", F.explode(F.array_except("points", mentioned(F.col("points"), F.col("said")))).alias("point"))
 
 
@@ -183,7 +183,7 @@ def placeholders(sections: DataFrame, places: Places | None = None) -> DataFrame
     """(section_id, start, end, item): marks still to be filled in; equal ones are one item, the two that say nothing one by clause."""
     body = sections.select("section_id", masked(F.col("text"), CODE_FENCE).alias("text"))
     places = places or places_in(body)
-    placed = with_clauses(places.of("placeholder"), places).join(body, "section_id")
+    placed = sorted_join(with_clauses(places.of("placeholder"), places), body, "section_id")
     own = F.substring("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
     clause = F.trim(F.substring("text", (F.col("clause_start") + 1).cast("int"), (F.col("clause_end") - F.col("clause_start")).cast("int")))
     return placed.select("section_id", "start", "end", F.when(own.isin("【待填写】", "【待核实】"), clause).otherwise(own).alias("item"))
@@ -204,18 +204,18 @@ def section_issues(sections: DataFrame, assets: DataFrame, points: DataFrame, co
     claims = staff_claims(bare, places).join(F.broadcast(staff), F.lit(True), "left_anti")
     code = F.col("code")
     parts = [
-        row(sections.join(written.select("section_id"), "section_id", "left_anti"), "blocking", "empty", None, None),
+        row(sorted_join(sections, written.select("section_id"), "section_id", "left_anti"), "blocking", "empty", None, None),
         row(claims, "blocking", "employment_claim"), row(asset_mentions(bare, assets, places), F.when(code == "to_verify", "verify").otherwise("blocking"), code),
         row(wording(written), "quality", code), row(measures(written), "quality", code, None, None), row(missing_points(bare, points), "blocking", "missing_point", None, None),
         row(placeholders(written, places), "verify", "placeholder"),
     ]
     if commitments is not None:
-        parts.append(row(commitments.join(written.select("section_id"), "section_id", "left_semi"), F.col("level"), code, "start", None))
+        parts.append(row(sorted_join(commitments, written.select("section_id"), "section_id", "left_semi"), F.col("level"), code, "start", None))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
     at = F.when(F.col("end").isNotNull(), excerpt(text_of(F.col("text")), F.col("start").cast("int"), F.col("end").cast("int")))
-    return found.join(sections.select("section_id", "text"), "section_id").select("section_id", "level", "code", "start", at["text"].alias("excerpt"), at["line"].alias("line"))
+    return sorted_join(found, sections.select("section_id", "text"), "section_id").select("section_id", "level", "code", "start", at["text"].alias("excerpt"), at["line"].alias("line"))
 
 
 def report(sections: DataFrame, issues: DataFrame) -> DataFrame:
@@ -226,5 +226,5 @@ def report(sections: DataFrame, issues: DataFrame) -> DataFrame:
     most = F.transform(F.array_sort(F.collect_list(F.when(F.col("_place") <= 3, F.struct("_place", "code")))), lambda x: x["code"]).alias("codes")
     sums = by_code.withColumn("_place", place).groupBy("section_id").agg(count("blocking"), count("quality"), count("verify"), most)
     none = F.array().cast("array<string>")
-    rows = sections.select("section_id", body_chars(F.col("text")).alias("chars")).join(sums, "section_id", "left")
+    rows = sorted_join(sections.select("section_id", body_chars(F.col("text")).alias("chars")), sums, "section_id", "left")
     return rows.select("section_id", "chars", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("blocking", "quality", "verify")], (F.coalesce("blocking", F.lit(0)) == 0).alias("passed"), F.coalesce("codes", none).alias("codes"))

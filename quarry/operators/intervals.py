@@ -39,6 +39,14 @@ def level_for(length: int) -> int:
     return level
 
 
+def sorted_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """left.join(right, on, how) of two tables that grow with the texts: both are sorted, neither is sent whole to the driver.
+
+    Files of places are many times smaller than their rows, so Spark would take them for small ones and broadcast them.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], top: int | None = None) -> DataFrame:
     """Each pair of a row of left (start, end) and a row of right (from, to) of the same keys whose intervals share a place, once.
 
@@ -50,7 +58,7 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], top: int | None
     if top is None:
         top = max(x or 0 for x in a.agg(F.max("_own")).first() + b.agg(F.max("_own")).first())
     b = binned(b, "from", "to", top).withColumnRenamed("_own", "_right_own")
-    both = binned(a, "start", "end", top).join(b, [*keys, "_level", "_bin"])
+    both = sorted_join(binned(a, "start", "end", top), b, [*keys, "_level", "_bin"])
     first = F.greatest("start", "from")
     met = (F.col("_own") | F.col("_right_own")) & (F.col("start") < F.col("to")) & (F.col("from") < F.col("end")) & (bin_of(first, F.col("_level")) == F.col("_bin"))
     return both.filter(met).drop("_level", "_bin", "_own", "_right_own")

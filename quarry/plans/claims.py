@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import CLICHES, WEAK_PHRASES
 from ..operators import claims, commitments
+from ..operators.intervals import sorted_join
 from ..sources.tables import table
 from .registry import query
 from .rubrics import commitment_sections, two_facts
@@ -51,7 +52,7 @@ def section_wording(spark, sf_dir):
 SELECT section_id, CAST(blocking AS BIGINT) AS blocking, CAST(verify AS BIGINT) AS verify, false AS passed FROM r""")
 def section_check(spark, sf_dir):
     """Claims, commitments against two facts, an example asset named in every section, and a point that every second section lacks."""
-    own = turns(spark, sf_dir).select("section_id", "turn", "role", sentence().alias("front")).join(commitment_sections(spark, sf_dir), "section_id")
+    own = sorted_join(turns(spark, sf_dir).select("section_id", "turn", "role", sentence().alias("front")), commitment_sections(spark, sf_dir), "section_id")
     sections = own.select("section_id", F.col("role").alias("title"), F.concat("front", "text").alias("text"), F.lit(None).cast("int").alias("budget"), F.lit(None).cast("int").alias("diagram_budget"))
     assets = spark.createDataFrame([("x", "小时响应", "example", "cases"), ("y", "质保", "confirmed", "cases"), ("z", "质保", "example", "cases")], "asset_id string, identifier string, status string, kind string")
     points = own.select("section_id", F.explode(F.when(F.col("turn") % 2 == 0, F.array(F.lit("应急预案"), F.lit("小时响应"))).otherwise(F.array(F.lit("小时响应")))).alias("point"))

@@ -3,6 +3,7 @@
 import random
 import re
 
+from quarry import plans
 from quarry.operators import claims as c
 from quarry.operators import intervals
 
@@ -101,3 +102,9 @@ def test_report(spark):
     assert found == {1: (0, 6, 0, True), 2: (1, 0, 1, False), 3: (1, 0, 0, False), 4: (1, 1, 2, False)}
     staff = assets.union(spark.createDataFrame([("p", "王工", "confirmed", "personnel")], assets.schema))
     assert not any(r.code == "employment_claim" for r in c.section_issues(sections, staff, points).collect())
+
+
+def test_sections_are_not_broadcast(spark, sf_dir):
+    """Places and texts of sections meet by sorting: their small files of many rows are not gathered on the driver."""
+    plan = plans.QUERIES["section_check"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [section_id" in plan and "BroadcastHashJoin [section_id" not in plan
