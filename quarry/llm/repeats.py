@@ -37,6 +37,8 @@ LAST_ID = (1 << 63) - 1
 PLACE = U64((1 << 23) - 1)
 #: A minimizer in more blocks than this (8 GB of text) is split by its windows, which take more room than its runs.
 HOT_BLOCKS = 4096
+#: Grams that are hashed at once, so that they stay near the processor; entries of one answer to Spark.
+STRETCH, ENTRIES = 1 << 16, 1 << 8
 #: Windows of a run at most: which of them repeat is one mask.
 MASK_BITS = 64
 
@@ -131,18 +133,18 @@ class Block:
         np.add.at(edges, self.offsets[:-1][long], 1)
         np.add.at(edges, self.offsets[1:][long] - length + 1, -1)
         valid = np.cumsum(edges[:-1], dtype=np.int8).astype(bool)
-        out = []
-        for a in range(0, n, 1 << 22):  # a very long document is taken in overlapping stretches
-            b = min(n, a + (1 << 22))
-            grams = gram_hashes(self.units[a : b + length - 1], gram)
-            key = (grams & ~PLACE) | np.arange(len(grams), dtype=U64)
-            place = (sliding_min(key, self.plan.most) & PLACE).astype(np.int64)
-            cut = (place[1:] != place[:-1]) | (valid[a + 1 : b] != valid[a : b - 1])
-            first = np.concatenate(([0], np.flatnonzero(cut) + 1))
-            count = np.diff(np.append(first, b - a))
-            keep = valid[a + first]
-            out.append((first[keep] + a, count[keep], mix(grams[place[first[keep]]])))
-        first, count, hashes = (np.concatenate(x) for x in zip(*out, strict=True))
+        grams, place = np.empty(n + self.plan.most - 1, U64), np.empty(n, np.int64)
+        for a in range(0, n, STRETCH):
+            b = min(n, a + STRETCH)
+            own = gram_hashes(self.units[a : b + length - 1], gram)
+            key = (own & ~PLACE) | np.arange(len(own), dtype=U64)
+            grams[a : a + len(own)], place[a:b] = own, (sliding_min(key, self.plan.most) & PLACE).astype(np.int64) + a
+        cut = (place[1:] != place[:-1]) | (valid[1:] != valid[:-1])
+        first = np.concatenate(([0], np.flatnonzero(cut) + 1))
+        count = np.diff(np.append(first, n))
+        keep = valid[first]
+        first, count = first[keep], count[keep]
+        hashes = mix(grams[place[first]])
         return first, count, hashes, np.searchsorted(self.offsets, first, side="right") - 1
 
     def window_hashes(self, first: np.ndarray) -> np.ndarray:
@@ -162,9 +164,13 @@ class Block:
         return np.where(inside, self.units[np.minimum(at, len(self.units) - 1)], self.units.dtype.type(0))
 
 
+#: Hashes of single bytes.
+BYTES = mix(np.arange(1, 257, dtype=U64))
+
+
 def gram_hashes(units: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k consecutive units, put together from those of powers of two."""
-    power, size = mix(units.astype(U64) + U64(1)) if units.dtype != U64 else units, 1
+    power, size = BYTES[units] if units.dtype != U64 else units, 1
     out, done = None, 0
     while True:
         if k & size:
@@ -263,6 +269,18 @@ def send_minimizers(plan: Windows, n_buckets: int):
     return run
 
 
+def tables(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    """Entries handed on ENTRIES at a time: there are as many as blocks times buckets, so one batch for each would cost more than its contents."""
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == ENTRIES:
+            yield table(held, schema)
+            held = []
+    if held:
+        yield table(held, schema)
+
+
 def table(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     fields = [f.strip().split(" ") for f in schema.split(",")]
@@ -272,7 +290,7 @@ def table(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def mark(hot_blocks: int):
     """For the entries of each block, in their order: which hashes occur in another entry, which in more than hot_blocks, and the least identifier of each digest."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for _, rows in by_bucket(batches):
             sizes = [len(r["hashes"]) // 5 for r in rows]
             wide = np.zeros((sum(sizes), 8), np.uint8)
@@ -293,10 +311,10 @@ def mark(hot_blocks: int):
             for r, n in zip(rows, sizes, strict=True):
                 m = len(r["digests"]) // 16
                 own = marked[a : a + n] | np.unpackbits(np.frombuffer(r["again"], np.uint8), count=n).astype(bool)
-                yield table([(r["bucket"], r["block"], np.packbits(own).tobytes(), np.packbits(hot[a : a + n]).tobytes(), least[number[d : d + m]].tobytes())], REPLY_SCHEMA)
+                yield r["bucket"], r["block"], np.packbits(own).tobytes(), np.packbits(hot[a : a + n]).tobytes(), least[number[d : d + m]].tobytes()
                 a, d = a + n, d + m
 
-    return run
+    return lambda batches: tables(answers(batches), REPLY_SCHEMA)
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -326,12 +344,11 @@ def chosen_runs(block: Block, replies: list[dict], n_buckets: int) -> tuple[np.n
     first, count, hashes, doc = block.runs()
     by_bucket = {r["bucket"]: r for r in replies}
     copy = copies(block, by_bucket, n_buckets)
-    known, _ = distinct(hashes, block.doc_ids[doc], plan.strict) if len(hashes) else (hashes, None)
+    known, at = np.unique(hashes, return_inverse=True)
     marks, hot = np.zeros(len(known), bool), np.zeros(len(known), bool)
     for k, s in cuts(bucket_of(known, n_buckets)):
         for bits, name in ((marks, "marks"), (hot, "hot")):
             bits[s] = np.unpackbits(np.frombuffer(by_bucket[k][name], np.uint8), count=s.stop - s.start)
-    at = np.searchsorted(known, hashes)
     chosen = marks[at] & ~copy[doc] if len(known) else np.zeros(0, bool)
     first, count, hashes, doc, split = first[chosen], count[chosen], hashes[chosen], doc[chosen], hot[at][chosen] if len(known) else chosen
     if split.any():
@@ -367,7 +384,8 @@ def send_strings(plan: Windows, n_buckets: int):
                     settled.append(np.column_stack((first[~sent], count[~sent])))
                     for k, s in cuts(bucket_of(hashes[heads], n_buckets)):
                         h = heads[s]
-                        inside = sent & (group >= s.start) & (group < s.stop)
+                        a, b = np.searchsorted(group, (s.start, s.stop))
+                        inside = a + np.flatnonzero(sent[a:b])
                         rows.append([k, row["block"], hashes[h].tobytes(), count[h].astype(np.uint8).tobytes(), packer.compress(strings[h].tobytes()), (group[inside] - s.start).astype(np.uint32).tobytes(), ids[inside].tobytes(), place[inside].astype(np.uint32).tobytes(), first[inside].astype(np.uint32).tobytes(), b""])
                 settled = np.concatenate(settled).astype(np.uint32)
                 if len(settled):
@@ -391,10 +409,13 @@ def copies(block: Block, replies: dict[int, dict], n_buckets: int) -> np.ndarray
     return least[number] < block.doc_ids
 
 
+FOUND_SCHEMA = "block long, first binary, masks binary, settled binary"
+
+
 def resolve_strings(plan: Windows, resolver: Callable):
     """resolver(strings, counts, hashes, ids, places) gives, for every window of every distinct string, the identifier and place of its first occurrence."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         kind = U64 if plan.words else np.uint8
         for _, rows in by_bucket(batches):
             full = [r for r in rows if r["counts"]]
@@ -429,24 +450,23 @@ def resolve_strings(plan: Windows, resolver: Callable):
                 else:
                     own, first = np.zeros(0, U64), np.zeros(0, np.uint32)
                 if len(own) or r["settled"]:
-                    yield table([(r["block"], first.tobytes(), own.tobytes(), r["settled"])], "block long, first binary, masks binary, settled binary")
+                    yield r["block"], first.tobytes(), own.tobytes(), r["settled"]
 
-    return run
+    return lambda batches: tables(answers(batches), FOUND_SCHEMA)
 
 
 def removed_units(block: Block, replies: list[dict]) -> np.ndarray:
     """Which units are covered by a window that occurs earlier."""
     n = len(block.units)
     edges = np.zeros(n + block.plan.length + 1, np.int64)
-    for r in replies:
-        settled = np.frombuffer(r["settled"], np.uint32).reshape(-1, 2).astype(np.int64)
-        np.add.at(edges, settled[:, 0], 1)
-        np.add.at(edges, settled[:, 0] + settled[:, 1] + block.plan.length - 1, -1)
-        first, masks = np.frombuffer(r["first"], np.uint32).astype(np.int64), np.frombuffer(r["masks"], U64)
-        for o in range(block.plan.most):
-            at = first[(masks >> U64(o)) & U64(1) == 1] + o
-            np.add.at(edges, at, 1)
-            np.add.at(edges, at + block.plan.length, -1)
+    settled = np.frombuffer(b"".join(r["settled"] for r in replies), np.uint32).reshape(-1, 2).astype(np.int64)
+    np.add.at(edges, settled[:, 0], 1)
+    np.add.at(edges, settled[:, 0] + settled[:, 1] + block.plan.length - 1, -1)
+    first, masks = np.frombuffer(b"".join(r["first"] for r in replies), np.uint32).astype(np.int64), np.frombuffer(b"".join(r["masks"] for r in replies), U64)
+    for o in range(block.plan.most):
+        at = first[(masks >> U64(o)) & U64(1) == 1] + o
+        np.add.at(edges, at, 1)
+        np.add.at(edges, at + block.plan.length, -1)
     return np.cumsum(edges)[:n] > 0
 
 
@@ -499,7 +519,7 @@ def remove_repeats(docs: DataFrame, plan: Windows, resolver: Callable, id_col: s
     """
     spread = Spread.of(docs, plan, id_col, text_col)
     strings = spread.exchange(spread.marked().mapInArrow(send_strings(plan, spread.n), STRING_SCHEMA))
-    found = strings.mapInArrow(resolve_strings(plan, resolver), "block long, first binary, masks binary, settled binary")
+    found = strings.mapInArrow(resolve_strings(plan, resolver), FOUND_SCHEMA)
     return spread.with_replies(found, "first", "masks", "settled").mapInArrow(finish(plan), RESULT_SCHEMA)
 
 

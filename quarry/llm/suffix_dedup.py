@@ -12,10 +12,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .repeats import LAST_ID, Windows, digests, remove_repeats
+from .common import U64
+from .repeats import LAST_ID, Windows, digests, gram_hashes, remove_repeats
 
 #: Text that is transformed at once, unless stretches with one minimizer are longer.
 CHUNK_BYTES = 1 << 18
+#: Strings whose windows are hashed at once.
+HASHED = 1 << 10
 END, BETWEEN, FIRST_BYTE = 0, 1, 2
 
 
@@ -111,12 +114,33 @@ def first_documents(strings: np.ndarray, counts: np.ndarray, ids: np.ndarray, le
     return out[:, : windows.shape[1]]
 
 
+def may_share(strings: np.ndarray, counts: np.ndarray, hashes: np.ndarray, length: int) -> np.ndarray:
+    """Which strings may hold a window of another one: there is another under their minimizer, and a window's hash occurs again."""
+    _, number, size = np.unique(hashes, return_inverse=True, return_counts=True)
+    rows, width = np.flatnonzero(size[number] > 1), strings.shape[1]
+    found, inside = [], np.arange(width - length + 1)
+    for a in range(0, len(rows), HASHED):
+        part = rows[a : a + HASHED]
+        flat = np.append(strings[part].ravel(), np.zeros(length - 1, strings.dtype))
+        found.append(gram_hashes(flat, length).reshape(len(part), width)[:, : len(inside)][inside < counts[part][:, None]])
+    out = np.zeros(len(strings), bool)
+    if found:
+        values = np.concatenate(found)
+        ordered, seen = np.sort(values), np.zeros(1 << 24, bool)
+        seen[(ordered[1:][ordered[1:] == ordered[:-1]] >> U64(40)).astype(np.int64)] = True
+        out[np.repeat(rows, counts[rows])[seen[(values >> U64(40)).astype(np.int64)]]] = True
+    return out
+
+
 def byte_resolver(plan: Windows):
     def resolve(strings, counts, hashes, ids, places):
-        order = np.argsort(hashes, kind="stable")
+        # A window that no other string holds occurs first in its own; the others go through the transform.
+        out = np.repeat(ids[:, None], plan.most, axis=1)
+        order = np.flatnonzero(may_share(strings, counts, hashes, plan.length))
+        order = order[np.argsort(hashes[order], kind="stable")]
         sizes = np.cumsum(counts[order] + plan.length)
         new = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])))
-        out, a = np.empty((len(strings), plan.most), np.int64), 0
+        a = 0
         while a < len(order):
             limit = (sizes[a - 1] if a else 0) + CHUNK_BYTES
             ends = np.append(new[new > a], len(order))

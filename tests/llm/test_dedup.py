@@ -235,3 +235,36 @@ def test_repeats_of_the_last_identifier(spark):
     docs = spark.createDataFrame([((1 << 63) - 1, "a b c d"), (None, "x y"), (-(1 << 63), "a b c d")], "doc_id long, text string")
     got = {r.doc_id: len(r.spans) for r in substring_dedup.substring_dedup(docs, 3).collect()}
     assert got == {(1 << 63) - 1: 1, None: 0, -(1 << 63): 0}
+
+
+def test_answers_travel_together():
+    """There are as many entries as blocks times buckets: they are not handed on one by one, and keep their order and contents."""
+    n = 3 * repeats.ENTRIES
+    rows = [(k, block, b"abcde", b"\0", b"", b"") for k in range(n // 3) for block in range(3)]
+    batch = repeats.table(rows, repeats.MARK_SCHEMA)
+    found = list(repeats.mark(2)(iter([batch])))
+    assert len(found) == 3
+    answers = [tuple(r.values()) for b in found for r in b.to_pylist()]
+    assert answers == [(k, block, b"\x80", b"\x80", b"") for k in range(n // 3) for block in range(3)]
+
+
+def test_strings_that_share_no_window_are_not_transformed():
+    """All strings with a window of another one under their minimizer stay; those alone, or with no window that occurs again, go."""
+    rng, length = np.random.default_rng(5), 50
+    plan = Windows.of(length, 16, words=False, strict=True)
+    strings = rng.integers(97, 123, (3000, plan.reach), np.uint8)
+    counts = rng.integers(1, plan.most + 1, len(strings))
+    hashes = np.arange(len(strings), dtype=np.uint64) // np.uint64(2)
+    shared = np.arange(0, 1000, 20)
+    strings[shared + 1, :length] = strings[shared, :length]
+    strings[np.arange(plan.reach) >= (counts + length - 1)[:, None]] = 0
+    may = suffix_dedup.may_share(strings, counts, hashes, length)
+    assert may[shared].all() and may[shared + 1].all() and may.sum() < 2 * len(shared) + 10
+    ids = rng.permutation(len(strings)).astype(np.int64)
+    first, _ = suffix_dedup.byte_resolver(plan)(strings, counts, hashes, ids, np.zeros(len(strings), np.int64))
+    windows = {(k, o): strings[k, o : o + length].tobytes() for k in range(len(strings)) for o in range(counts[k])}
+    least = {}
+    for (k, _), window in windows.items():
+        least[window] = min(least.get(window, ids[k]), ids[k])
+    assert len(windows) - len(least) >= len(shared) and all(first[at] == least[window] for at, window in windows.items())
+    assert not suffix_dedup.may_share(strings[:1], counts[:1], hashes[:1], length).any()
